@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs
@@ -75,7 +75,7 @@ def _flat_colour(df: DataFrame) -> DataFrame:
 
 
 def _calendar(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CALENDAR, S.CALENDAR_SCHEMA)
+    return flows.special_date_calendar(spark, CALENDAR)
 
 
 # Preparation ---------------------------------------------------------------
@@ -404,10 +404,6 @@ def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.od_flow(_clean(spark, sf_dir), START, END, bucket="week")
 
 
-def _typed(name: str) -> Column:
-    return F.lit(name).alias("map_type")
-
-
 @query
 def global_min_max(spark, sf_dir):
     return points.run_extremes(_weekly(spark, sf_dir))
@@ -452,9 +448,9 @@ def link_class(spark, sf_dir):
 @query
 def frame_positions(spark, sf_dir):
     geometry = _geometry(spark, sf_dir)
-    projected = zones.project_geometry(geometry, _projection(geometry), ("total",))
     flow = flows.od_flow(_clean(spark, sf_dir), START, END)
-    frames = points.frame_positions(points.map_links(flow, projected))
+    links = points.map_links(flow, geometry, _projection(geometry), ("total",))
+    frames = points.frame_positions(links)
     return frames.select("map_type", "frame", "pu_id", "do_id", "x", "y", "weight")
 
 

@@ -18,8 +18,23 @@ N_ZONES = 25
 BOROUGHS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
+# The columns used, declared so that no job has to infer them from the files.
+SCHEMAS = {
+    "lineitem": """l_orderkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
+        l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,
+        l_returnflag STRING, l_shipdate TIMESTAMP_NTZ""",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ""",
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT, s_acctbal DOUBLE",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:

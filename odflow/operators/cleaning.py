@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +15,11 @@ from odflow.functions.calendar import weekday
 
 def with_trip_dates(trips: DataFrame) -> DataFrame:
     """Add date and weekday of pickup and dropoff."""
-    for end in ("pickup", "dropoff"):
-        day = F.to_date(f"tpep_{end}_datetime")
-        trips = trips.withColumns({f"{end}_date": day, f"{end}_weekday": weekday(day)})
-    return trips
+    days = {end: F.to_date(f"tpep_{end}_datetime") for end in ("pickup", "dropoff")}
+    return trips.withColumns(
+        {f"{end}_date": day for end, day in days.items()}
+        | {f"{end}_weekday": weekday(day) for end, day in days.items()}
+    )
 
 
 def clean_up_rules(excluded_zones: Iterable[int] = S.EXCLUDED_ZONES) -> dict[str, Column]:
@@ -36,11 +39,13 @@ def clean_up_rules(excluded_zones: Iterable[int] = S.EXCLUDED_ZONES) -> dict[str
 def clean_trips(
     trips: DataFrame, excluded_zones: Iterable[int] = S.EXCLUDED_ZONES
 ) -> DataFrame:
-    """Trips that break no clean-up rule; missing values break none but the times."""
-    for rule in clean_up_rules(excluded_zones).values():
-        # one filter per rule, so that each can move to the scan it belongs to
-        trips = trips.filter(~F.coalesce(rule, F.lit(False)))
-    return trips
+    """Trips that break no clean-up rule; missing values break none but the times.
+
+    Each rule is a conjunct of its own, in a form that can move to the scan of its
+    column.
+    """
+    rules = clean_up_rules(excluded_zones).values()
+    return trips.filter(reduce(and_, (~rule | rule.isNull() for rule in rules)))
 
 
 def rule_counts(

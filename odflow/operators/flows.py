@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odflow import schema as S
@@ -132,6 +132,17 @@ def bucket_intervals(spine: DataFrame, merge_trailing_monday: bool = True) -> Da
     )
 
 
+def special_date_calendar(
+    spark: SparkSession, entries: Iterable[tuple[date, str]] = S.SPECIAL_DATES
+) -> DataFrame:
+    """Calendar (bucket_date, special_date) of a list of labelled days."""
+    days = (
+        F.struct(F.lit(day).alias("bucket_date"), F.lit(label).alias("special_date"))
+        for day, label in entries
+    )
+    return spark.range(1).select(F.inline(F.array(*days)))
+
+
 def with_special_dates(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Label the dates that the calendar (bucket_date, special_date) names."""
     return df.join(calendar, "bucket_date", "left")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odflow import schema as S
 from odflow.functions import canvas
 from odflow.functions import encoding as E
+from odflow.operators import zones
 
 
 def run_extremes(flow: DataFrame) -> DataFrame:
@@ -50,35 +53,40 @@ def size_legend(flow: DataFrame, map_type: str = S.TOTAL_MAP) -> DataFrame:
     )
 
 
-def map_links(flow: DataFrame, projected: DataFrame) -> DataFrame:
+def map_links(
+    flow: DataFrame, geometry: DataFrame, projection: DataFrame, maps: Sequence[str]
+) -> DataFrame:
     """Flows on every map: point size, colour, and both ends on the canvas.
 
-    ``projected`` is one row per map and zone. Links with an unknown end are left
-    out, after the extremes of the run were taken over all links.
+    Both centroids are looked up once per flow, before it is repeated for the maps.
+    Links with an unknown end are left out, after the extremes of the run were
+    taken over all links. Dropping missing ids up front, which the joins do anyway,
+    keeps the flow the same plan in both, so that its aggregation runs once.
     """
 
-    def end(prefix: str) -> DataFrame:
-        return projected.select(
-            "map_type",
-            E.to_location_id(F.col("zone_idx")).alias(f"{prefix}_id"),
-            F.col("center_x").alias(f"{prefix}_x"),
-            F.col("center_y").alias(f"{prefix}_y"),
+    def centre(end: str) -> DataFrame:
+        return geometry.select(
+            E.to_location_id(F.col("zone_idx")).alias(f"{end}_id"),
+            F.col("center_x").alias(f"{end}_x"),
+            F.col("center_y").alias(f"{end}_y"),
         )
 
     pu, do = F.col("pu_id"), F.col("do_id")
-    return (
-        with_run_extremes(flow)
-        .join(end("pu"), "pu_id")
-        .join(end("do"), ["map_type", "do_id"])
-        .withColumns(
-            {
-                "weight": E.point_size(
-                    F.col("aggregated_result"), F.col("max_weight"), F.col("map_type")
-                ),
-                "is_self": E.is_self_link(pu, do),
-                "colour": E.link_colour(pu, do),
-            }
-        )
+    flow = flow.filter(pu.isNotNull() & do.isNotNull())
+    placed = with_run_extremes(flow).join(centre("pu"), "pu_id").join(centre("do"), "do_id")
+    size = E.point_size(
+        F.col("aggregated_result"), F.col("max_weight"), F.col("map_type")
+    )
+    return zones.on_canvas(placed, projection, maps).select(
+        "map_type",
+        *flow.columns,
+        "min_weight",
+        "max_weight",
+        size.alias("weight"),
+        E.is_self_link(pu, do).alias("is_self"),
+        E.link_colour(pu, do).alias("colour"),
+        *(canvas.canvas_x(F.col(f"{end}_x")).alias(f"{end}_x") for end in ("pu", "do")),
+        *(canvas.canvas_y(F.col(f"{end}_y")).alias(f"{end}_y") for end in ("pu", "do")),
     )
 
 

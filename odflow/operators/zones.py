@@ -63,7 +63,7 @@ def on_maps(zones: DataFrame, maps: Sequence[str]) -> DataFrame:
     return zones.withColumn("map_type", F.explode(names))
 
 
-def _on_own_map(zones: DataFrame) -> Column:
+def _on_own_map() -> Column:
     return (F.col("map_type") == S.TOTAL_MAP) | (F.col("borough") == F.col("map_type"))
 
 
@@ -79,7 +79,7 @@ def map_bounds(
     if zoom_on is not None:
         zones = filter_zones(zones, zoom_on)
     else:
-        zones = zones.filter(_on_own_map(zones))
+        zones = zones.filter(_on_own_map())
     return zones.groupBy("map_type").agg(
         *(F.min(f"lower_{a}").alias(f"min_{a}") for a in "xy"),
         *(F.max(f"upper_{a}").alias(f"max_{a}") for a in "xy"),
@@ -126,6 +126,16 @@ def projections(
 _PROJECTION = ["map_type", "min_x", "min_y", "conversion", "shift_x", "shift_y", "floor_y"]
 
 
+def on_canvas(df: DataFrame, projection: DataFrame, maps: Sequence[str]) -> DataFrame:
+    """Repeat rows for every map and add the map's projection columns.
+
+    A projection is one row per map of an argument list, so broadcasting it is
+    bounded by that list; a shuffle would put all rows of a map in one task.
+    """
+    rows = projection.select(*_PROJECTION)
+    return on_maps(df, maps).join(F.broadcast(rows), "map_type")
+
+
 def project_geometry(
     geometry: DataFrame, projection: DataFrame, maps: Sequence[str]
 ) -> DataFrame:
@@ -135,9 +145,8 @@ def project_geometry(
     bounds gives the same as recomputing them from projected vertices; mirroring
     swaps the lower and upper y.
     """
-    projected = on_maps(geometry, maps).join(projection.select(*_PROJECTION), "map_type")
     x, y = canvas.canvas_x, canvas.canvas_y
-    return projected.select(
+    return on_canvas(geometry, projection, maps).select(
         "map_type",
         "zone_idx",
         "zone",
@@ -165,9 +174,9 @@ def project_parts(
     which zones have their outline drawn; ``filter_on`` limits it without leaving
     out any zone.
     """
-    shapes = on_maps(parts, maps)
+    shapes = on_canvas(parts, projection, maps)
     if single_borough:
-        shapes = shapes.filter(_on_own_map(shapes))
+        shapes = shapes.filter(_on_own_map())
     outlined = F.lit(True) if filter_on is None else matches(parts, filter_on)
     vertices = F.transform(
         "coords",
@@ -175,7 +184,7 @@ def project_parts(
             canvas.canvas_x(p["x"]).alias("x"), canvas.canvas_y(p["y"]).alias("y")
         ),
     )
-    return shapes.join(projection.select(*_PROJECTION), "map_type").select(
+    return shapes.select(
         "map_type",
         "zone_idx",
         "part",

@@ -33,23 +33,6 @@ def prepare_trips(
     return trips, readers.read_daily(spark, daily_path)
 
 
-def default_calendar(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(S.SPECIAL_DATES), S.CALENDAR_SCHEMA)
-
-
-def _projected(
-    parts: DataFrame,
-    maps: Sequence[str],
-    image_size: Sequence[int],
-    margins: Sequence[int],
-    zoom_on: Condition | None,
-) -> DataFrame:
-    geometry = zones.zone_geometry(parts)
-    bounds = zones.map_bounds(geometry, maps, zoom_on)
-    projection = zones.projections(bounds, image_size, margins)
-    return zones.project_geometry(geometry, projection, maps)
-
-
 def base_map(
     parts: DataFrame,
     maps: Sequence[str] = (S.TOTAL_MAP,),
@@ -81,7 +64,9 @@ def with_captions(df: DataFrame, bucket: str, calendar: DataFrame | None) -> Dat
     if bucket == "week":
         return df.withColumn("caption", week_caption(day))
     df = df.withColumn("caption", weekday_name(day))
-    return flows.with_special_dates(df, calendar or default_calendar(df.sparkSession))
+    if calendar is None:
+        calendar = flows.special_date_calendar(df.sparkSession)
+    return flows.with_special_dates(df, calendar)
 
 
 def animation_links(
@@ -122,8 +107,11 @@ def animation_links(
         lookup=lookup,
         merge_trailing_monday=merge_trailing_monday,
     )
-    projected = _projected(parts, maps, image_size, margins, zoom_on)
-    return with_captions(points.map_links(flow, projected), bucket, calendar)
+    geometry = zones.zone_geometry(parts)
+    bounds = zones.map_bounds(geometry, maps, zoom_on)
+    projection = zones.projections(bounds, image_size, margins)
+    links = points.map_links(flow, geometry, projection, maps)
+    return with_captions(links, bucket, calendar)
 
 
 def flow_animation(

@@ -129,10 +129,3 @@ ZONE_SCHEMA = T.StructType(
         T.StructField("coords", T.ArrayType(POINT)),
     ]
 )
-
-CALENDAR_SCHEMA = T.StructType(
-    [
-        T.StructField("bucket_date", T.DateType()),
-        T.StructField("special_date", T.StringType()),
-    ]
-)
