@@ -1,4 +1,8 @@
-"""Flows seen from each zone: what leaves it and what comes in."""
+"""Flows seen from each zone: what leaves it and what comes in.
+
+Flows are rows ``flow_dir, zone, linked_zone, weight``; flows of several measures
+also carry a ``measure`` column, which then is part of every zone's key.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,10 @@ from pyspark.sql import functions as F
 
 from odflow.functions import encoding as E
 
-FOCUS = ["flow_dir", "zone"]
+
+
+def _focus(flows: DataFrame) -> list[str]:
+    return [c for c in ("measure", "flow_dir", "zone") if c in flows.columns]
 
 
 def _zone_names(zones: DataFrame, end: str) -> DataFrame:
@@ -27,6 +34,7 @@ def directed_flows(
     out. The input is read once for both directions.
     """
     sides = [("out", "pu", "do"), ("in", "do", "pu")]
+    kept = [c for c in ("measure",) if c in od.columns]
     both = F.array(
         *(
             F.struct(
@@ -43,8 +51,8 @@ def directed_flows(
     return (
         od.join(_zone_names(zones, "pu"), "pu_id")
         .join(_zone_names(zones, "do"), "do_id")
-        .select(F.explode(both).alias("flow"), F.col(weight).alias("weight"))
-        .select("flow.*", "weight")
+        .select(*kept, F.explode(both).alias("flow"), F.col(weight).alias("weight"))
+        .select(*kept, "flow.*", "weight")
     )
 
 
@@ -55,7 +63,7 @@ def adjacency_lists(flows: DataFrame) -> DataFrame:
     of zones in the zone table that ``directed_flows`` joined.
     """
     links = F.collect_list(F.struct("linked_zone", "weight"))
-    return flows.groupBy(*FOCUS).agg(F.array_sort(links).alias("links"))
+    return flows.groupBy(*_focus(flows)).agg(F.array_sort(links).alias("links"))
 
 
 def focus_on(flows: DataFrame, focus_zones: DataFrame) -> DataFrame:
@@ -74,7 +82,7 @@ def with_zone_extremes(flows: DataFrame) -> DataFrame:
     A window partition is one zone's links in one direction: one row per linked
     zone, whatever the number of trips behind them.
     """
-    links = Window.partitionBy(*FOCUS)
+    links = Window.partitionBy(*_focus(flows))
     return flows.withColumns(
         {
             "min_weight": F.min("weight").over(links),
@@ -90,7 +98,7 @@ def zone_extremes(flows: DataFrame) -> DataFrame:
     every weight has its own colour.
     """
     coloured = F.when(F.col("linked_zone") != F.col("zone"), F.col("weight"))
-    return flows.groupBy(*FOCUS).agg(
+    return flows.groupBy(*_focus(flows)).agg(
         F.min("weight").alias("min_weight"),
         F.max("weight").alias("max_weight"),
         F.count_distinct(coloured).alias("n_colours"),

@@ -20,7 +20,7 @@ def _rows(
     lookup: DataFrame | None,
 ) -> DataFrame:
     rows = in_period(daily, start, end)
-    if borough is not None:
+    if borough:
         rows = within_borough(rows, lookup, borough)
     return rows.withColumnsRenamed({S.PU: "pu_id", S.DO: "do_id"})
 
@@ -80,6 +80,18 @@ def compare_flows_by_union(left: DataFrame, right: DataFrame) -> DataFrame:
     return next(halves).unionByName(next(halves)).distinct()
 
 
+def _side(agg: str, days: tuple[int, ...]) -> Column:
+    """The aggregate over some weekdays only, 0 where the link has none of them."""
+    text = f"{agg}({COUNT_PER_DAY})" if agg in ("count", "avg") else agg
+    listed = ", ".join(map(str, days))
+    filtered = F.expr(f"{text} FILTER (WHERE pickup_weekday IN ({listed}))")
+    return F.coalesce(filtered, F.lit(0))
+
+
+def _diff(agg: str) -> Column:
+    return _side(agg, S.WEEKDAYS) - _side(agg, S.WEEKENDS)
+
+
 def weekday_weekend_diff(
     daily: DataFrame,
     start: Day,
@@ -92,23 +104,39 @@ def weekday_weekend_diff(
     """Weekday flow minus weekend flow per link.
 
     Both sides come from one scan and one shuffle as filtered aggregates, which
-    gives the same rows as the full outer join of the two flows. An aggregate
-    passed as a Column cannot be filtered and takes that join.
+    gives the same rows as the full outer join of the two flows, as every row of
+    the rollup has a weekday. An aggregate passed as a Column cannot be filtered
+    and takes that join.
     """
-    where = {"borough": borough, "lookup": lookup}
     if isinstance(agg, Column):
-        sides = weekday_and_weekend_flow(daily, start, end, agg=agg, **where)
+        sides = weekday_and_weekend_flow(
+            daily, start, end, agg=agg, borough=borough, lookup=lookup
+        )
         return compare_flows(*sides)
+    rows = _rows(daily, start, end, borough, lookup)
+    return rows.groupBy(*LINK).agg(_diff(agg).alias("diff"))
 
-    def side(days: tuple[int, ...]) -> Column:
-        text = f"{agg}({COUNT_PER_DAY})" if agg in ("count", "avg") else agg
-        listed = ", ".join(map(str, days))
-        filtered = F.expr(f"{text} FILTER (WHERE pickup_weekday IN ({listed}))")
-        return F.coalesce(filtered, F.lit(0))
 
-    return (
+def period_and_diff(
+    daily: DataFrame,
+    start: Day,
+    end: Day,
+    *,
+    agg: str = "count",
+    borough: str | None = None,
+    lookup: DataFrame | None = None,
+) -> DataFrame:
+    """Period flow and weekday/weekend difference as rows of one aggregation.
+
+    Columns are ``pu_id, do_id, measure, weight``, measure being ``period`` or
+    ``diff``.
+    """
+    both = (
         _rows(daily, start, end, borough, lookup)
-        .filter(F.col("pickup_weekday").isin([*S.WEEKDAYS, *S.WEEKENDS]))
         .groupBy(*LINK)
-        .agg((side(S.WEEKDAYS) - side(S.WEEKENDS)).alias("diff"))
+        .agg(
+            measure(agg, COUNT_PER_DAY).cast("double").alias("period"),
+            _diff(agg).cast("double").alias("diff"),
+        )
     )
+    return both.unpivot(LINK, ["period", "diff"], "measure", "weight")

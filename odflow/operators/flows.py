@@ -84,7 +84,7 @@ def od_flow(
     rows = in_period(trips, start, end)
     if days:
         rows = rows.filter(F.col("pickup_weekday").isin(days))
-    if borough is not None:
+    if borough:
         rows = within_borough(rows, lookup, borough)
 
     day = F.col("pickup_date")

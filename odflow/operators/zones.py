@@ -76,7 +76,7 @@ def map_bounds(
     map, unless ``zoom_on`` selects the zones for all of them.
     """
     zones = on_maps(geometry, maps)
-    if zoom_on is not None:
+    if zoom_on:
         zones = filter_zones(zones, zoom_on)
     else:
         zones = zones.filter(_on_own_map())
@@ -96,7 +96,7 @@ def projections(
     ``margins`` are top, right, bottom and left. They shrink the area the map is
     fitted to; top and left do not move it.
     """
-    top, right, bottom, left = margins
+    top, right, bottom, left = margins or S.NO_MARGINS
     width = image_size[0] - right - left
     floor_y = image_size[1] - bottom
     height = floor_y - top
@@ -177,7 +177,7 @@ def project_parts(
     shapes = on_canvas(parts, projection, maps)
     if single_borough:
         shapes = shapes.filter(_on_own_map())
-    outlined = F.lit(True) if filter_on is None else matches(parts, filter_on)
+    outlined = matches(parts, filter_on) if filter_on else F.lit(True)
     vertices = F.transform(
         "coords",
         lambda p: F.struct(

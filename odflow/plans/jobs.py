@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflow import schema as S
@@ -24,10 +24,11 @@ def prepare_trips(
     start: Day,
     end: Day,
     excluded_zones: Iterable[int] = S.EXCLUDED_ZONES,
+    in_date_order: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Clean and store the trips, roll the stored trips up and store the rollup."""
     spark = raw.sparkSession
-    writers.write_trips(clean_trips(raw, excluded_zones), trips_path)
+    writers.write_trips(clean_trips(raw, excluded_zones), trips_path, in_date_order)
     trips = readers.read_trips(spark, trips_path)
     writers.write_daily(flows.daily_rollup(trips, start, end), daily_path)
     return trips, readers.read_daily(spark, daily_path)
@@ -129,11 +130,22 @@ def _map_names(maps: Sequence[str] | None) -> Column:
     return F.array(*map(F.lit, dict.fromkeys(maps)))
 
 
-def map_name(compare: bool, label: str) -> Column:
+def map_name(is_diff: Column, label: str) -> Column:
     """Name of one map: area, zone id, zone name, direction, label."""
     area = F.when(F.col("map_type") == S.TOTAL_MAP, "NYC").otherwise(F.col("map_type"))
-    suffix = f"{label}_diff_WD_WE" if compare else label
-    return F.concat_ws("_", area, F.col("zone"), "zone_name", "flow_dir", F.lit(suffix))
+    suffix = F.when(is_diff, f"{label}_diff_WD_WE").otherwise(label)
+    return F.concat_ws("_", area, F.col("zone"), "zone_name", "flow_dir", suffix)
+
+
+def _zone_flows(
+    od: DataFrame, parts: DataFrame, weight: str, focus_zones: Condition | None
+) -> DataFrame:
+    attributes = parts.select("zone_idx", "zone", "borough").distinct()
+    directed = adjacency.directed_flows(od, attributes, weight)
+    if focus_zones:
+        selected = zones.filter_zones(attributes, focus_zones)
+        directed = adjacency.focus_on(directed, selected)
+    return directed
 
 
 def choropleth_flows(
@@ -154,12 +166,16 @@ def choropleth_flows(
         od, weight = comparison.weekday_weekend_diff(daily, start, end, **where), "diff"
     else:
         od, weight = comparison.period_flow(daily, start, end, **where), "aggregated_result"
-    attributes = parts.select("zone_idx", "zone", "borough").distinct()
-    directed = adjacency.directed_flows(od, attributes, weight)
-    if focus_zones is not None:
-        selected = zones.filter_zones(attributes, focus_zones)
-        directed = adjacency.focus_on(directed, selected)
-    return directed
+    return _zone_flows(od, parts, weight, focus_zones)
+
+
+def _coloured_maps(
+    directed: DataFrame, maps: Sequence[str] | None, is_diff: Column, label: str
+) -> DataFrame:
+    coloured = adjacency.coloured_flows(directed)
+    return coloured.withColumn("map_type", F.explode(_map_names(maps))).withColumn(
+        "map_name", map_name(is_diff, label)
+    )
 
 
 def choropleth(
@@ -180,10 +196,7 @@ def choropleth(
     are those of ``choropleth_flows``.
     """
     directed = choropleth_flows(daily, parts, start, end, compare=compare, **options)
-    coloured = adjacency.coloured_flows(directed)
-    return coloured.withColumn("map_type", F.explode(_map_names(maps))).withColumn(
-        "map_name", map_name(compare, label)
-    )
+    return _coloured_maps(directed, maps, F.lit(compare), label)
 
 
 def choropleth_legends(
@@ -195,21 +208,23 @@ def choropleth_legends(
 
 
 def choropleth_products(
-    daily: DataFrame, parts: DataFrame, start: Day, end: Day, **options: Any
+    daily: DataFrame,
+    parts: DataFrame,
+    start: Day,
+    end: Day,
+    *,
+    maps: Sequence[str] | None = (S.TOTAL_MAP,),
+    label: str = "2018",
+    focus_zones: Condition | None = None,
+    **options: Any,
 ) -> DataFrame:
-    """The four products: in and out flow, over the period and as difference."""
-    period, diff = (
-        choropleth(daily, parts, start, end, compare=compare, **options).withColumns(
-            {
-                "measure": F.lit("diff" if compare else "period"),
-                "weight": F.col("weight").cast("double"),
-                "min_weight": F.col("min_weight").cast("double"),
-                "max_weight": F.col("max_weight").cast("double"),
-            }
-        )
-        for compare in (False, True)
-    )
-    return period.unionByName(diff)
+    """The four products: in and out flow, over the period and as difference.
+
+    All four come from one aggregation of the rollup.
+    """
+    od = comparison.period_and_diff(daily, start, end, **options)
+    directed = _zone_flows(od, parts, "weight", focus_zones)
+    return _coloured_maps(directed, maps, F.col("measure") == "diff", label)
 
 
 def animation_presets(boroughs: Sequence[str]) -> dict[str, dict[str, Any]]:

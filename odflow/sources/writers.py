@@ -1,8 +1,8 @@
 """Parquet writers.
 
-All of them ask for a rebalance instead of a plain repartition on the partition
-columns: small partitions are merged and one that holds a large share of the
-rows is split over several tasks and files.
+They ask for a rebalance instead of a plain repartition on the partition columns:
+small partitions are merged and one that holds a large share of the rows is split
+over several tasks and files.
 """
 
 from __future__ import annotations
@@ -10,32 +10,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from odflow import schema as S
+from odflow.operators.points import frame_positions
 
 
 def _write(df: DataFrame, path: str, *partition_columns: str) -> None:
-    (
-        df.hint("rebalance", *partition_columns)
-        .write.mode("overwrite")
-        .partitionBy(*partition_columns)
-        .parquet(path)
-    )
+    df.write.mode("overwrite").partitionBy(*partition_columns).parquet(path)
 
 
-def write_trips(trips: DataFrame, path: str) -> None:
-    """Trips laid out by pickup date, which takes the place of date indexes."""
-    _write(trips.select(*S.TRIP_SCHEMA.names), path, "pickup_date")
+def write_trips(trips: DataFrame, path: str, in_date_order: bool = False) -> None:
+    """Trips laid out by pickup date, which takes the place of date indexes.
+
+    Files that are already ``in_date_order`` are written without a shuffle, as
+    every task then meets few dates.
+    """
+    trips = trips.select(*S.TRIP_SCHEMA.names)
+    if not in_date_order:
+        trips = trips.hint("rebalance", "pickup_date")
+    _write(trips, path, "pickup_date")
 
 
 def write_daily(daily: DataFrame, path: str) -> None:
     """The daily rollup, laid out by pickup date."""
-    _write(daily.select(*S.DAILY_SCHEMA.names), path, "pickup_date")
+    daily = daily.select(*S.DAILY_SCHEMA.names)
+    _write(daily.hint("rebalance", "pickup_date"), path, "pickup_date")
+
 
+def write_animation(links: DataFrame, path: str) -> None:
+    """All frames of animation links, one directory per map and date.
 
-def write_frames(frames: DataFrame, path: str) -> None:
-    """Animation frames, one directory per map and date."""
-    _write(frames, path, "map_type", "bucket_date")
+    The links are rebalanced and spread out over the frames behind that shuffle, so
+    it moves one row per link and not one per frame.
+    """
+    keys = ["map_type", "bucket_date"]
+    _write(frame_positions(links.hint("rebalance", *keys)), path, *keys)
 
 
 def write_choropleth(products: DataFrame, path: str) -> None:
     """Choropleth rows, one directory per map and flow direction."""
-    _write(products, path, "map_type", "flow_dir")
+    keys = ["map_type", "flow_dir"]
+    _write(products.hint("rebalance", *keys), path, *keys)
