@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from checks import inputs
 from checks.catalog import QUERIES
 from odflow.operators import flows
+from odflow.operators.zones import zones_of_lookup
 from odflow.plans import jobs
 
 HEADLINE = [
@@ -85,12 +86,17 @@ def main() -> None:
 
     with tempfile.TemporaryDirectory(prefix="odflow-bench-") as folder:
         period = (inputs.START, inputs.END)
-        raw, parts = inputs.trips(spark, sf_dir), inputs.zone_parts(spark, sf_dir)
+        raw = inputs.trips(spark, sf_dir)
+        zone_table = zones_of_lookup(inputs.lookup(spark, sf_dir))
         stored: list[DataFrame] = []
 
         def prepare() -> None:
             paths = f"{folder}/trips", f"{folder}/daily"
-            stored.extend(jobs.prepare_trips(raw, *paths, *period, inputs.EXCLUDED))
+            stored.extend(
+                jobs.prepare_trips(
+                    raw, *paths, *period, excluded_zones=inputs.EXCLUDED, layout="month"
+                )
+            )
 
         seconds["prepare_trips"] = timed(prepare)
         trips, daily = stored
@@ -98,7 +104,7 @@ def main() -> None:
             lambda: drain(flows.od_flow(trips, *period, bucket="week"))
         )
         seconds["stored_choropleth_products"] = timed(
-            lambda: drain(jobs.choropleth_products(daily, parts, *period))
+            lambda: drain(jobs.choropleth_products(daily, zone_table, *period))
         )
 
     spark.stop()

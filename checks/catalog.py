@@ -54,11 +54,7 @@ def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.lookup(spark, sf_dir).select(
-        E.to_shape_index(F.col("LocationID")).alias("zone_idx"),
-        "zone",
-        F.col("borough_name").alias("borough"),
-    )
+    return zones.zones_of_lookup(inputs.lookup(spark, sf_dir))
 
 
 def _projection(geometry: DataFrame) -> DataFrame:
@@ -502,7 +498,7 @@ def _map_preset(name: str) -> Query:
         options = {**jobs.MAP_PRESETS[name], "label": "all"}
         return _map_output(
             jobs.choropleth(
-                _daily(spark, sf_dir), inputs.zone_parts(spark, sf_dir), START, END, **options
+                _daily(spark, sf_dir), _attributes(spark, sf_dir), START, END, **options
             )
         )
 
@@ -516,7 +512,7 @@ QUERIES.update({f"preset_{n}": _map_preset(n) for n in jobs.MAP_PRESETS})
 def choropleth_products(spark, sf_dir):
     products = jobs.choropleth_products(
         _daily(spark, sf_dir),
-        inputs.zone_parts(spark, sf_dir),
+        _attributes(spark, sf_dir),
         START,
         END,
         agg="avg",
@@ -529,7 +525,8 @@ def choropleth_products(spark, sf_dir):
 
 @query
 def choropleth_legends(spark, sf_dir):
+    zone_table = zones.zone_attributes(inputs.zone_parts(spark, sf_dir))
     legends = jobs.choropleth_legends(
-        _daily(spark, sf_dir), inputs.zone_parts(spark, sf_dir), START, END, compare=True
+        _daily(spark, sf_dir), zone_table, START, END, compare=True
     )
     return _round(_flat_colour(legends), "level")

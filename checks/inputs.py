@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from odflow import schema as S
 from odflow.operators.cleaning import with_trip_dates
+from odflow.operators.zones import zones_of_lookup
 
 # The whole span of order dates.
 START, END = "1995-01-01", "2001-12-31"
@@ -105,9 +106,5 @@ def zone_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("part"),
         coords.alias("coords"),
     )
-    zones = lookup(spark, sf_dir).select(
-        (F.col("LocationID") - 1).alias("zone_idx"),
-        "zone",
-        F.col("borough_name").alias("borough"),
-    )
+    zones = zones_of_lookup(lookup(spark, sf_dir))
     return parts.join(zones, "zone_idx").select("zone_idx", "part", "zone", "borough", "coords")

@@ -42,7 +42,14 @@ def checked_weekdays(
 
 
 def in_period(df: DataFrame, start: Day, end: Day) -> DataFrame:
-    """Rows of the days from ``start`` to ``end``, both included."""
+    """Rows of the days from ``start`` to ``end``, both included.
+
+    On data stored by month the months of the period prune the partitions.
+    """
+    month = S.LAYOUTS["month"]
+    if month in df.columns:
+        first, last = (F.trunc(as_date(day), "month") for day in (start, end))
+        df = df.filter(F.col(month).between(first, last))
     if start == end:
         return df.filter(F.col("pickup_date") == as_date(start))
     return df.filter(F.col("pickup_date").between(as_date(start), as_date(end)))

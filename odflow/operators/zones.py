@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from odflow import schema as S
 from odflow.functions import canvas
+from odflow.functions import encoding as E
 
 Condition = tuple[str | list[str], str]
 
@@ -31,6 +32,20 @@ def filter_zones(zones: DataFrame, condition: Condition) -> DataFrame:
     return zones.filter(matches(zones, condition))
 
 
+def zone_attributes(parts: DataFrame) -> DataFrame:
+    """One row per zone: its index, name and borough."""
+    return parts.select("zone_idx", "zone", "borough").distinct()
+
+
+def zones_of_lookup(lookup: DataFrame) -> DataFrame:
+    """The same from the zone lookup, for jobs that need no polygons."""
+    return lookup.select(
+        E.to_shape_index(F.col("LocationID")).alias("zone_idx"),
+        "zone",
+        F.col("borough_name").alias("borough"),
+    )
+
+
 def zone_geometry(parts: DataFrame) -> DataFrame:
     """One row per zone: centroid (mean of all vertices) and bounds."""
 

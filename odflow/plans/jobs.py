@@ -23,15 +23,23 @@ def prepare_trips(
     daily_path: str,
     start: Day,
     end: Day,
+    *,
     excluded_zones: Iterable[int] = S.EXCLUDED_ZONES,
+    layout: str = "day",
     in_date_order: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Clean and store the trips, roll the stored trips up and store the rollup."""
     spark = raw.sparkSession
-    writers.write_trips(clean_trips(raw, excluded_zones), trips_path, in_date_order)
-    trips = readers.read_trips(spark, trips_path)
-    writers.write_daily(flows.daily_rollup(trips, start, end), daily_path)
-    return trips, readers.read_daily(spark, daily_path)
+    writers.write_trips(
+        clean_trips(raw, excluded_zones),
+        trips_path,
+        layout=layout,
+        in_date_order=in_date_order,
+    )
+    trips = readers.read_trips(spark, trips_path, layout)
+    daily = flows.daily_rollup(trips, start, end)
+    writers.write_daily(daily, daily_path, layout=layout)
+    return trips, readers.read_daily(spark, daily_path, layout)
 
 
 def base_map(
@@ -138,19 +146,18 @@ def map_name(is_diff: Column, label: str) -> Column:
 
 
 def _zone_flows(
-    od: DataFrame, parts: DataFrame, weight: str, focus_zones: Condition | None
+    od: DataFrame, zone_table: DataFrame, weight: str, focus_zones: Condition | None
 ) -> DataFrame:
-    attributes = parts.select("zone_idx", "zone", "borough").distinct()
-    directed = adjacency.directed_flows(od, attributes, weight)
+    directed = adjacency.directed_flows(od, zone_table, weight)
     if focus_zones:
-        selected = zones.filter_zones(attributes, focus_zones)
+        selected = zones.filter_zones(zone_table, focus_zones)
         directed = adjacency.focus_on(directed, selected)
     return directed
 
 
 def choropleth_flows(
     daily: DataFrame,
-    parts: DataFrame,
+    zone_table: DataFrame,
     start: Day,
     end: Day,
     *,
@@ -160,13 +167,16 @@ def choropleth_flows(
     lookup: DataFrame | None = None,
     focus_zones: Condition | None = None,
 ) -> DataFrame:
-    """In and out flows per zone behind the maps of one measure."""
+    """In and out flows per zone behind the maps of one measure.
+
+    ``zone_table`` has one row per zone with its index, name and borough.
+    """
     where = {"agg": agg, "borough": borough, "lookup": lookup}
     if compare:
         od, weight = comparison.weekday_weekend_diff(daily, start, end, **where), "diff"
     else:
         od, weight = comparison.period_flow(daily, start, end, **where), "aggregated_result"
-    return _zone_flows(od, parts, weight, focus_zones)
+    return _zone_flows(od, zone_table, weight, focus_zones)
 
 
 def _coloured_maps(
@@ -180,7 +190,7 @@ def _coloured_maps(
 
 def choropleth(
     daily: DataFrame,
-    parts: DataFrame,
+    zone_table: DataFrame,
     start: Day,
     end: Day,
     *,
@@ -195,21 +205,21 @@ def choropleth(
     gives every zone the total map and the map of its own borough. Further options
     are those of ``choropleth_flows``.
     """
-    directed = choropleth_flows(daily, parts, start, end, compare=compare, **options)
+    directed = choropleth_flows(daily, zone_table, start, end, compare=compare, **options)
     return _coloured_maps(directed, maps, F.lit(compare), label)
 
 
 def choropleth_legends(
-    daily: DataFrame, parts: DataFrame, start: Day, end: Day, **options: Any
+    daily: DataFrame, zone_table: DataFrame, start: Day, end: Day, **options: Any
 ) -> DataFrame:
     """Legend levels of the in and out map of every zone; the same on all maps."""
-    directed = choropleth_flows(daily, parts, start, end, **options)
+    directed = choropleth_flows(daily, zone_table, start, end, **options)
     return adjacency.legends(adjacency.zone_extremes(directed))
 
 
 def choropleth_products(
     daily: DataFrame,
-    parts: DataFrame,
+    zone_table: DataFrame,
     start: Day,
     end: Day,
     *,
@@ -223,7 +233,7 @@ def choropleth_products(
     All four come from one aggregation of the rollup.
     """
     od = comparison.period_and_diff(daily, start, end, **options)
-    directed = _zone_flows(od, parts, "weight", focus_zones)
+    directed = _zone_flows(od, zone_table, "weight", focus_zones)
     return _coloured_maps(directed, maps, F.col("measure") == "diff", label)
 
 

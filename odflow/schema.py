@@ -97,6 +97,9 @@ DERIVED_DATE_FIELDS = [
 
 TRIP_SCHEMA = T.StructType(TRIP_FILE_SCHEMA.fields + DERIVED_DATE_FIELDS)
 
+# Partition column of stored trips and rollups by layout.
+LAYOUTS = {"day": "pickup_date", "month": "pickup_month"}
+
 DAILY_SCHEMA = T.StructType(
     [
         T.StructField("pickup_date", T.DateType()),

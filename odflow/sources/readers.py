@@ -34,14 +34,23 @@ def read_trip_files(
     return with_trip_dates(trips)
 
 
-def read_trips(spark: SparkSession, path: str) -> DataFrame:
+def _read_layout(
+    spark: SparkSession, path: str, schema: T.StructType, layout: str
+) -> DataFrame:
+    column = S.LAYOUTS[layout]
+    if column not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField(column, T.DateType())])
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_trips(spark: SparkSession, path: str, layout: str = "day") -> DataFrame:
     """Trips stored by ``write_trips``; date filters prune its partitions."""
-    return spark.read.schema(S.TRIP_SCHEMA).parquet(path)
+    return _read_layout(spark, path, S.TRIP_SCHEMA, layout)
 
 
-def read_daily(spark: SparkSession, path: str) -> DataFrame:
+def read_daily(spark: SparkSession, path: str, layout: str = "day") -> DataFrame:
     """Daily rollup stored by ``write_daily``."""
-    return spark.read.schema(S.DAILY_SCHEMA).parquet(path)
+    return _read_layout(spark, path, S.DAILY_SCHEMA, layout)
 
 
 def read_lookup(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

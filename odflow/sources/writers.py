@@ -8,6 +8,7 @@ over several tasks and files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from odflow import schema as S
 from odflow.operators.points import frame_positions
@@ -17,22 +18,33 @@ def _write(df: DataFrame, path: str, *partition_columns: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_columns).parquet(path)
 
 
-def write_trips(trips: DataFrame, path: str, in_date_order: bool = False) -> None:
+def _with_layout(df: DataFrame, layout: str) -> DataFrame:
+    if layout == "month":
+        df = df.withColumn(S.LAYOUTS[layout], F.trunc("pickup_date", "month"))
+    return df
+
+
+def write_trips(
+    trips: DataFrame, path: str, *, layout: str = "day", in_date_order: bool = False
+) -> None:
     """Trips laid out by pickup date, which takes the place of date indexes.
 
-    Files that are already ``in_date_order`` are written without a shuffle, as
-    every task then meets few dates.
+    The layout ``day`` makes one directory per date and suits days of gigabytes,
+    ``month`` suits less. Files that are already ``in_date_order`` are written
+    without a shuffle, as every task then meets few dates.
     """
-    trips = trips.select(*S.TRIP_SCHEMA.names)
+    column = S.LAYOUTS[layout]
+    trips = _with_layout(trips.select(*S.TRIP_SCHEMA.names), layout)
     if not in_date_order:
-        trips = trips.hint("rebalance", "pickup_date")
-    _write(trips, path, "pickup_date")
+        trips = trips.hint("rebalance", column)
+    _write(trips, path, column)
 
 
-def write_daily(daily: DataFrame, path: str) -> None:
+def write_daily(daily: DataFrame, path: str, *, layout: str = "day") -> None:
     """The daily rollup, laid out by pickup date."""
-    daily = daily.select(*S.DAILY_SCHEMA.names)
-    _write(daily.hint("rebalance", "pickup_date"), path, "pickup_date")
+    column = S.LAYOUTS[layout]
+    daily = _with_layout(daily.select(*S.DAILY_SCHEMA.names), layout)
+    _write(daily.hint("rebalance", column), path, column)
 
 
 def write_animation(links: DataFrame, path: str) -> None:

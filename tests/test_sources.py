@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from odflow import schema as S
+from odflow.operators.comparison import period_flow
+from odflow.operators.flows import od_flow
+from odflow.operators.zones import zone_attributes
 from odflow.plans import jobs
 from odflow.sources import readers, writers
 
@@ -62,6 +65,19 @@ def test_prepared_trips_and_rollup(spark, trip_frame, tmp_path):
     assert "PartitionFilters: [isnotnull(pickup_date" in plan
 
 
+def test_layout_by_month(spark, trip_frame, tmp_path):
+    raw = trip_frame([("2018-01-31", 1, 2), ("2018-02-01", 1, 2), ("2018-03-01", 1, 2)])
+    trips, daily = jobs.prepare_trips(
+        raw, str(tmp_path / "t"), str(tmp_path / "d"), "2018-01-01", "2018-12-31", layout="month"
+    )
+    assert (trips.count(), daily.count()) == (3, 3)
+    flow = od_flow(trips, "2018-01-15", "2018-02-10", bucket="day")
+    assert {r["bucket_date"] for r in flow.collect()} == {date(2018, 1, 31), date(2018, 2, 1)}
+    plan = flow._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(pickup_month" in plan
+    assert period_flow(daily, "2018-02-01", "2018-03-31").first()["aggregated_result"] == 2
+
+
 def test_files_in_date_order_are_written_without_a_shuffle(spark, trip_frame, tmp_path):
     path = str(tmp_path / "trips")
     writers.write_trips(trip_frame([("2018-01-01", 1, 2)]), path, in_date_order=True)
@@ -77,7 +93,7 @@ def test_lookup_from_csv(spark, tmp_path):
 def test_stored_products(spark, daily_frame, square_zones, tmp_path):
     daily = daily_frame([("2018-01-01", 1, 2, 5), ("2018-01-06", 2, 1, 3)])
     products = jobs.choropleth(
-        daily, square_zones, "2018-01-01", "2018-01-31", maps=None, compare=True
+        daily, zone_attributes(square_zones), "2018-01-01", "2018-01-31", maps=None, compare=True
     )
     path = str(tmp_path / "maps")
     writers.write_choropleth(products, path)
