@@ -42,14 +42,15 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trip per line item, from the supplier's to the customer's nation.
 
     Customers meet the narrow orders table before the line items do, so the wide
-    side is shuffled once per join key and nothing is joined twice.
+    side is shuffled once per join key and nothing is joined twice. Orders and line
+    items both grow with the data, so neither is ever broadcast for the other.
     """
     ordered = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     joined = (
         table(spark, sf_dir, "lineitem")
-        .join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(ordered.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
     passengers = F.when(
