@@ -60,6 +60,8 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small partitions, so that small test data still uses every core
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
@@ -84,7 +86,8 @@ def main() -> None:
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     seconds = {name: timed(lambda: drain(QUERIES[name](spark, sf_dir))) for name in HEADLINE}
 
-    with tempfile.TemporaryDirectory(prefix="odflow-bench-") as folder:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    with tempfile.TemporaryDirectory(prefix="odflow-bench-", dir=shared) as folder:
         period = (inputs.START, inputs.END)
         raw = inputs.trips(spark, sf_dir)
         zone_table = zones_of_lookup(inputs.lookup(spark, sf_dir))

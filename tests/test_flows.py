@@ -127,3 +127,36 @@ def test_daily_counts_add_up_to_the_period(trips):
     weeks = od_flow(trips, *period, bucket="week").agg(F.sum("aggregated_result")).first()[0]
     total = od_flow(trips, *period).agg(F.sum("aggregated_result")).first()[0]
     assert days == weeks == total == 5
+
+
+def test_hot_link(spark):
+    """A third of all trips on one link: whole counts, and few rows in the shuffle."""
+    n = 300_000
+    day = F.date_add(F.lit(date(2018, 1, 1)), (F.col("id") % 10).cast("int"))
+    link = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)
+    rows = spark.range(0, n, 1, 16).select(
+        day.alias("pickup_date"),
+        F.weekday(day).alias("pickup_weekday"),
+        (link + 1).cast("int").alias("PULocationID"),
+        (link + 2).cast("int").alias("DOLocationID"),
+        F.lit(1).alias("passenger_count"),
+    )
+    flow = od_flow(rows, "2018-01-01", "2018-01-10")
+    expected = {}
+    for i in range(n):
+        key = 0 if i % 3 == 0 else i % 50
+        expected[(key + 1, key + 2)] = expected.get((key + 1, key + 2), 0) + 1
+    assert result(flow) == expected
+
+    def written(node):
+        metric = node.metrics().get("shuffleRecordsWritten")
+        own = metric.get().value() if metric.isDefined() else 0
+        children = node.children()
+        inner = [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            inner = [node.executedPlan()]
+        elif "QueryStage" in node.nodeName():
+            inner = [node.plan()]
+        return own + sum(map(written, inner))
+
+    assert 0 < written(flow._jdf.queryExecution().executedPlan()) <= 16 * 50

@@ -39,6 +39,7 @@ def test_trip_files(spark, trip_file):
     assert (first["total_amount"], first["store_and_fwd_flag"]) == (7.8, "N")
     assert (second["pickup_weekday"], second["passenger_count"]) == (5, 0)
     assert third["tpep_pickup_datetime"] is None and third["pickup_date"] is None
+    assert (third["PULocationID"], third["total_amount"]) == (24, 7.5)
 
 
 def test_blank_numbers_can_stay_null(spark, trip_file):
