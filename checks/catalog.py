@@ -66,7 +66,7 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _flat_colour(df: DataFrame) -> DataFrame:
-    flat = {f"colour_{n}": F.round(F.col(f"colour.{n}").cast("double"), 6) for n in "bgr"}
+    flat = {f"colour_{n}": F.col(f"colour.{n}").cast("double") for n in "bgr"}
     return df.withColumns(flat).drop("colour")
 
 
@@ -119,10 +119,7 @@ def _flow(**options) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         extra = {"lookup": inputs.lookup(spark, sf_dir)} if with_lookup else {}
-        flow = flows.od_flow(_clean(spark, sf_dir), start, end, **options, **extra)
-        if options.get("agg") == "avg":
-            flow = _round(flow, "aggregated_result")
-        return flow
+        return flows.od_flow(_clean(spark, sf_dir), start, end, **options, **extra)
 
     return run
 
@@ -198,21 +195,20 @@ def date_captions(spark, sf_dir):
 # Period flows and comparison --------------------------------------------------
 
 
-def _over_rollup(operator, value: str, **options) -> Query:
+def _over_rollup(operator, **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         extra = {"lookup": inputs.lookup(spark, sf_dir)} if "borough" in options else {}
-        result = operator(_daily(spark, sf_dir), START, END, **options, **extra)
-        return _round(result, value) if options.get("agg") == "avg" else result
+        return operator(_daily(spark, sf_dir), START, END, **options, **extra)
 
     return run
 
 
 def _period_flow(**options) -> Query:
-    return _over_rollup(comparison.period_flow, "aggregated_result", **options)
+    return _over_rollup(comparison.period_flow, **options)
 
 
 def _diff(**options) -> Query:
-    return _over_rollup(comparison.weekday_weekend_diff, "diff", **options)
+    return _over_rollup(comparison.weekday_weekend_diff, **options)
 
 
 def _diff_join(compare: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -520,7 +516,7 @@ def choropleth_products(spark, sf_dir):
         label="all",
         focus_zones=(["ASIA", "EUROPE"], "borough"),
     )
-    return _round(_map_output(products), "weight", "min_weight", "max_weight")
+    return _map_output(products)
 
 
 @query

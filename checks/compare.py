@@ -5,7 +5,6 @@ Usage: python -m checks.compare [sf_dir] [query ...]
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -29,10 +28,6 @@ def _key(row: tuple) -> tuple:
 
 
 def _same(a, b) -> bool:
-    if isinstance(a, float) or isinstance(b, float):
-        if a is None or b is None:
-            return a is b
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
     return a == b and type(a) is type(b)
 
 

@@ -240,7 +240,7 @@ def _both_in(flow: str, borough: str) -> str:
     WHERE lookup_pu.borough = '{borough}' AND lookup_do.borough = '{borough}'"""
 
 
-_AVG = "round(avg(passenger_count), 6)"
+_AVG = "avg(passenger_count)"
 _ON_DAY = f"pickup_date = DATE '{DAY}'"
 _IN_SPAN = f"pickup_date {SPAN}"
 _BY_DAY = "pickup_date AS bucket_date,"
@@ -332,29 +332,27 @@ def _halves(agg: str) -> tuple[str, str]:
     )
 
 
-def _difference(rows: str, value: str = "coalesce(wd, 0) - coalesce(we, 0)") -> str:
+def _difference(rows: str) -> str:
     return f"""
     SELECT coalesce(wd_pu, we_pu) AS pu_id, coalesce(wd_do, we_do) AS do_id,
-           {value} AS diff FROM ({rows})"""
+           coalesce(wd, 0) - coalesce(we, 0) AS diff FROM ({rows})"""
 
 
-def _union_difference(agg: str, value: str = "coalesce(wd, 0) - coalesce(we, 0)") -> str:
-    return _difference(" UNION ".join(_halves(agg)), value)
+def _union_difference(agg: str) -> str:
+    return _difference(" UNION ".join(_halves(agg)))
 
 
-_ROUNDED = "round(coalesce(wd, 0) - coalesce(we, 0), 6)"
-
 SQL["period_flow_count"] = _with(_period(_COUNT_DAYS), "daily")
-SQL["period_flow_avg"] = _with(_period(f"round({_AVG_DAYS}, 6)"), "daily")
+SQL["period_flow_avg"] = _with(_period(_AVG_DAYS), "daily")
 SQL["period_flow_sum"] = _with(_period(_SUM_DAYS), "daily")
 SQL["period_flow_borough"] = _with(
-    _both_in(_period(f"round({_AVG_DAYS}, 6)"), "ASIA"), "daily", "lookup"
+    _both_in(_period(_AVG_DAYS), "ASIA"), "daily", "lookup"
 )
 SQL["wd_we_diff_count"] = _with(_union_difference(_COUNT_DAYS), "daily")
-SQL["wd_we_diff_avg"] = _with(_union_difference(_AVG_DAYS, _ROUNDED), "daily")
+SQL["wd_we_diff_avg"] = _with(_union_difference(_AVG_DAYS), "daily")
 SQL["wd_we_diff_sum"] = _with(_union_difference(_SUM_DAYS), "daily")
 SQL["wd_we_diff_borough"] = _with(
-    _both_in(_union_difference(_AVG_DAYS, _ROUNDED), "ASIA"), "daily", "lookup"
+    _both_in(_union_difference(_AVG_DAYS), "ASIA"), "daily", "lookup"
 )
 SQL["wd_we_left_join"] = _with(_difference(_halves(_COUNT_DAYS)[0]), "daily")
 SQL["wd_we_right_join"] = _with(_difference(_halves(_COUNT_DAYS)[1]), "daily")
@@ -391,9 +389,9 @@ def _colour(value: str) -> str:
             return f"({high} - {low}) * ({value} / {bound}) + {low}"
 
         return f"""
-        round(cast(CASE WHEN {value} = 0 THEN {grey}
+        cast(CASE WHEN {value} = 0 THEN {grey}
              WHEN {value} > 0 THEN {ramp(*positive, 'max_weight')}
-             ELSE {ramp(*negative, 'min_weight')} END AS double), 6) AS colour_{name}"""
+             ELSE {ramp(*negative, 'min_weight')} END AS double) AS colour_{name}"""
 
     return ", ".join(
         (
@@ -705,7 +703,7 @@ _PRODUCTS = {
 SQL["choropleth_products"] = _with(
     " UNION ALL BY NAME ".join(
         f"""
-        SELECT * REPLACE ({_r6('weight', 'min_weight', 'max_weight')}), '{name}' AS measure
+        SELECT *, '{name}' AS measure
         FROM ({_choropleth(od, value, "['total', 'ASIA']", suffix,
                            "borough IN ('ASIA', 'EUROPE')")})"""
         for name, (od, value, suffix) in _PRODUCTS.items()
