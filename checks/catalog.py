@@ -154,15 +154,16 @@ def _day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.groupBy("pickup_date").agg(F.count("*").alias("n_trips"))
 
 
-def _spine(days: DataFrame) -> DataFrame:
-    period = days.agg(F.min("pickup_date").alias("start"), F.max("pickup_date").alias("end"))
-    return flows.date_spine(period)
+def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    orders = inputs.table(spark, sf_dir, "orders")
+    return flows.date_spine(orders.agg(F.min(day).alias("start"), F.max(day).alias("end")))
 
 
 @query
 def date_spine(spark, sf_dir):
-    days = _day_counts(spark, sf_dir)
-    counted = _spine(days).join(days, F.col("day") == F.col("pickup_date"), "left")
+    days, spine = _day_counts(spark, sf_dir), _spine(spark, sf_dir)
+    counted = spine.join(days, F.col("day") == F.col("pickup_date"), "left")
     return counted.select(
         "day",
         F.weekday("day").alias("weekday"),
@@ -172,7 +173,7 @@ def date_spine(spark, sf_dir):
 
 @query
 def week_buckets(spark, sf_dir):
-    return flows.bucket_intervals(_spine(_day_counts(spark, sf_dir)))
+    return flows.bucket_intervals(_spine(spark, sf_dir))
 
 
 @query
@@ -416,8 +417,7 @@ def point_weights(spark, sf_dir):
 
 @query
 def size_legend(spark, sf_dir):
-    flow = _weekly(spark, sf_dir)
-    return points.size_legend(flow).unionByName(points.size_legend(flow, "ASIA"))
+    return points.size_legend(_weekly(spark, sf_dir), ("total", "ASIA"))
 
 
 @query

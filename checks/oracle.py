@@ -95,6 +95,14 @@ _cte(
 )
 
 
+_cte(
+    "span",
+    """
+    SELECT cast(min(o_orderdate) AS date) AS lo, cast(max(o_orderdate) AS date) AS hi
+    FROM orders""",
+)
+
+
 # Week buckets as an explicit interval table: the start of the period and every
 # Monday strictly inside it (or up to its end) open a bucket.
 def _intervals(start: str, end: str, last_monday: str = "<") -> str:
@@ -274,20 +282,19 @@ SQL["od_ordered_borough"] = _with(
 SQL["date_spine"] = _with(
     """
     SELECT day, cast(isodow(day) - 1 AS int) AS weekday, coalesce(n_trips, 0) AS n_trips
-    FROM (SELECT cast(unnest(generate_series(min(pickup_date), max(pickup_date),
-                                             INTERVAL 1 DAY)) AS date) AS day
-          FROM clean)
+    FROM (SELECT cast(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS date) AS day
+          FROM span)
     LEFT JOIN day_counts ON day = pickup_date""",
     "day_counts",
+    "span",
 )
 SQL["week_buckets"] = _with(
     f"""
     SELECT first_day AS bucket_date, first_day, last_day
     FROM ({_intervals('lo', 'hi').replace(
         'FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d)',
-        '''FROM (SELECT lo, hi, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d
-                 FROM (SELECT min(pickup_date) AS lo, max(pickup_date) AS hi FROM clean))''')})""",
-    "clean",
+        'FROM (SELECT lo, hi, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM span)')})""",
+    "span",
 )
 SQL["special_dates"] = _with(
     "SELECT pickup_date AS bucket_date, n_trips, CASE "

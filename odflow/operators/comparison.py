@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflow import schema as S
-from odflow.operators.flows import Day, in_period, measure, within_borough
+from odflow.operators.flows import (
+    Day,
+    in_period,
+    measure,
+    on_weekdays,
+    within_borough,
+)
 
 LINK = ["pu_id", "do_id"]
 COUNT_PER_DAY = "passenger_count_per_day"
@@ -51,13 +57,7 @@ def weekday_and_weekend_flow(
 ) -> tuple[DataFrame, DataFrame]:
     """Period flow over the weekdays and over the weekends."""
     weekdays, weekends = (
-        period_flow(
-            daily.filter(F.col("pickup_weekday").isin(list(days))),
-            start,
-            end,
-            agg=agg,
-            **where,
-        )
+        period_flow(on_weekdays(daily, days), start, end, agg=agg, **where)
         for days in (S.WEEKDAYS, S.WEEKENDS)
     )
     return weekdays, weekends

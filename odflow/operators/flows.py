@@ -55,6 +55,18 @@ def in_period(df: DataFrame, start: Day, end: Day) -> DataFrame:
     return df.filter(F.col("pickup_date").between(as_date(start), as_date(end)))
 
 
+def on_weekdays(df: DataFrame, days: Iterable[int]) -> DataFrame:
+    """Rows of some weekdays.
+
+    The weekday is also taken from the date, which prunes data stored by day; the
+    stored weekday is what an external database can filter on.
+    """
+    days = list(days)
+    return df.filter(
+        F.col("pickup_weekday").isin(days) & F.weekday("pickup_date").isin(days)
+    )
+
+
 def within_borough(df: DataFrame, lookup: DataFrame, borough: str) -> DataFrame:
     """Rows with both ends in one borough.
 
@@ -90,7 +102,7 @@ def od_flow(
     days = checked_weekdays(weekdays, time_granularity)
     rows = in_period(trips, start, end)
     if days:
-        rows = rows.filter(F.col("pickup_weekday").isin(days))
+        rows = on_weekdays(rows, days)
     if borough:
         rows = within_borough(rows, lookup, borough)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflow import schema as S
@@ -33,24 +33,20 @@ def with_run_extremes(flow: DataFrame) -> DataFrame:
     )
 
 
-def size_legend(flow: DataFrame, map_type: str = S.TOTAL_MAP) -> DataFrame:
-    """Point sizes and captions of the largest and the smallest flow of a run."""
+def size_legend(flow: DataFrame, maps: Sequence[str] = (S.TOTAL_MAP,)) -> DataFrame:
+    """Point sizes and captions of the largest and smallest flow, on every map."""
     low, high = F.col("min_weight"), F.col("max_weight")
 
-    def entry(name: str, value, noun: str):
+    def entry(name: str, value: Column, noun: str) -> Column:
         return F.struct(
             F.lit(name).alias("entry"),
             value.alias("value"),
-            E.point_size(value, high, F.lit(map_type)).alias("size"),
+            E.point_size(value, high, F.col("map_type")).alias("size"),
             F.concat(value.cast("string"), F.lit(f" {noun}")).alias("caption"),
         )
 
     entries = F.array(entry("max", high, "passengers"), entry("min", low, "passenger"))
-    return (
-        run_extremes(flow)
-        .select(F.explode(entries).alias("e"))
-        .select(F.lit(map_type).alias("map_type"), "e.*")
-    )
+    return zones.on_maps(run_extremes(flow), maps).select("map_type", F.inline(entries))
 
 
 def map_links(

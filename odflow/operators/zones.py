@@ -72,10 +72,10 @@ def zone_geometry(parts: DataFrame) -> DataFrame:
     )
 
 
-def on_maps(zones: DataFrame, maps: Sequence[str]) -> DataFrame:
-    """Repeat zones for every map asked for."""
+def on_maps(df: DataFrame, maps: Sequence[str]) -> DataFrame:
+    """Repeat rows for every map asked for."""
     names = F.array(*map(F.lit, dict.fromkeys(maps)))
-    return zones.withColumn("map_type", F.explode(names))
+    return df.withColumn("map_type", F.explode(names))
 
 
 def _on_own_map() -> Column:

@@ -44,7 +44,7 @@ def test_run_extremes_cover_all_dates_and_unknown_zones(trips):
 
 def test_size_legend(trips):
     flow = od_flow(trips, "2018-01-01", "2018-01-14", bucket="day")
-    rows = {r["entry"]: r for r in points.size_legend(flow, "South").collect()}
+    rows = {r["entry"]: r for r in points.size_legend(flow, ["South"]).collect()}
     assert (rows["max"]["size"], rows["max"]["caption"]) == (30, "8 passengers")
     assert (rows["min"]["size"], rows["min"]["caption"]) == (3, "1 passenger")
 

@@ -64,6 +64,9 @@ def test_prepared_trips_and_rollup(spark, trip_frame, tmp_path):
     assert day.count() == 1
     plan = day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(pickup_date" in plan
+    weekends = od_flow(trips, "2018-01-01", "2018-12-31", weekdays=(5, 6))
+    plan = weekends._jdf.queryExecution().executedPlan().toString()
+    assert "weekday(pickup_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_layout_by_month(spark, trip_frame, tmp_path):
