@@ -140,8 +140,9 @@ def _map_names(maps: Sequence[str] | None) -> Column:
 
 def map_name(is_diff: Column, label: str) -> Column:
     """Name of one map: area, zone id, zone name, direction, label."""
-    area = F.when(F.col("map_type") == S.TOTAL_MAP, "NYC").otherwise(F.col("map_type"))
-    suffix = F.when(is_diff, f"{label}_diff_WD_WE").otherwise(label)
+    map_type = F.col("map_type")
+    area = F.when(map_type == S.TOTAL_MAP, S.TOTAL_AREA).otherwise(map_type)
+    suffix = F.when(is_diff, f"{label}_{S.DIFF_LABEL}").otherwise(label)
     return F.concat_ws("_", area, F.col("zone"), "zone_name", "flow_dir", suffix)
 
 

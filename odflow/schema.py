@@ -31,6 +31,10 @@ WEEKENDS = (5, 6)
 # Map selector that stands for all zones.
 TOTAL_MAP = "total"
 
+# Parts of map names: the area of the total map, the ending of a difference map.
+TOTAL_AREA = "NYC"
+DIFF_LABEL = "diff_WD_WE"
+
 # Default calendar of labelled days.
 SPECIAL_DATES = (
     (date(2018, 1, 1), "New Year"),

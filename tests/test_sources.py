@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from odflow import schema as S
 from odflow.operators.comparison import period_flow
 from odflow.operators.flows import od_flow
+from odflow.operators.points import frame_positions
 from odflow.operators.zones import zone_attributes
 from odflow.plans import jobs
 from odflow.sources import readers, writers
@@ -88,6 +89,24 @@ def test_files_in_date_order_are_written_without_a_shuffle(spark, trip_frame, tm
     assert readers.read_trips(spark, path).count() == 1
 
 
+def test_a_hot_date_is_split_over_several_files(spark, trip_frame, tmp_path):
+    n = F.col("id")
+    day = F.when(n % 3 == 0, F.lit(date(2018, 1, 2))).otherwise(F.lit(date(2018, 1, 1)))
+    # most trips on the first date, and an amount that does not compress away
+    known = {"pickup_date": day, "fare_amount": F.xxhash64(n).cast("double")}
+    hot = spark.range(0, 90_000, 1, 8).select(
+        *(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.TRIP_SCHEMA)
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        writers.write_trips(hot, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert readers.read_trips(spark, str(tmp_path / "t")).count() == 90_000
+    files = list((tmp_path / "t" / "pickup_date=2018-01-01").glob("*.parquet"))
+    assert len(files) > 1
+
+
 def test_lookup_from_csv(spark, tmp_path):
     path = tmp_path / "lookup.csv"
     path.write_text("LocationID,borough_name,zone\n1,EWR,Newark Airport\n")
@@ -118,6 +137,14 @@ def test_stored_animation(spark, trip_frame, square_zones, tmp_path):
     assert stored.filter("bucket_date = DATE '2018-01-02'").count() == 60
 
 
+def test_animation_is_rebalanced_before_the_frames(spark, trip_frame, square_zones):
+    trips = trip_frame([("2018-01-01", 1, 2)])
+    links = jobs.animation_links(trips, square_zones, "2018-01-01", "2018-01-02")
+    frames = frame_positions(links.hint("rebalance", "map_type", "bucket_date"))
+    text = frames._jdf.queryExecution().executedPlan().toString()
+    assert text.index("explode(") < text.index("REBALANCE_PARTITIONS_BY_COL")
+
+
 def test_jdbc_options():
     options = readers.jdbc_options(
         "jdbc:mariadb://host/db", "trips", date(2018, 1, 1), "2018-12-31", user="reader"
