@@ -19,8 +19,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import inputs
-from checks.catalog import QUERIES
+from odflow_checks import inputs
+from odflow_checks.catalog import QUERIES
 from odflow.operators import flows
 from odflow.operators.zones import zones_of_lookup
 from odflow.plans import jobs

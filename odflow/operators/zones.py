@@ -47,7 +47,10 @@ def zones_of_lookup(lookup: DataFrame) -> DataFrame:
 
 
 def zone_geometry(parts: DataFrame) -> DataFrame:
-    """One row per zone: centroid (mean of all vertices) and bounds."""
+    """One row per zone: centroid (mean of all vertices) and bounds.
+
+    A zone without vertices has neither.
+    """
 
     def total(axis: str) -> Column:
         return F.aggregate("coords", F.lit(0.0), lambda acc, p: acc + p[axis])
@@ -64,9 +67,13 @@ def zone_geometry(parts: DataFrame) -> DataFrame:
         *(F.array_min(axis_values(a)).alias(f"low_{a}") for a in "xy"),
         *(F.array_max(axis_values(a)).alias(f"high_{a}") for a in "xy"),
     )
+    vertices = F.sum("n")
     return per_part.groupBy("zone_idx", "zone", "borough").agg(
-        F.sum("n").alias("n_vertices"),
-        *((F.sum(f"sum_{a}") / F.sum("n")).alias(f"center_{a}") for a in "xy"),
+        vertices.alias("n_vertices"),
+        *(
+            (F.sum(f"sum_{a}") / F.nullif(vertices, F.lit(0))).alias(f"center_{a}")
+            for a in "xy"
+        ),
         *(F.min(f"low_{a}").alias(f"lower_{a}") for a in "xy"),
         *(F.max(f"high_{a}").alias(f"upper_{a}") for a in "xy"),
     )

@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import inputs
-from checks.inputs import BOROUGHS, END, EXCLUDED, START
+from odflow_checks import inputs
+from odflow_checks.inputs import BOROUGHS, END, EXCLUDED, START
 from odflow import schema as S
 from odflow.functions import canvas
 from odflow.functions import encoding as E

@@ -1,6 +1,6 @@
 """Run the registered queries against their SQL and compare whole results.
 
-Usage: python -m checks.compare [sf_dir] [query ...]
+Usage: python -m odflow_checks.compare [sf_dir] [query ...]
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.catalog import QUERIES
-from checks.oracle import SQL
+from odflow_checks.catalog import QUERIES
+from odflow_checks.oracle import SQL
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from checks.catalog import CALENDAR, DAY, MAPS, MARGINS, MONDAY_END
-from checks.inputs import BOROUGHS, END, EXCLUDED, START
+from odflow_checks.catalog import CALENDAR, DAY, MAPS, MARGINS, MONDAY_END
+from odflow_checks.inputs import BOROUGHS, END, EXCLUDED, START
 
 SPAN = f"BETWEEN DATE '{START}' AND DATE '{END}'"
 

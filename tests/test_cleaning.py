@@ -55,7 +55,7 @@ def test_unknown_zones(spark, trip_frame):
 
 
 def test_kept_rows_of_the_driver_tables(spark):
-    from checks import inputs
+    from odflow_checks import inputs
 
     trips = inputs.trips(spark, "/root/testdata/sf0.01")
     assert trips.count() == 60_000

@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
-from checks.compare import connect, difference
+from odflow_checks.compare import connect, difference
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 ORACLE = entry_point.oracle_sql()

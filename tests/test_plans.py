@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from checks.catalog import QUERIES
+from odflow_checks.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
 

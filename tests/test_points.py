@@ -95,3 +95,29 @@ def test_frames_per_link(trips, square_zones):
     last = {(r["pu_id"], r["do_id"]): (r["x"], r["y"]) for r in frames.filter("frame = 59").collect()}
     for r in links.collect():
         assert last[(r["pu_id"], r["do_id"])] == pytest.approx((r["do_x"], r["do_y"]), abs=1.0)
+
+
+def test_a_run_by_configuration_lists(trip_frame, square_zones):
+    """Lists as they stand in a configuration file; the period ends on a Monday."""
+    trips = trip_frame(
+        [("2018-01-01", 1, 2), ("2018-01-02", 1, 2), ("2018-01-03", 1, 2), ("2018-01-15", 4, 1)]
+    )
+    links = jobs.animation_links(
+        trips,
+        square_zones,
+        *["2018-01-01", "2018-01-15"],
+        maps=["total", "North"],
+        bucket="week",
+        weekdays=[0, 1],
+        margins=[],
+        zoom_on=[],
+        borough=False,
+    )
+    rows = {
+        (r["map_type"], r["bucket_date"].day, r["pu_id"]): (r["aggregated_result"], r["weight"])
+        for r in links.collect()
+    }
+    assert rows == {
+        ("total", 1, 1): (2, 20), ("total", 8, 4): (1, 10),
+        ("North", 1, 1): (2, 30), ("North", 8, 4): (1, 15),
+    }

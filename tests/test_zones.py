@@ -32,6 +32,14 @@ def test_parts_of_a_zone_are_pooled(spark, square_zones):
     assert points == [(10, 5), (14, 5), (14, 9), (10, 9), (10, 5)]
 
 
+def test_zone_without_vertices(spark, square_zones):
+    empty = spark.createDataFrame([(9, 0, "Z10", "North", [])], S.ZONE_SCHEMA)
+    geometry = zones.zone_geometry(square_zones.union(empty))
+    row = geometry.filter("zone_idx = 9").first()
+    assert (row["n_vertices"], row["center_x"], row["lower_x"]) == (0, None, None)
+    assert zones.map_bounds(geometry, ["total"]).first()["max_x"] == 34
+
+
 def test_filters(square_zones):
     assert zones.filter_zones(square_zones, ("North", "borough")).count() == 2
     assert zones.filter_zones(square_zones, (["Z1", "Z4"], "zone")).count() == 2
