@@ -106,6 +106,13 @@ def main() -> None:
         seconds["stored_od_each_week"] = timed(
             lambda: drain(flows.od_flow(trips, *period, bucket="week"))
         )
+        parts = inputs.zone_parts(spark, sf_dir)
+        preset = jobs.animation_presets(inputs.BOROUGHS)["year_daily"]
+        seconds["stored_year_daily_of_rollup"] = timed(
+            lambda: drain(
+                jobs.animation_links(daily, parts, *period, agg=flows.TRIPS_OF_ROLLUP, **preset)
+            )
+        )
         seconds["stored_choropleth_products"] = timed(
             lambda: drain(jobs.choropleth_products(daily, zone_table, *period))
         )

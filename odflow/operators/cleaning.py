@@ -1,4 +1,4 @@
-"""Trip preparation: derived dates, clean-up and reference checks."""
+"""Trip preparation: derived dates, clean-up and checks of zone ids."""
 
 from __future__ import annotations
 

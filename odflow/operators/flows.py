@@ -13,6 +13,9 @@ from odflow.functions.calendar import as_date, week_bucket
 
 Day = str | date
 
+# Aggregate over the daily rollup that equals ``count`` over its trips.
+TRIPS_OF_ROLLUP = "sum(passenger_count_per_day)"
+
 
 def measure(agg: str | Column, column: str) -> Column:
     """``count`` and ``avg`` of a column, a SQL aggregate as text, or a Column.
@@ -98,6 +101,9 @@ def od_flow(
     Day and week results carry ``bucket_date``, the day or the first day of the
     week, also where a weekday filter leaves that day itself out. All buckets come
     from one aggregation.
+
+    The daily rollup can stand in for the trips, so that counts need no scan of
+    them: with ``agg=TRIPS_OF_ROLLUP`` the result is that of ``count`` over trips.
     """
     days = checked_weekdays(weekdays, time_granularity)
     rows = in_period(trips, start, end)

@@ -100,7 +100,8 @@ def animation_links(
     """Links of a flow animation: one row per map, date or week, and link.
 
     The flow is aggregated once for all maps and dates. Point sizes are scaled to
-    the largest flow of the whole run, on every map.
+    the largest flow of the whole run, on every map. ``trips`` may be the daily
+    rollup, as ``od_flow`` says.
     """
     if bucket not in ("day", "week"):
         raise ValueError(f"an animation runs per 'day' or 'week', got {bucket!r}")

@@ -146,6 +146,12 @@ QUERIES.update(
 )
 
 
+@query
+def od_each_week_of_rollup(spark, sf_dir):
+    daily = _daily(spark, sf_dir)
+    return flows.od_flow(daily, START, END, bucket="week", agg=flows.TRIPS_OF_ROLLUP)
+
+
 # Calendar --------------------------------------------------------------------
 
 
@@ -220,17 +226,15 @@ def _diff_join(compare: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return run
 
 
-SUM_PER_DAY = "sum(passenger_count_per_day)"
-
 QUERIES.update(
     {
         "period_flow_count": _period_flow(),
         "period_flow_avg": _period_flow(agg="avg"),
-        "period_flow_sum": _period_flow(agg=SUM_PER_DAY),
+        "period_flow_sum": _period_flow(agg=flows.TRIPS_OF_ROLLUP),
         "period_flow_borough": _period_flow(agg="avg", borough="ASIA"),
         "wd_we_diff_count": _diff(),
         "wd_we_diff_avg": _diff(agg="avg"),
-        "wd_we_diff_sum": _diff(agg=SUM_PER_DAY),
+        "wd_we_diff_sum": _diff(agg=flows.TRIPS_OF_ROLLUP),
         "wd_we_diff_borough": _diff(agg="avg", borough="ASIA"),
         "wd_we_left_join": _diff_join(lambda a, b: comparison.compare_flows(a, b, "left")),
         "wd_we_right_join": _diff_join(lambda a, b: comparison.compare_flows(a, b, "right")),
@@ -244,7 +248,7 @@ QUERIES.update(
 
 
 def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = comparison.weekday_weekend_diff(_daily(spark, sf_dir), START, END, agg=SUM_PER_DAY)
+    diff = comparison.weekday_weekend_diff(_daily(spark, sf_dir), START, END, agg=flows.TRIPS_OF_ROLLUP)
     return adjacency.directed_flows(diff, _attributes(spark, sf_dir), "diff")
 
 

@@ -261,6 +261,7 @@ SQL["od_each_day_weekdays"] = _with(
     _grouped(f"{_IN_SPAN} AND pickup_weekday IN (0, 1)", key=_BY_DAY), "clean"
 )
 SQL["od_each_week"] = _with("SELECT * FROM weekly", "weekly")
+SQL["od_each_week_of_rollup"] = SQL["od_each_week"]
 SQL["od_each_week_weekends"] = _with(
     _per_week("weeks", "pickup_weekday IN (5, 6)"), "clean", "weeks"
 )
