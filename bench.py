@@ -3,8 +3,9 @@
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 Every query reads the raw tables and writes its whole result to a sink that drops
 it. It runs twice and the second time counts, so that class loading and code
-generation stay out of the figures; building the plan is part of them. The two ``stored_*`` entries run on trips and rollup prepared once by
-``prepare_trips``, which is timed as well.
+generation stay out of the figures; building the plan is part of them. The
+``stored_*`` entries run on trips and rollup prepared once by ``prepare_trips``,
+which is timed as well.
 """
 
 from __future__ import annotations

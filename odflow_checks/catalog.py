@@ -248,7 +248,8 @@ QUERIES.update(
 
 
 def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = comparison.weekday_weekend_diff(_daily(spark, sf_dir), START, END, agg=flows.TRIPS_OF_ROLLUP)
+    daily, agg = _daily(spark, sf_dir), flows.TRIPS_OF_ROLLUP
+    diff = comparison.weekday_weekend_diff(daily, START, END, agg=agg)
     return adjacency.directed_flows(diff, _attributes(spark, sf_dir), "diff")
 
 

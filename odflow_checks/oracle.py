@@ -105,13 +105,15 @@ _cte(
 
 # Week buckets as an explicit interval table: the start of the period and every
 # Monday strictly inside it (or up to its end) open a bucket.
-def _intervals(start: str, end: str, last_monday: str = "<") -> str:
+def _intervals(start: str, end: str, last_monday: str = "<", source: str = "") -> str:
+    days = f"SELECT {start} AS lo, {end} AS hi {source}"
     return f"""
     SELECT first_day,
-           coalesce(lead(first_day) OVER (ORDER BY first_day) - 1, e) AS last_day
-    FROM (SELECT DISTINCT cast(d AS date) AS first_day, {end} AS e
-          FROM (SELECT unnest(generate_series({start}, {end}, INTERVAL 1 DAY)) AS d)
-          WHERE d = {start} OR (isodow(d) = 1 AND d {last_monday} {end}))"""
+           coalesce(lead(first_day) OVER (ORDER BY first_day) - 1, hi) AS last_day
+    FROM (SELECT DISTINCT cast(d AS date) AS first_day, hi
+          FROM (SELECT lo, hi, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d
+                FROM ({days}))
+          WHERE d = lo OR (isodow(d) = 1 AND d {last_monday} hi))"""
 
 
 _cte("weeks", _intervals(f"DATE '{START}'", f"DATE '{END}'"))
@@ -292,9 +294,7 @@ SQL["date_spine"] = _with(
 SQL["week_buckets"] = _with(
     f"""
     SELECT first_day AS bucket_date, first_day, last_day
-    FROM ({_intervals('lo', 'hi').replace(
-        'FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d)',
-        'FROM (SELECT lo, hi, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM span)')})""",
+    FROM ({_intervals('lo', 'hi', source='FROM span')})""",
     "span",
 )
 SQL["special_dates"] = _with(

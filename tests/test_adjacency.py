@@ -64,7 +64,8 @@ def test_focus(directed, square_zones):
 def test_legends(directed):
     rows = A.legends(A.zone_extremes(directed)).filter("flow_dir = 'in' AND zone = 1").collect()
     # flows 9 (self) and -2 into zone 1: one colour, so the maximum alone
-    assert [(r["level_no"], r["level"], r["caption"]) for r in rows] == [(0, 9.0, "9.00 passengers")]
+    levels = [(r["level_no"], r["level"], r["caption"]) for r in rows]
+    assert levels == [(0, 9.0, "9.00 passengers")]
 
 
 def test_only_a_self_link_has_no_legend(spark, square_zones):

@@ -48,9 +48,11 @@ def test_rule_counts_count_every_broken_rule(trip_frame):
 
 
 def test_unknown_zones(spark, trip_frame):
-    lookup = spark.createDataFrame([(1, "A", "x")], "LocationID INT, borough_name STRING, zone STRING")
+    schema = "LocationID INT, borough_name STRING, zone STRING"
+    lookup = spark.createDataFrame([(1, "A", "x")], schema)
     trips = trip_frame([(DAY, 1, 7), (DAY, 7, 1), (DAY, 7, 1)])
-    rows = {(r["trip_end"], r["LocationID"], r["n_trips"]) for r in unknown_zones(trips, lookup).collect()}
+    unknown = unknown_zones(trips, lookup).collect()
+    rows = {(r["trip_end"], r["LocationID"], r["n_trips"]) for r in unknown}
     assert rows == {("pickup", 7, 2), ("dropoff", 7, 1)}
 
 

@@ -34,7 +34,8 @@ def levels_of(low, high, n):
 def test_colours(spark):
     cases = [(0, -10, 10), (5, -10, 10), (10, -10, 10), (-5, -10, 10), (-10, -10, 10)]
     cases += [(3, 3, 3), (-3, -3, -3), (0, 0, 0), (2, 1, 9), (-2, -9, -1), (4, 0, 7)]
-    df = spark.createDataFrame([tuple(map(float, c)) for c in cases], "w DOUBLE, lo DOUBLE, hi DOUBLE")
+    cases = [tuple(map(float, c)) for c in cases]
+    df = spark.createDataFrame(cases, "w DOUBLE, lo DOUBLE, hi DOUBLE")
     rows = df.select("*", E.choropleth_colour(F.col("w"), F.col("lo"), F.col("hi")).alias("c"))
     for r in rows.collect():
         assert tuple(r["c"]) == pytest.approx(colour_of(r["w"], r["lo"], r["hi"]))

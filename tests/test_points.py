@@ -92,7 +92,8 @@ def test_frames_per_link(trips, square_zones):
     links = jobs.animation_links(trips, square_zones, "2018-01-01", "2018-01-14")
     frames = points.frame_positions(links)
     assert frames.count() == 60 * links.count()
-    last = {(r["pu_id"], r["do_id"]): (r["x"], r["y"]) for r in frames.filter("frame = 59").collect()}
+    rows = frames.filter("frame = 59").collect()
+    last = {(r["pu_id"], r["do_id"]): (r["x"], r["y"]) for r in rows}
     for r in links.collect():
         assert last[(r["pu_id"], r["do_id"])] == pytest.approx((r["do_x"], r["do_y"]), abs=1.0)
 

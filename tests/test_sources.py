@@ -110,7 +110,8 @@ def test_a_hot_date_is_split_over_several_files(spark, trip_frame, tmp_path):
 def test_lookup_from_csv(spark, tmp_path):
     path = tmp_path / "lookup.csv"
     path.write_text("LocationID,borough_name,zone\n1,EWR,Newark Airport\n")
-    assert tuple(readers.read_lookup(spark, str(path), "csv").first()) == (1, "EWR", "Newark Airport")
+    row = readers.read_lookup(spark, str(path), "csv").first()
+    assert tuple(row) == (1, "EWR", "Newark Airport")
 
 
 def test_stored_products(spark, daily_frame, square_zones, tmp_path):
