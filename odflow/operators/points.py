@@ -49,12 +49,9 @@ def size_legend(flow: DataFrame, maps: Sequence[str] = (S.TOTAL_MAP,)) -> DataFr
     return zones.on_maps(run_extremes(flow), maps).select("map_type", F.inline(entries))
 
 
-def map_links(
-    flow: DataFrame, geometry: DataFrame, projection: DataFrame, maps: Sequence[str]
-) -> DataFrame:
-    """Flows on every map: point size, colour, and both ends on the canvas.
+def place_links(flow: DataFrame, geometry: DataFrame) -> DataFrame:
+    """Flows with the extremes of the run and the centroids of both ends.
 
-    Both centroids are looked up once per flow, before it is repeated for the maps.
     Links with an unknown end are left out, after the extremes of the run were
     taken over all links. Dropping missing ids up front, which the joins do anyway,
     keeps the flow the same plan in both, so that its aggregation runs once.
@@ -67,22 +64,25 @@ def map_links(
             F.col("center_y").alias(f"{end}_y"),
         )
 
+    flow = flow.filter(F.col("pu_id").isNotNull() & F.col("do_id").isNotNull())
+    return with_run_extremes(flow).join(centre("pu"), "pu_id").join(centre("do"), "do_id")
+
+
+def map_links(placed: DataFrame, projection: DataFrame, maps: Sequence[str]) -> DataFrame:
+    """Placed links on every map: point size, colour, and both ends on the canvas."""
+    ends = [f"{end}_{axis}" for end in ("pu", "do") for axis in "xy"]
     pu, do = F.col("pu_id"), F.col("do_id")
-    flow = flow.filter(pu.isNotNull() & do.isNotNull())
-    placed = with_run_extremes(flow).join(centre("pu"), "pu_id").join(centre("do"), "do_id")
     size = E.point_size(
         F.col("aggregated_result"), F.col("max_weight"), F.col("map_type")
     )
+    to_canvas = {"x": canvas.canvas_x, "y": canvas.canvas_y}
     return zones.on_canvas(placed, projection, maps).select(
         "map_type",
-        *flow.columns,
-        "min_weight",
-        "max_weight",
+        *(c for c in placed.columns if c not in ends),
         size.alias("weight"),
         E.is_self_link(pu, do).alias("is_self"),
         E.link_colour(pu, do).alias("colour"),
-        *(canvas.canvas_x(F.col(f"{end}_x")).alias(f"{end}_x") for end in ("pu", "do")),
-        *(canvas.canvas_y(F.col(f"{end}_y")).alias(f"{end}_y") for end in ("pu", "do")),
+        *(to_canvas[end[-1]](F.col(end)).alias(end) for end in ends),
     )
 
 

@@ -120,8 +120,8 @@ def animation_links(
     geometry = zones.zone_geometry(parts)
     bounds = zones.map_bounds(geometry, maps, zoom_on)
     projection = zones.projections(bounds, image_size, margins)
-    links = points.map_links(flow, geometry, projection, maps)
-    return with_captions(links, bucket, calendar)
+    placed = with_captions(points.place_links(flow, geometry), bucket, calendar)
+    return points.map_links(placed, projection, maps)
 
 
 def flow_animation(

@@ -446,7 +446,8 @@ def link_class(spark, sf_dir):
 def frame_positions(spark, sf_dir):
     geometry = _geometry(spark, sf_dir)
     flow = flows.od_flow(_clean(spark, sf_dir), START, END)
-    links = points.map_links(flow, geometry, _projection(geometry), ("total",))
+    placed = points.place_links(flow, geometry)
+    links = points.map_links(placed, _projection(geometry), ("total",))
     frames = points.frame_positions(links)
     return frames.select("map_type", "frame", "pu_id", "do_id", "x", "y", "weight")
 
