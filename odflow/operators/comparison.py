@@ -122,15 +122,30 @@ def period_and_diff(
     start: Day,
     end: Day,
     *,
-    agg: str = "count",
+    agg: str | Column = "count",
     borough: str | None = None,
     lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Period flow and weekday/weekend difference as rows of one aggregation.
 
     Columns are ``pu_id, do_id, measure, weight``, measure being ``period`` or
-    ``diff``.
+    ``diff``. An aggregate passed as a Column takes one aggregation for each.
     """
+    if isinstance(agg, Column):
+        where = {"agg": agg, "borough": borough, "lookup": lookup}
+        flows = {
+            "period": period_flow(daily, start, end, **where),
+            "diff": weekday_weekend_diff(daily, start, end, **where),
+        }
+        period, diff = (
+            flow.select(
+                *LINK,
+                F.lit(name).alias("measure"),
+                F.col(flow.columns[-1]).cast("double").alias("weight"),
+            )
+            for name, flow in flows.items()
+        )
+        return period.unionByName(diff)
     both = (
         _rows(daily, start, end, borough, lookup)
         .groupBy(*LINK)

@@ -82,8 +82,10 @@ def test_borough(spark, daily):
     assert result(C.weekday_weekend_diff(daily, *PERIOD, **where)) == {(1, 2): 1, (3, 4): -1}
 
 
-def test_period_and_diff_in_one_pass(daily):
-    rows = C.period_and_diff(daily, *PERIOD, agg="avg").collect()
+@pytest.mark.parametrize("as_column", [False, True])
+def test_period_and_diff(daily, as_column):
+    agg = F.avg("passenger_count_per_day") if as_column else "avg"
+    rows = C.period_and_diff(daily, *PERIOD, agg=agg).collect()
     by_measure = {
         m: {(r["pu_id"], r["do_id"]): r["weight"] for r in rows if r["measure"] == m}
         for m in ("period", "diff")
