@@ -1,0 +1,153 @@
+"""The contracts of the operators, computed in plain loops on small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def decontaminate(documents, benchmark, width=13):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: pattern.findall((t or "").translate(LOWER))
+    windows = defaultdict(set)
+    for item, text in benchmark:
+        own = words(text)
+        n = min(width, len(own))
+        for i in range(len(own) - n + 1 if n else 0):
+            windows[tuple(own[i : i + n])].add(str(item))
+    lengths = {len(w) for w in windows}
+    out = {}
+    for doc, text in documents:
+        own, hit, items = words(text), set(), set()
+        for n in lengths:
+            for i in range(len(own) - n + 1):
+                if found := windows.get(tuple(own[i : i + n])):
+                    hit |= set(range(i, i + n))
+                    items |= found
+        bad = len(hit) > 0 and 20 * len(hit) >= len(own)
+        out[doc] = (len(own), len(hit), len(items), sha(",".join(sorted(items))), bad)
+    return out
+
+
+def near_duplicates(documents, width=3, part=85, whole=100):
+    sets, holders = {}, defaultdict(list)
+    for doc, text in documents:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        n = min(width, max(1, len(words)))
+        sets[doc] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+        for s in sets[doc]:
+            holders[s].append(doc)
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for doc, own in sets.items():
+        shared = defaultdict(int)
+        for s in own:
+            for other in holders[s]:
+                shared[other] += other < doc
+        for other, n in shared.items():
+            if n and whole * n >= part * (len(own) + len(sets[other]) - n):
+                a, b = sorted((root(doc), root(other)))
+                parent[b] = a
+    return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
+
+
+def repeated_passages(documents, length=50):
+    least, words = {}, {}
+    for doc, text in sorted(documents):
+        words[doc] = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        for i in range(len(words[doc]) - length + 1):
+            least.setdefault(tuple(words[doc][i : i + length]), doc)
+    out = {}
+    for doc, own in words.items():
+        gone = set()
+        for i in range(len(own) - length + 1):
+            if least[tuple(own[i : i + length])] < doc:
+                gone |= set(range(i, i + length))
+        kept = " ".join(w for i, w in enumerate(own) if i not in gone)
+        out[doc] = (len(own), len(gone), sha(kept))
+    return out
+
+
+def pieces(documents, tokenizer, capacity=2048):
+    out = {}
+    for doc, text in documents:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), capacity)):
+            part = np.array(ids[at : at + capacity], "<u4")
+            out[doc, k] = (at, len(part), zlib.crc32(part.tobytes()))
+    return out
+
+
+def check_packing(rows, capacity=2048):
+    """rows of (sequence_id, offset, length): gapless from 0, within the capacity."""
+    by_sequence = defaultdict(list)
+    for sequence, offset, length in rows:
+        by_sequence[sequence].append((offset, length))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+    return len(by_sequence)
+
+
+def token_counts(documents, tokenizer, limit=1024):
+    out = {}
+    for doc, text in documents:
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+        out[doc] = (len((text or "").encode()), n, n > limit)
+    return out
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def base_spans(text: str):
+    """(kind, start, end) of the base rules, by start and then kind as listed."""
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and _luhn(re.sub("[^0-9]", "", m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    )
+    out = []
+    for order, (kind, rule, good) in enumerate(rules):
+        for m in re.finditer(rule, text or ""):
+            if good(m.group()):
+                out.append((m.start(), order, kind, m.end()))
+    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+
+
+def nearest(vectors, every=50, k=5):
+    """(query, rank, vec_id, score) by brute force; vectors of (id, list or None)."""
+    rows = []
+    for i, v in vectors:
+        if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            rows.append((i, np.array(v, np.float64)))
+    out = []
+    for q, v in rows:
+        if q % every == 0:
+            found = sorted((-float(v @ w) / float(np.sqrt(v @ v) * np.sqrt(w @ w)), i) for i, w in rows if i != q)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    return out
