@@ -10,7 +10,8 @@
    probability. Survivors are verified on their whole shingle sets.
 4. Links give components. Only buckets that still hold several components can hide a
    link: their members outside the component of the smallest member are compared with
-   all members of other components, block by block, and verified in the same way.
+   all members of other components in blocks of bounded size, and those that stay in the
+   race are verified in blocks too. No pairs leave a block but links that connect.
 """
 
 from __future__ import annotations
@@ -170,25 +171,77 @@ def _linked(similarity: tuple[int, int]):
     return F.arrow_udf(linked, "boolean")
 
 
-def _compare_blocks(schedule: list[tuple[int, int]]):
+def _size_fits(n: int, others: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    part, whole = similarity
+    return whole * np.minimum(n, others) >= part * np.maximum(n, others)
+
+
+def _compare_blocks(schedule: list[tuple[int, int]], similarity: tuple[int, int]):
+    """For each member of a block its partners in other components that stay in the race.
+
+    A pair is left to the block of the first band that it shares, and a pair of strays
+    to the one with the smaller id.
+    """
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, block in rows.groupby(["key", "i", "j"], sort=False):
+        for (key, i, j), block in rows.groupby(["key", "i", "j"], sort=False):
             left, right = block[block.side == 0], block[block.side == 1]
             if not len(left) or not len(right):
                 continue
             sigs = np.frombuffer(b"".join(right.sig), np.uint32).reshape(len(right), -1)
             ids, comps = right.id.to_numpy(), right.component.to_numpy()
+            sizes, strays = right.n.to_numpy(), right.stray.to_numpy()
+            members = {}
             for own in left.itertuples():
-                other = np.flatnonzero(comps != own.component)
-                mine = np.broadcast_to(np.frombuffer(own.sig, np.uint32), (len(other), sigs.shape[1]))
-                alive = other[in_the_race(mine, sigs[other], schedule)]
-                found += [(min(own.id, x), max(own.id, x)) for x in ids[alive].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+                other = (comps != own.component) & (~strays | (ids > own.id))
+                other = np.flatnonzero(other & _size_fits(own.n, sizes, similarity))
+                mine = np.frombuffer(own.sig, np.uint32)
+                other = other[in_the_race(np.broadcast_to(mine, (len(other), len(mine))), sigs[other], schedule)]
+                bands = (sigs[other] == mine).reshape(len(other), len(mine) // ROWS_PER_BAND, ROWS_PER_BAND).all(2)
+                other = other[~bands[:, : own.band].any(1)]
+                if len(other):
+                    partners = ids[other].tolist()
+                    members.setdefault(own.id, (own.component, []))[1].extend(partners)
+                    for k in other.tolist():
+                        members.setdefault(int(ids[k]), (comps[k], []))
+            found += [(key, i, j, m, c, partners) for m, (c, partners) in members.items()]
+        return pd.DataFrame(found, columns=["key", "i", "j", "id", "component", "partners"])
 
     return compare
 
 
+def _verify_blocks(similarity: tuple[int, int]):
+    """Links of a block's candidate pairs, as far as they connect components."""
+    part, whole = similarity
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for _, block in rows.groupby(["key", "i", "j"], sort=False):
+            sets = {r.id: np.frombuffer(r.set, np.uint64) for r in block.itertuples()}
+            component = dict(zip(block.id, block.component))
+            joined = {c: c for c in component.values()}
+
+            def root(c):
+                while joined[c] != c:
+                    c = joined[c]
+                return c
+
+            for row in block.itertuples():
+                for other in row.partners:
+                    x, y = root(component[row.id]), root(component[other])
+                    if x == y:
+                        continue
+                    a, b = sets[row.id], sets[other]
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    if whole * shared >= part * (len(a) + len(b) - shared):
+                        joined[x] = y
+                        links.append((min(row.id, other), max(row.id, other)))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return verify
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -231,14 +284,16 @@ def near_duplicates(
     keys = [
         F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(bands)
     ]
-    buckets = classes.select("id", F.explode(F.array(*keys)).alias("key"))
+    buckets = classes.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
     crowded = (
         buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     )
     members = cut(buckets.join(crowded, "key"))
 
-    sized = classes.select("id", "n", "sig")
-    near_in_size = F.expr(f"least(n_a, n_b) * {whole} >= greatest(n_a, n_b) * {part}")
+    sized = classes.select("id", F.col("n").alias("n_shingles"), "sig")
+    near_in_size = F.expr(
+        f"least(n_shingles_a, n_shingles_b) * {whole} >= greatest(n_shingles_a, n_shingles_b) * {part}"
+    )
 
     def both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("a", "b"):
@@ -246,27 +301,25 @@ def near_duplicates(
             pairs = pairs.join(own, side)
         return pairs
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole shingle sets reach the threshold."""
-        pairs = cut(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        needed = source.join(small(ids), "id", "left_semi")
-        sets = needed.select("id", _sets(words)("text").alias("set"))
-        tested = both_sides(pairs, sets, ["set"])
-        return tested.filter(_linked(similarity)("set_a", "set_b")).select("a", "b").distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
+        needed = source.join(small(ids.distinct()), "id", "left_semi")
+        return needed.select("id", _sets(words)("text").alias("set"))
 
     stars = (
         members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     )
-    stars = both_sides(stars, sized, ["n", "sig"]).filter(near_in_size)
-    links = cut(verified(stars.filter(_survives(schedule)("sig_a", "sig_b")).select("a", "b")))
+    stars = both_sides(stars, sized, ["n_shingles", "sig"]).filter(near_in_size)
+    pairs = cut(stars.filter(_survives(schedule)("sig_a", "sig_b")).select("a", "b"))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    tested = both_sides(pairs, sets, ["set"]).filter(_linked(similarity)("set_a", "set_b"))
+    links = cut(tested.select("a", "b").distinct())
     reached = connected_components(links)
 
     # buckets of two are settled by their one pair
     placed = (
         members.filter("n > 2")
         .join(reached, "id", "left")
-        .select("key", "id", "leader", F.coalesce("component", "id").alias("component"))
+        .select("band", "key", "id", "leader", F.coalesce("component", "id").alias("component"))
     )
     mixed = (
         placed.groupBy("key")
@@ -282,37 +335,50 @@ def near_duplicates(
     rows = placed.join(mixed, "key")
     strays = rows.filter("component <> main").groupBy("key").agg(F.count("*").alias("r"))
     rows = cut(
-        rows.join(strays, "key").join(sized.select("id", "sig"), "id").select(
+        rows.join(strays, "key").join(sized, "id").select(
+            "band",
             "key",
             "id",
             "component",
-            "main",
+            "n_shingles",
             "sig",
+            (F.col("component") != F.col("main")).alias("stray"),
             F.ceil(F.col("r") / BLOCK).cast("int").alias("parts_l"),
             F.ceil(F.col("n") / BLOCK).cast("int").alias("parts_r"),
         )
     )
     own = F.xxhash64("id")
-    left = rows.filter("component <> main").select(
-        "key", "id", "component", "sig", F.lit(0).alias("side"),
+    columns = ["band", "key", "id", "component", F.col("n_shingles").alias("n"), "sig", "stray"]
+    left = rows.filter("stray").select(
+        *columns,
+        F.lit(0).alias("side"),
         F.pmod(own, "parts_l").cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("parts_r") - 1)).alias("j"),
     )
     right = rows.select(
-        "key", "id", "component", "sig", F.lit(1).alias("side"),
+        *columns,
+        F.lit(1).alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("parts_l") - 1)).alias("i"),
         F.pmod(own, "parts_r").cast("int").alias("j"),
     )
     blocks = left.unionByName(right)
     shards = max(1, blocks.count() // SHARD_ROWS)
+    shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards))
+    block = "key bigint, i int, j int, id bigint, component bigint"
+    racing = cut(
+        blocks.withColumn("shard", shard)
+        .groupBy("shard")
+        .applyInPandas(_compare_blocks(schedule, similarity), f"{block}, partners array<bigint>")
+    )
+    racing_sets = sets_of(racing.select("id")).dropDuplicates(["id"])
     late = (
-        blocks.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)))
+        racing.join(racing_sets, "id")
+        .withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(_compare_blocks(schedule), "a bigint, b bigint")
+        .applyInPandas(_verify_blocks(similarity), "a bigint, b bigint")
         .distinct()
     )
-    late = both_sides(late, sized, ["n"]).filter(near_in_size).select("a", "b")
-    late = cut(verified(late))
+    late = cut(late)
     if late.limit(1).count():
         reached = connected_components(links.unionByName(late))
 

@@ -26,9 +26,9 @@ from odflow.llm.common import chunks, cut
 from odflow.llm.tokens import ids_by_word
 
 CAPACITY = 2048
-CHUNK_BYTES = 2_000_000
-#: Pieces ranked in one window partition, about.
-RANKED = 20_000
+CHUNK_BYTES = 4_000_000
+#: Pieces in one bucket, about, and the least number of buckets.
+RANKED, BUCKETS = 20_000, 32
 
 PIECES = pa.list_(
     pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -194,7 +194,7 @@ def ranked_by_length(pieces: DataFrame) -> DataFrame:
     pieces in earlier buckets, so that a length of very many pieces is not sorted in
     one task.
     """
-    buckets = max(1, pieces.count() // RANKED)
+    buckets = max(BUCKETS, pieces.count() // RANKED)
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from odflow.llm.common import memo
+from odflow.llm.common import LOWER, memo
 
 #: Distinct pieces of text whose tokens a Python worker remembers; emptied when full.
 REMEMBERED = 400_000
@@ -21,19 +21,35 @@ def word_ids(path: str) -> dict[bytes, bytes]:
     return memo(f"word ids {path}", dict)
 
 
+def _learn(path: str, known: dict[bytes, bytes], words: list[bytes]) -> None:
+    """Ids of new words, encoded as one text and dealt back by the place of each token."""
+    if not words:
+        return
+    texts = [w.decode() for w in words]
+    found = load(path).encode(" ".join(texts), add_special_tokens=False)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    starts = np.array([start for start, _ in found.offsets], np.int64)
+    ids = np.array(found.ids, np.uint32).tobytes()
+    cuts = (4 * np.searchsorted(starts, np.concatenate(([0], ends)))).tolist()
+    for word, first, last in zip(words, cuts, cuts[1:]):
+        known[word] = ids[first:last]
+
+
 def ids_by_word(path: str, texts: list[bytes | None]) -> list[bytes]:
-    """Token ids of texts, 4 bytes each, by a tokenizer that drops white space.
+    """Token ids of texts, 4 bytes each, by a tokenizer that drops case and white space.
 
     Such a tokenizer gives a text the ids of its white-space separated words one after
-    another, so each distinct word goes through the library once.
+    another, so each distinct word goes through the library once. Words are lower-cased
+    first unless the text may hold a special token.
     """
     known = word_ids(path)
-    split = [t.split() if t else [] for t in texts]
-    fresh = list({w for words in split for w in words} - known.keys())
+    split = [
+        (t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts
+    ]
+    needed = set().union(*split)
+    fresh = needed - known.keys()
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
-        fresh = list({w for words in split for w in words})
-    encoded = load(path).encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-    for word, found in zip(fresh, encoded):
-        known[word] = np.array(found.ids, np.uint32).tobytes()
+        fresh = needed
+    _learn(path, known, list(fresh))
     return [b"".join(map(known.__getitem__, words)) for words in split]
