@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.llm import decontaminate, near_duplicates, packing, repeated_passages, token_counts
+from odflow.llm import (
+    decontaminate,
+    lines,
+    near_duplicates,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    repeated_passages,
+    token_counts,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +36,56 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, tokenizer("word_bpe_49k.json"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.col("base.kind")
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.with_token_counts(documents, tokenizer("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def _scored(found: DataFrame, threshold: float) -> DataFrame:
+    return found.select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    documents = documents.select("doc_id", "text")
+    model = toxicity.fit(documents, labels.filter(~held_out()))
+    found = toxicity.toxicity(documents, model).withColumn("score", F.col("toxicity.score"))
+    return _scored(found, toxicity.THRESHOLD)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    documents = documents.select("doc_id", "text")
+    network = quality.fit(documents, labels.filter(~held_out()))
+    found = quality.quality(documents, network).withColumn("score", F.col("quality_score.score"))
+    return _scored(found, 0.5)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     found = decontaminate.find_benchmark_words(documents.select("doc_id", "text"), benchmark)
@@ -45,6 +100,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    cleaned = "without_shared_lines"
+    return found.select(
+        "doc_id",
+        f"{cleaned}.n_lines",
+        f"{cleaned}.n_removed",
+        F.sha2(F.coalesce(f"{cleaned}.text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(
         table(spark, sf_dir, "documents"), words=3, similarity=(85, 100)
@@ -60,8 +130,13 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_neighbours": op8_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
 }
