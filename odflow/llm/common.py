@@ -27,12 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``df``, marked for broadcast if it was counted to have at most ``limit`` rows.
+def small(df: DataFrame, limit: int = BROADCAST_IDS, items: str = "1") -> DataFrame:
+    """``df``, marked for broadcast if it was counted to hold at most ``limit`` items.
 
-    Beyond that the join that takes it shuffles.
+    ``items`` is how many a row holds, as SQL; rows count 1, rows with an array its size.
+    Beyond the limit the join that takes ``df`` shuffles.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    held = df.agg(F.sum(F.expr(items).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def memo(name: str, make: Callable[[], object]) -> object:

@@ -8,7 +8,9 @@ starts in a document with a smaller id.
    place, so only windows of anchors that occur twice can repeat. Neighbouring windows
    with one anchor make a context, and equal contexts of all documents make a class
    with its smallest document.
-2. The classes are dealt by anchor to reference shards of bounded size. A task builds the
+   A class that has its anchor alone holds all occurrences of its windows, and their
+   smallest document is known. Only anchors with several classes go on.
+2. These classes are dealt by anchor to reference shards of bounded size. A task builds the
    generalised suffix automaton of its shard, whose states know the smallest document in
    which their words occur, and streams the contexts through it for matching statistics.
    The reference side of an anchor with very many classes is cut into parts, and every
@@ -218,6 +220,27 @@ def _match(length: int):
     return match
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        rows = []
+        for spans in batch.to_pylist():
+            merged: list[dict] = []
+            for start, end in sorted((s["start"], s["end"]) for s in spans):
+                if merged and start <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(end, merged[-1]["end"])
+                else:
+                    merged.append({"start": start, "end": end})
+            rows.append(merged)
+        yield pa.array(rows, SPANS)
+
+
+def _merged_udf():
+    return F.arrow_udf(_merge, "array<struct<start: bigint, end: bigint>>")
+
+
 CLEANED = pa.struct(
     [
         ("n_words", pa.int64()),
@@ -233,23 +256,17 @@ def _clean(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         rows = []
         for text, own in zip(texts.to_pylist(), spans.to_pylist()):
             words = text.split() if text else []
-            merged: list[list[int]] = []
-            for start, end in sorted((s["start"], s["end"]) for s in own or ()):
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(end, merged[-1][1])
-                else:
-                    merged.append([start, end])
             kept, at = [], 0
-            for start, end in merged:
-                kept += words[at:start]
-                at = end
+            for span in own or ():
+                kept += words[at : span["start"]]
+                at = span["end"]
             kept += words[at:]
             rows.append(
                 {
                     "n_words": len(words),
                     "n_removed": len(words) - len(kept),
                     "kept_text": b" ".join(kept).decode(),
-                    "spans": [{"start": a, "end": b} for a, b in merged],
+                    "spans": own or [],
                 }
             )
         yield pa.array(rows, CLEANED)
@@ -279,28 +296,38 @@ def remove_repeated_passages(
         )
     )
 
+    per_anchor = classes.groupBy("anchor").agg(F.count("*").alias("n_classes"))
+    classes = classes.join(per_anchor, "anchor")
+    alone = classes.filter("n_classes = 1").select(
+        "anchor",
+        "context",
+        F.lit(0).cast("long").alias("begin"),
+        F.col("n").cast("long").alias("end"),
+        F.col("id").alias("least"),
+    )
+    several = cut(classes.filter("n_classes > 1"))
+
     # the words of each class, from its smallest document
-    wanted = classes.groupBy("id").agg(
-        F.collect_list(F.struct("anchor", "context", "start", "n")).alias("wanted")
+    wanted = several.groupBy("id").agg(
+        F.collect_list(F.struct("anchor", "context", "start", "n", "n_classes")).alias("wanted")
     )
     spans = F.transform("wanted", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n")))
     passages = (
-        known.join(small(cut(wanted)), "id")
+        known.join(small(cut(wanted), items="size(wanted)"), "id")
         .withColumn("found", _passages(length)("text", spans))
         .select("id", F.explode(F.arrays_zip("wanted", "found")).alias("z"))
         .select("id", "z.wanted.*", F.col("z.found").alias("words"))
         # a row that shares its id with another one may not be the one the class was taken from
         .filter(F.size(F.split(F.col("words").cast("string"), " ")) == F.col("n") + length - 1)
         .groupBy("anchor", "context")
-        .agg(F.min("words").alias("words"), F.min("id").alias("document"))
-    )
-    per_anchor = classes.groupBy("anchor").agg(
-        F.ceil(F.count("*") / PART_CLASSES).cast("int").alias("parts")
-    )
-    shards = max(1, classes.count() // SHARD_CLASSES)
-    ready = passages.join(per_anchor, "anchor").withColumn(
-        "part", F.pmod(F.xxhash64("context"), "parts").cast("int")
+        .agg(
+            F.min("words").alias("words"),
+            F.min("id").alias("document"),
+            F.ceil(F.max("n_classes") / PART_CLASSES).cast("int").alias("parts"),
+        )
     )
+    shards = max(1, several.count() // SHARD_CLASSES)
+    ready = passages.withColumn("part", F.pmod(F.xxhash64("context"), "parts").cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     columns = ["anchor", "context", "document", "words"]
     whole = ready.filter("parts = 1").select(
@@ -323,7 +350,7 @@ def remove_repeated_passages(
         )
     )
     removed = (
-        live.join(matched, ["anchor", "context"])
+        live.join(alone.unionByName(matched), ["anchor", "context"])
         .filter("least < id")
         .select(
             "id",
@@ -334,11 +361,11 @@ def remove_repeated_passages(
         )
         .distinct()
         .groupBy("id")
-        .agg(F.collect_list("span").alias("removed"))
+        .agg(_merged_udf()(F.collect_list("span")).alias("removed"))
     )
     result = _clean_udf()("text", "removed")
     return (
-        source.join(small(cut(removed)), "id", "left")
+        source.join(small(cut(removed), items="size(removed)"), "id", "left")
         .select(F.col("id").alias("doc_id"), result.alias("r"))
         .select("doc_id", "r.*")
     )
