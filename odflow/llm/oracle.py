@@ -2,4 +2,113 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op6_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+        b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(13, len(w)) AS n
+            FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark)
+        ),
+        windows AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+            FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b WHERE n > 0)
+        ),
+        places AS (
+            SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+            FROM (
+                SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+            )
+        ),
+        hits AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, win)),
+        words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
+        ),
+        items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+            FROM hits GROUP BY 1
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+            coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op7_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos
+            FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)
+        ),
+        shared AS (
+            SELECT line, min({'id': doc_id, 'pos': pos}) AS first FROM l
+            WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
+            GROUP BY line HAVING count(DISTINCT source) >= 5
+        ),
+        marked AS (
+            SELECT doc_id, pos, l.line,
+                first IS NOT NULL AND (first.id <> doc_id OR first.pos <> pos) AS gone
+            FROM l LEFT JOIN shared ON l.line = shared.line
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
+                AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+    "op9_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
+            FROM (
+                SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i
+                FROM d WHERE len(w) > 0
+            )
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m
+            FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ),
+        l AS (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * m >= 85 * (x.n + y.n - m)
+        ),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(doc_id, c) AS (
+            SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id
+        )
+        SELECT r.doc_id, coalesce(max(n), 0) AS n_shingles, min(c) AS component_id,
+            r.doc_id = min(c) AS kept
+        FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+    """,
+    "op10_repeated_passages": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+        ),
+        earliest AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win HAVING count(*) > 1),
+        gone AS (
+            SELECT DISTINCT doc_id, p
+            FROM (
+                SELECT doc_id, unnest(range(i, i + 50)) AS p
+                FROM windows JOIN earliest USING (win) WHERE least < doc_id
+            )
+        ),
+        words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+        ),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+            FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+            CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+}
