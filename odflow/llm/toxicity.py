@@ -30,6 +30,8 @@ STEMS = range(3, 9)
 PRIOR_WORDS = 1000.0
 LEAST_PRIOR = 0.5
 MIN_Z, MIN_TOXIC = 3.0, 3
+#: Least log-odds of a scored word: common words differ significantly, but by little.
+MIN_ODDS = 1.0
 #: Standard deviations by which log-odds are lowered, and the cost of any other word.
 CAUTION, COST = 1.0, 0.25
 #: Size bounds of the model: scored words and stems, and rows that fit the regression.
@@ -97,7 +99,7 @@ def _evidence(expected: float) -> float:
 
 def _scan(words: _Words, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
     own = WORD.findall((text or "").lower())
-    return len(own), segments([(i, words[w]) for i, w in enumerate(own) if words[w] > 0])
+    return len(own), segments([(i, s) for i, s in enumerate(map(words.__getitem__, own)) if s > 0])
 
 
 def _signals(n: int, found: list[tuple[int, int, float]], k: float) -> list[float]:
@@ -144,7 +146,7 @@ def _units(labelled: DataFrame) -> dict[str, float]:
     spread = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     delta = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
     scored = units.select("unit", (delta - CAUTION * spread).alias("s"), (delta / spread).alias("z"))
-    rows = scored.filter((F.col("z") >= MIN_Z) & (F.col("s") > 0)).orderBy(F.desc("z"), "unit").limit(MAX_UNITS)
+    rows = scored.filter((F.col("z") >= MIN_Z) & (F.col("s") >= MIN_ODDS)).orderBy(F.desc("z"), "unit").limit(MAX_UNITS)
     return {r["unit"]: r["s"] for r in rows.collect()}
 
 
