@@ -10,6 +10,7 @@ which is timed as well.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -87,8 +88,11 @@ def main() -> None:
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     seconds = {name: timed(lambda: drain(QUERIES[name](spark, sf_dir))) for name in HEADLINE}
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    with tempfile.TemporaryDirectory(prefix="odflow-bench-", dir=shared) as folder:
+    # an address that all executors share, or else a local folder, as the session is local
+    with contextlib.ExitStack() as stack:
+        folder = sys.argv[1] if len(sys.argv) > 1 else stack.enter_context(
+            tempfile.TemporaryDirectory(prefix="odflow-bench-")
+        )
         period = (inputs.START, inputs.END)
         raw = inputs.trips(spark, sf_dir)
         zone_table = zones_of_lookup(inputs.lookup(spark, sf_dir))

@@ -60,7 +60,7 @@ def rule_counts(
 def unknown_zones(trips: DataFrame, lookup: DataFrame) -> DataFrame:
     """Zone ids of trips that the lookup does not know, with their trip counts.
 
-    Trips are counted per zone before the join, so it sees one row per zone id.
+    A missing id refers to no zone, so it breaks no rule. Trips are counted per zone before the join, so it sees one row per zone id.
     """
     ends = F.explode(
         F.array(
@@ -71,6 +71,7 @@ def unknown_zones(trips: DataFrame, lookup: DataFrame) -> DataFrame:
     return (
         trips.select(ends.alias("e"))
         .select("e.trip_end", "e.LocationID")
+        .filter("LocationID is not null")
         .groupBy("trip_end", "LocationID")
         .agg(F.count("*").alias("n_trips"))
         .join(lookup.select("LocationID"), "LocationID", "left_anti")

@@ -9,26 +9,17 @@ from odflow import schema as S
 from odflow.operators.flows import (
     Day,
     in_period,
+    links_within_borough,
     measure,
     on_weekdays,
-    within_borough,
 )
 
 LINK = ["pu_id", "do_id"]
 COUNT_PER_DAY = "passenger_count_per_day"
 
 
-def _rows(
-    daily: DataFrame,
-    start: Day,
-    end: Day,
-    borough: str | None,
-    lookup: DataFrame | None,
-) -> DataFrame:
-    rows = in_period(daily, start, end)
-    if borough:
-        rows = within_borough(rows, lookup, borough)
-    return rows.withColumnsRenamed({S.PU: "pu_id", S.DO: "do_id"})
+def _rows(daily: DataFrame, start: Day, end: Day) -> DataFrame:
+    return in_period(daily, start, end).withColumnsRenamed({S.PU: "pu_id", S.DO: "do_id"})
 
 
 def period_flow(
@@ -45,11 +36,12 @@ def period_flow(
     ``count`` is the number of days on which the link was used and ``avg`` the
     mean per such day; ``sum(passenger_count_per_day)`` is the number of trips.
     """
-    return (
-        _rows(daily, start, end, borough, lookup)
+    flow = (
+        _rows(daily, start, end)
         .groupBy(*LINK)
         .agg(measure(agg, COUNT_PER_DAY).alias("aggregated_result"))
     )
+    return links_within_borough(flow, lookup, borough)
 
 
 def weekday_and_weekend_flow(
@@ -80,16 +72,22 @@ def compare_flows_by_union(left: DataFrame, right: DataFrame) -> DataFrame:
     return next(halves).unionByName(next(halves)).distinct()
 
 
-def _side(agg: str, days: tuple[int, ...]) -> Column:
-    """The aggregate over some weekdays only, 0 where the link has none of them."""
-    text = f"{agg}({COUNT_PER_DAY})" if agg in ("count", "avg") else agg
-    listed = ", ".join(map(str, days))
-    filtered = F.expr(f"{text} FILTER (WHERE pickup_weekday IN ({listed}))")
-    return F.coalesce(filtered, F.lit(0))
+def _on_weekend() -> Column:
+    return F.col("pickup_weekday").isin(*S.WEEKENDS)
+
+
+def _pivoted(by_side: DataFrame, *others: Column) -> DataFrame:
+    """One row per link from one row per link and side, and which sides there are."""
+    sides = {"weekday": ~F.col("is_weekend"), "weekend": F.col("is_weekend")}
+    columns = [F.max(F.when(on, F.col("result"))).alias(side) for side, on in sides.items()]
+    columns += [
+        F.coalesce(F.bool_or(on), F.lit(False)).alias(f"has_{side}") for side, on in sides.items()
+    ]
+    return by_side.groupBy(*LINK).agg(*columns, *others)
 
 
-def _diff(agg: str) -> Column:
-    return _side(agg, S.WEEKDAYS) - _side(agg, S.WEEKENDS)
+def _difference() -> Column:
+    return F.coalesce("weekday", F.lit(0)) - F.coalesce("weekend", F.lit(0))
 
 
 def weekday_weekend_diff(
@@ -100,21 +98,34 @@ def weekday_weekend_diff(
     agg: str | Column = "count",
     borough: str | None = None,
     lookup: DataFrame | None = None,
+    how: str = "full",
 ) -> DataFrame:
-    """Weekday flow minus weekend flow per link.
+    """Weekday flow minus weekend flow per link; a side without flow counts 0.
 
-    Both sides come from one scan and one shuffle as filtered aggregates, which
-    gives the same rows as the full outer join of the two flows, as every row of
-    the rollup has a weekday. An aggregate passed as a Column cannot be filtered
-    and takes that join.
+    The aggregate, text or Column, is computed as given per link and side in one
+    scan and one shuffle, and a second small aggregation puts the two sides next to
+    each other. ``how`` is ``full``, or ``left`` or ``right`` for the links with
+    weekday or weekend flow only, as a join of the two flows would have them.
     """
-    if isinstance(agg, Column):
-        sides = weekday_and_weekend_flow(
-            daily, start, end, agg=agg, borough=borough, lookup=lookup
-        )
-        return compare_flows(*sides)
-    rows = _rows(daily, start, end, borough, lookup)
-    return rows.groupBy(*LINK).agg(_diff(agg).alias("diff"))
+    if how not in ("full", "left", "right"):
+        raise ValueError(f"how is 'full', 'left' or 'right', got {how!r}")
+    by_side = (
+        _rows(daily, start, end)
+        .withColumn("is_weekend", _on_weekend())
+        .groupBy(*LINK, "is_weekend")
+        .agg(measure(agg, COUNT_PER_DAY).alias("result"))
+    )
+    sides = _pivoted(by_side)
+    if how != "full":
+        sides = sides.filter("has_weekday" if how == "left" else "has_weekend")
+    diff = sides.select(*LINK, _difference().alias("diff"))
+    return links_within_borough(diff, lookup, borough)
+
+
+def weekday_weekend_diff_by_union(daily: DataFrame, start: Day, end: Day, **options) -> DataFrame:
+    """The full difference as distinct union of its left and right halves."""
+    halves = (weekday_weekend_diff(daily, start, end, how=how, **options) for how in ("left", "right"))
+    return next(halves).unionByName(next(halves)).distinct()
 
 
 def period_and_diff(
@@ -126,32 +137,20 @@ def period_and_diff(
     borough: str | None = None,
     lookup: DataFrame | None = None,
 ) -> DataFrame:
-    """Period flow and weekday/weekend difference as rows of one aggregation.
+    """Period flow and weekday/weekend difference as rows of one scan.
 
     Columns are ``pu_id, do_id, measure, weight``, measure being ``period`` or
-    ``diff``. An aggregate passed as a Column takes one aggregation for each.
+    ``diff``. The aggregate is computed as given, per link and per link and side.
     """
-    if isinstance(agg, Column):
-        where = {"agg": agg, "borough": borough, "lookup": lookup}
-        flows = {
-            "period": period_flow(daily, start, end, **where),
-            "diff": weekday_weekend_diff(daily, start, end, **where),
-        }
-        period, diff = (
-            flow.select(
-                *LINK,
-                F.lit(name).alias("measure"),
-                F.col(flow.columns[-1]).cast("double").alias("weight"),
-            )
-            for name, flow in flows.items()
-        )
-        return period.unionByName(diff)
-    both = (
-        _rows(daily, start, end, borough, lookup)
-        .groupBy(*LINK)
-        .agg(
-            measure(agg, COUNT_PER_DAY).cast("double").alias("period"),
-            _diff(agg).cast("double").alias("diff"),
-        )
+    whole = F.col("whole") == 1
+    by_side = (
+        _rows(daily, start, end)
+        .withColumn("is_weekend", _on_weekend())
+        .groupingSets([[*LINK], [*LINK, "is_weekend"]], *LINK, "is_weekend")
+        .agg(measure(agg, COUNT_PER_DAY).alias("result"), F.grouping("is_weekend").alias("whole"))
+    )
+    both = _pivoted(by_side, F.max(F.when(whole, F.col("result"))).alias("total")).select(
+        *LINK, F.col("total").cast("double").alias("period"), _difference().cast("double").alias("diff")
     )
+    both = links_within_borough(both, lookup, borough)
     return both.unpivot(LINK, ["period", "diff"], "measure", "weight")

@@ -82,6 +82,25 @@ def within_borough(df: DataFrame, lookup: DataFrame, borough: str) -> DataFrame:
     return df
 
 
+def links_within_borough(
+    flow: DataFrame, lookup: DataFrame | None, borough: str | None
+) -> DataFrame:
+    """The links of a flow with both ends in one borough; all of them without a borough.
+
+    It stands behind the aggregation, so that the joins see one row per link and
+    bucket and not the trips, whatever Spark knows about the size of the lookup.
+    """
+    if not borough:
+        return flow
+    if lookup is None:
+        raise ValueError("a borough needs the zone lookup")
+    zones = lookup.filter(F.col("borough_name") == borough)
+    columns = flow.columns
+    for end in ("pu_id", "do_id"):
+        flow = flow.join(zones.select(F.col("LocationID").alias(end)), end, "left_semi")
+    return flow.select(*columns)
+
+
 def od_flow(
     trips: DataFrame,
     start: Day,
@@ -109,8 +128,6 @@ def od_flow(
     rows = in_period(trips, start, end)
     if days:
         rows = on_weekdays(rows, days)
-    if borough:
-        rows = within_borough(rows, lookup, borough)
 
     day = F.col("pickup_date")
     keys = [F.col(S.PU).alias("pu_id"), F.col(S.DO).alias("do_id")]
@@ -125,6 +142,7 @@ def od_flow(
     flow = rows.groupBy(*keys).agg(
         measure(agg, "passenger_count").alias("aggregated_result")
     )
+    flow = links_within_borough(flow, lookup, borough)
     if ordered:
         flow = flow.orderBy("aggregated_result", *flow.columns[:-1])
     return flow

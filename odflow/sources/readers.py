@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,22 @@ from odflow import schema as S
 from odflow.operators.cleaning import with_trip_dates
 
 
+def _trip_file_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in S.TRIP_FILE_SCHEMA])
+    reader = spark.read.schema(texts).option("header", True).option("mode", "PERMISSIVE")
+    return reader.option("ignoreLeadingWhiteSpace", True).option(
+        "ignoreTrailingWhiteSpace", True
+    ).csv(path)
+
+
+def _as_read(field: T.StructField) -> Column:
+    """A value as a database reads it: ``1.0`` is an integer, seconds may have a fraction."""
+    text = F.col(field.name)
+    if isinstance(field.dataType, T.IntegralType):
+        return F.round(text.try_cast("double")).try_cast(field.dataType)
+    return text.try_cast(field.dataType)
+
+
 def read_trip_files(
     spark: SparkSession, path: str | list[str], blank_as_zero: bool = True
 ) -> DataFrame:
@@ -20,20 +36,28 @@ def read_trip_files(
     Columns are taken by position. A blank or unreadable number becomes 0, as a
     lenient database load makes it, so that the clean-up rules see it;
     ``blank_as_zero=False`` keeps it null. An unreadable timestamp is null.
+    ``unreadable_values`` counts them.
     """
-    trips = (
-        spark.read.schema(S.TRIP_FILE_SCHEMA)
-        .option("header", True)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    texts = _trip_file_texts(spark, path)
+    trips = texts.select(*(_as_read(f).alias(f.name) for f in S.TRIP_FILE_SCHEMA))
     if blank_as_zero:
         numbers = [f.name for f in S.TRIP_FILE_SCHEMA if isinstance(f.dataType, T.NumericType)]
         trips = trips.fillna(0, subset=numbers)
     return with_trip_dates(trips)
 
 
+def unreadable_values(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(column, n_values)``: values of trip files that are there but cannot be read."""
+    texts = _trip_file_texts(spark, path)
+    counts = texts.agg(
+        *(
+            F.count_if((F.length(f.name) > 0) & _as_read(f).isNull()).alias(f.name)
+            for f in S.TRIP_FILE_SCHEMA
+        )
+    )
+    return counts.unpivot([], S.TRIP_FILE_SCHEMA.names, "column", "n_values")
+
+
 def _read_layout(
     spark: SparkSession, path: str, schema: T.StructType, layout: str
 ) -> DataFrame:
@@ -66,18 +90,14 @@ def read_zones(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(S.ZONE_SCHEMA).format(fmt).load(path)
 
 
-def parts_from_vertices(vertices: DataFrame, vertices_per_part: int = 4096) -> DataFrame:
-    """Polygon parts from rows (zone_idx, zone, borough, seq, x, y).
+def parts_from_vertices(vertices: DataFrame) -> DataFrame:
+    """Polygon parts from rows (zone_idx, zone, borough, part, seq, x, y).
 
-    ``seq`` numbers the vertices of a zone from 0 without gaps. An outline is cut
-    into consecutive parts of bounded length, so no task ever holds more than
-    ``vertices_per_part`` vertices of a zone; centroids and bounds are computed
-    over all parts and do not depend on the cut.
+    ``part`` numbers the rings of a zone as the input has them and ``seq`` the vertices
+    of a ring; a ring is one row of the result, whatever its length.
     """
-    part = F.floor(F.col("seq") / vertices_per_part).cast("long")
     return (
-        vertices.withColumn("part", part)
-        .groupBy("zone_idx", "zone", "borough", "part")
+        vertices.groupBy("zone_idx", "zone", "borough", F.col("part").cast("long").alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("points"))
         .select(
             "zone_idx",

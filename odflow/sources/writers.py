@@ -3,6 +3,9 @@
 They ask for a rebalance instead of a plain repartition on the partition columns:
 small partitions are merged and one that holds a large share of the rows is split
 over several tasks and files.
+
+A load adds to what a path holds, and replaces the partitions it has rows for: with the
+layout ``day`` single days, with ``month`` whole months, so load months whole there.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from odflow.operators.points import frame_positions
 
 
 def _write(df: DataFrame, path: str, *partition_columns: str) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_columns).parquet(path)
+    """Replace the partitions that ``df`` has rows for; others at the path stay."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_columns).parquet(path)
 
 
 def _with_layout(df: DataFrame, layout: str) -> DataFrame:

@@ -210,6 +210,20 @@ def _over_rollup(operator, **options) -> Query:
     return run
 
 
+# Aggregates of more than one part, as text.
+RATIO = "sum(passenger_count_per_day) / count(*)"
+SUM_PLUS_MAX = "sum(passenger_count_per_day) + max(passenger_count_per_day)"
+# A month in which some links run on weekdays or weekends only.
+MONTH = ("1998-01-01", "1998-01-31")
+
+
+def _in_month(operator, **options) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(_daily(spark, sf_dir), *MONTH, **options)
+
+    return run
+
+
 def _period_flow(**options) -> Query:
     return _over_rollup(comparison.period_flow, **options)
 
@@ -218,14 +232,6 @@ def _diff(**options) -> Query:
     return _over_rollup(comparison.weekday_weekend_diff, **options)
 
 
-def _diff_join(compare: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sides = comparison.weekday_and_weekend_flow(_daily(spark, sf_dir), START, END)
-        return compare(*sides)
-
-    return run
-
-
 QUERIES.update(
     {
         "period_flow_count": _period_flow(),
@@ -236,10 +242,16 @@ QUERIES.update(
         "wd_we_diff_avg": _diff(agg="avg"),
         "wd_we_diff_sum": _diff(agg=flows.TRIPS_OF_ROLLUP),
         "wd_we_diff_borough": _diff(agg="avg", borough="ASIA"),
-        "wd_we_left_join": _diff_join(lambda a, b: comparison.compare_flows(a, b, "left")),
-        "wd_we_right_join": _diff_join(lambda a, b: comparison.compare_flows(a, b, "right")),
-        "wd_we_full_join": _diff_join(comparison.compare_flows),
-        "outer_join_union": _diff_join(comparison.compare_flows_by_union),
+        "wd_we_diff_ratio": _diff(agg=RATIO),
+        "wd_we_diff_sum_plus_max": _diff(agg=SUM_PLUS_MAX),
+        "wd_we_left_join": _diff(how="left"),
+        "wd_we_right_join": _diff(how="right"),
+        "wd_we_full_join": _diff(how="full"),
+        "outer_join_union": _over_rollup(comparison.weekday_weekend_diff_by_union),
+        "wd_we_left_join_month": _in_month(comparison.weekday_weekend_diff, how="left"),
+        "wd_we_right_join_month": _in_month(comparison.weekday_weekend_diff, how="right"),
+        "wd_we_full_join_month": _in_month(comparison.weekday_weekend_diff),
+        "outer_join_union_month": _in_month(comparison.weekday_weekend_diff_by_union),
     }
 )
 

@@ -362,11 +362,25 @@ SQL["wd_we_diff_sum"] = _with(_union_difference(_SUM_DAYS), "daily")
 SQL["wd_we_diff_borough"] = _with(
     _both_in(_union_difference(_AVG_DAYS), "ASIA"), "daily", "lookup"
 )
+SQL["wd_we_diff_ratio"] = _with(
+    _union_difference("sum(passenger_count_per_day) / count(*)"), "daily"
+)
+SQL["wd_we_diff_sum_plus_max"] = _with(
+    _union_difference(
+        "cast(sum(passenger_count_per_day) + max(passenger_count_per_day) AS bigint)"
+    ),
+    "daily",
+)
 SQL["wd_we_left_join"] = _with(_difference(_halves(_COUNT_DAYS)[0]), "daily")
 SQL["wd_we_right_join"] = _with(_difference(_halves(_COUNT_DAYS)[1]), "daily")
 SQL["wd_we_full_join"] = SQL["wd_we_diff_count"]
 SQL["outer_join_union"] = SQL["wd_we_diff_count"]
 
+# The same in a month in which some links run on weekdays or weekends only.
+_MONTH = "BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'"
+for _name in ("wd_we_left_join", "wd_we_right_join", "wd_we_full_join", "outer_join_union"):
+    SQL[f"{_name}_month"] = SQL[_name].replace(f"pickup_date {SPAN} AND pickup_weekday", f"pickup_date {_MONTH} AND pickup_weekday")
+
 
 # Adjacency and choropleth encoding
 def _directed(od: str, weight: str) -> str:

@@ -92,3 +92,32 @@ def test_period_and_diff(daily, as_column):
     }
     assert by_measure["period"] == result(C.period_flow(daily, *PERIOD, agg="avg"))
     assert by_measure["diff"] == result(C.weekday_weekend_diff(daily, *PERIOD, agg="avg"))
+
+
+def test_composite_text_and_column_agree(daily):
+    from pyspark.sql import functions as F
+
+    n = F.col("passenger_count_per_day")
+    forms = {
+        "sum(passenger_count_per_day) / count(*)": F.sum(n) / F.count("*"),
+        "sum(passenger_count_per_day) + max(passenger_count_per_day)": F.sum(n) + F.max(n),
+        "round(avg(passenger_count_per_day), 2)": F.round(F.avg(n), 2),
+    }
+    for text, column in forms.items():
+        found = result(C.weekday_weekend_diff(daily, *PERIOD, agg=text))
+        assert found == result(C.weekday_weekend_diff(daily, *PERIOD, agg=column))
+        both = C.period_and_diff(daily, *PERIOD, agg=text).filter("measure = 'diff'")
+        assert {(r.pu_id, r.do_id): r.weight for r in both.collect()} == found
+
+
+def test_composite_diff_by_hand(daily_frame):
+    daily = daily_frame([("2018-01-01", 1, 2, 5), ("2018-01-02", 1, 2, 3), ("2018-01-06", 1, 2, 1)])
+    ratio = C.weekday_weekend_diff(daily, *PERIOD, agg="sum(passenger_count_per_day) / count(*)")
+    assert result(ratio) == {(1, 2): 3.0}
+
+
+def test_halves_of_the_difference(daily):
+    assert result(C.weekday_weekend_diff(daily, *PERIOD, how="left")) == {(1, 2): 1, (5, 6): 1}
+    assert result(C.weekday_weekend_diff(daily, *PERIOD, how="right")) == {(1, 2): 1, (3, 4): -1}
+    full = result(C.weekday_weekend_diff(daily, *PERIOD))
+    assert result(C.weekday_weekend_diff_by_union(daily, *PERIOD)) == full

@@ -27,22 +27,34 @@ def test_no_python_and_no_nested_loop(spark, name):
         assert node not in text, node
 
 
-def test_comparison_is_one_scan_and_one_shuffle(spark, daily_frame, tmp_path):
+def test_comparison_is_one_scan(spark, daily_frame, tmp_path):
     from odflow.operators.comparison import weekday_weekend_diff
     from odflow.sources import readers, writers
 
     writers.write_daily(daily_frame([("2018-01-01", 1, 2, 5)]), str(tmp_path / "d"))
     daily = readers.read_daily(spark, str(tmp_path / "d"))
     text = plan(weekday_weekend_diff(daily, "2018-01-01", "2018-01-31", agg="avg"))
-    assert text.count("Exchange") == 1 and text.count("FileScan") == 1
+    assert text.count("FileScan") == 1
     assert "PartitionFilters: [isnotnull(pickup_date" in text
     assert "ReadSchema: struct<pickup_weekday:int,passenger_count_per_day:bigint," in text
 
 
-def test_borough_filter_stands_below_the_aggregation(spark):
-    text = plan(QUERIES["od_week_borough"](spark, SF))
-    assert text.index("HashAggregate") < text.index("LeftSemi")
-    assert "BroadcastHashJoin" in text
+def test_borough_joins_stand_behind_the_aggregation(spark, trip_frame):
+    from odflow.operators import flows
+
+    lookup = spark.createDataFrame([(1, "B")], "LocationID int, borough_name string")
+    unknown = lookup.repartition(3).union(lookup.repartition(2))
+    trips = trip_frame([("2018-01-01", 1, 1)])
+    text = plan(flows.od_flow(trips, "2018-01-01", "2018-01-31", borough="B", lookup=unknown))
+    # reading down, both semi-joins come before the aggregation and none after
+    assert text.count("LeftSemi") == 2
+    assert text.rindex("LeftSemi") < text.index("HashAggregate")
+
+
+def test_comparison_forms_join_the_trips_once(spark):
+    for name in ("wd_we_full_join", "outer_join_union"):
+        text = final_plan(QUERIES[name](spark, SF)).split("Initial Plan")[0]
+        assert len(re.findall(r"FileScan parquet \[l_orderkey", text)) <= 1, name
 
 
 def test_clean_up_reaches_the_scans(spark):

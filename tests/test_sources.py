@@ -153,3 +153,55 @@ def test_jdbc_options():
     assert options["partitionColumn"] == "pickup_date"
     assert (options["lowerBound"], options["upperBound"]) == ("2018-01-01", "2018-12-31")
     assert options["numPartitions"] == "64" and options["user"] == "reader"
+
+
+def _trip_lines(*changes):
+    from odflow import schema as S
+
+    names = S.TRIP_FILE_SCHEMA.names
+    lines = [",".join(names)]
+    for change in changes:
+        own = dict.fromkeys(names, "1") | {
+            "tpep_pickup_datetime": "2018-01-01 00:10:00",
+            "tpep_dropoff_datetime": "2018-01-01 00:20:00",
+            "store_and_fwd_flag": "N",
+        }
+        lines.append(",".join((own | change)[n] for n in names))
+    return "\r\n".join(lines)
+
+
+def test_trip_files_keep_what_a_database_reads(spark, tmp_path):
+    from odflow.sources import readers
+
+    path = tmp_path / "trips.csv"
+    path.write_text(
+        _trip_lines(
+            {"passenger_count": "1.0"},
+            {"tpep_pickup_datetime": "2018-01-01 00:10:00.0"},
+            {"passenger_count": "many", "tip_amount": ""},
+        )
+    )
+    rows = readers.read_trip_files(spark, str(path)).collect()
+    assert [r.passenger_count for r in rows] == [1, 1, 0]
+    assert all(r.tpep_pickup_datetime.minute == 10 for r in rows)
+    assert rows[2].tip_amount == 0
+    counts = {r["column"]: r.n_values for r in readers.unreadable_values(spark, str(path)).collect()}
+    assert counts.pop("passenger_count") == 1 and not any(counts.values())
+
+
+def test_a_later_load_adds_to_an_earlier_one(spark, daily_frame, tmp_path):
+    from odflow.sources import readers, writers
+
+    path = str(tmp_path / "daily")
+    writers.write_daily(daily_frame([("2018-01-01", 1, 2, 5), ("2018-01-02", 1, 2, 6)]), path)
+    writers.write_daily(daily_frame([("2019-01-01", 1, 2, 7), ("2018-01-02", 1, 2, 8)]), path)
+    found = sorted(r.passenger_count_per_day for r in readers.read_daily(spark, path).collect())
+    assert found == [5, 7, 8]
+
+
+def test_missing_zone_ids_are_no_violation(spark):
+    from odflow.operators.cleaning import unknown_zones
+
+    trips = spark.createDataFrame([(None, 1), (9, 1)], "PULocationID int, DOLocationID int")
+    lookup = spark.createDataFrame([(1,)], "LocationID int")
+    assert [tuple(r) for r in unknown_zones(trips, lookup).select("trip_end", "LocationID").collect()] == [("pickup", 9)]

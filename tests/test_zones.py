@@ -17,19 +17,24 @@ def test_centroid_is_the_mean_of_all_vertices(square_zones):
     assert first["n_vertices"] == 5
 
 
-def test_parts_of_a_zone_are_pooled(spark, square_zones):
-    cut = square_zones.select(
-        "zone_idx", "zone", "borough", F.posexplode("coords").alias("seq", "p")
-    ).select("zone_idx", "zone", "borough", "seq", "p.x", "p.y")
-    parts = parts_from_vertices(cut, vertices_per_part=2)
-    assert parts.count() == 4 * 3
-    assert parts.agg(F.max(F.size("coords"))).first()[0] == 2
-    whole = {r["zone_idx"]: r for r in zones.zone_geometry(square_zones).collect()}
-    for r in zones.zone_geometry(parts).collect():
-        assert r.asDict() == pytest.approx(whole[r["zone_idx"]].asDict())
-    ordered = parts.filter("zone_idx = 1").orderBy("part").collect()
-    points = [tuple(p) for r in ordered for p in r["coords"]]
-    assert points == [(10, 5), (14, 5), (14, 9), (10, 9), (10, 5)]
+def test_rings_come_from_the_input(spark, square_zones):
+    vertices = square_zones.select(
+        "zone_idx", "zone", "borough", "part", F.posexplode("coords").alias("seq", "p")
+    ).select("zone_idx", "zone", "borough", "part", "seq", "p.x", "p.y")
+    second = vertices.filter("zone_idx = 1").withColumn("part", F.lit(7))
+    parts = parts_from_vertices(vertices.unionByName(second).repartition(3))
+    rows = {(r["zone_idx"], r["part"]): [tuple(p) for p in r["coords"]] for r in parts.collect()}
+    assert len(rows) == square_zones.count() + 1
+    assert rows[1, 7] == rows[1, 0] == [(10, 5), (14, 5), (14, 9), (10, 9), (10, 5)]
+
+
+def test_long_rings_stay_whole(spark):
+    ring = spark.range(10_000).selectExpr(
+        "0 AS zone_idx", "'Z' AS zone", "'B' AS borough", "0 AS part", "id AS seq",
+        "cast(id AS double) AS x", "0.0D AS y",
+    )
+    row = parts_from_vertices(ring).first()
+    assert len(row["coords"]) == 10_000
 
 
 def test_zone_without_vertices(spark, square_zones):
