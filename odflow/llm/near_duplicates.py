@@ -46,7 +46,7 @@ ROWS_PER_BAND = 5
 BATCH = 20
 CHUNK_BYTES = 1_000_000
 #: Members of a bucket in one block, and rows in one task, of the block comparison.
-BLOCK, SHARD_ROWS = 256, 20_000
+BLOCK, SHARD_ROWS = 1024, 20_000
 
 
 def bands_for(similarity: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
