@@ -7,6 +7,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +94,24 @@ def chunks(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(texts: pa.Array, size: int, *others: pa.Array) -> Iterator[pa.Array | tuple[pa.Array, ...]]:
+    """Parts of an array of texts, and of arrays beside it, of about ``size`` bytes.
+
+    Tasks that turn one part after another into Python objects stay small, however
+    long the texts of a batch. An empty array is one part.
+    """
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    cuts, held = [0], 0
+    for i, n in enumerate(lengths):
+        if held and held + n > size:
+            cuts.append(i)
+            held = 0
+        held += n
+    for first, last in zip(cuts, [*cuts[1:], len(lengths)]):
+        parts = tuple(a.slice(first, last - first) for a in (texts, *others))
+        yield parts if others else parts[0]
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``links`` (a, b): the smallest id it reaches.
 

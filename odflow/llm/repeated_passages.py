@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import chunks, cut, gram_hashes, hashed_words, mix, small
+from odflow.llm.common import cut, gram_hashes, hashed_words, mix, slices, small
 
 LENGTH = 50
 ANCHOR_WORDS = 8
@@ -60,14 +60,14 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def contexts_of(hashes: list[np.ndarray], length: int) -> list[list[dict]]:
-    """The contexts of some documents, given the hashes of their words."""
-    out: list[list[dict]] = [[] for _ in hashes]
+def contexts_of(hashes: list[np.ndarray], length: int) -> pa.Array:
+    """The contexts of some documents, a list for each, given the hashes of their words."""
+    none = pa.array([[]] * len(hashes), pa.list_(CONTEXT))
     sizes = np.array([len(h) for h in hashes])
     ends = np.cumsum(sizes)
     words = np.concatenate(hashes) if len(hashes) else np.empty(0, np.uint64)
     if len(words) < length:
-        return out
+        return none
     width = min(ANCHOR_WORDS, length)
     grams = gram_hashes(words, width)
     place = np.uint64(_PLACE)
@@ -80,7 +80,7 @@ def contexts_of(hashes: list[np.ndarray], length: int) -> list[list[dict]]:
     first[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(first)
     if not len(starts):
-        return out
+        return none
     run = np.cumsum(first)[inside]
     n = np.bincount(run, minlength=len(starts) + 1)[1:]
     # a hash of the context's words, from the start to the last word of the last window
@@ -92,26 +92,23 @@ def contexts_of(hashes: list[np.ndarray], length: int) -> list[list[dict]]:
         content[more] = content[more] * np.uint64(_B) + words[starts[more] + i]
     offset = (anchor[starts] - starts).astype(np.uint64)
     content = mix(content + powers[n] + mix(offset + np.uint64(1)))
-    begin = ends - sizes
-    rows = zip(
-        owner[starts].tolist(),
-        grams[anchor[starts]].astype(np.int64).tolist(),
-        content.astype(np.int64).tolist(),
-        (starts - begin[owner[starts]]).tolist(),
-        n.tolist(),
-    )
-    for k, a, c, s, m in rows:
-        out[k].append({"anchor": a, "context": c, "start": s, "n": m})
-    return out
+    own = owner[starts]
+    columns = [
+        grams[anchor[starts]].astype(np.int64),
+        content.astype(np.int64),
+        (starts - (ends - sizes)[own]).astype(np.int32),
+        n.astype(np.int32),
+    ]
+    rows = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(CONTEXT))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(hashes)))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
 def _contexts(length: int):
     def contexts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts, rows = batch.to_pylist(), []
-            for first, last in chunks(texts, CHUNK_BYTES):
-                rows += contexts_of([hashed_words(t.split() if t else []) for t in texts[first:last]], length)
-            yield pa.array(rows, pa.list_(CONTEXT))
+            for texts in slices(batch, CHUNK_BYTES):
+                yield contexts_of([hashed_words(t.split() if t else []) for t in texts.to_pylist()], length)
 
     return F.arrow_udf(
         contexts, "array<struct<anchor: bigint, context: bigint, start: int, n: int>>"
@@ -120,12 +117,13 @@ def _contexts(length: int):
 
 def _passages(length: int):
     def passages(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, wanted in batches:
-            rows = []
-            for text, spans in zip(texts.to_pylist(), wanted.to_pylist()):
-                words = text.split() if text else []
-                rows.append([b" ".join(words[s["start"] : s["start"] + s["n"] + length - 1]) for s in spans])
-            yield pa.array(rows, pa.list_(pa.binary()))
+        for batch, wanted in batches:
+            for texts, own in slices(batch, CHUNK_BYTES, wanted):
+                rows = []
+                for text, spans in zip(texts.to_pylist(), own.to_pylist()):
+                    words = text.split() if text else []
+                    rows.append([b" ".join(words[s["start"] : s["start"] + s["n"] + length - 1]) for s in spans])
+                yield pa.array(rows, pa.list_(pa.binary()))
 
     return F.arrow_udf(passages, "array<binary>")
 
@@ -199,17 +197,39 @@ class SuffixAutomaton:
                 yield self.least[state] if matched >= length else None
 
 
+def _with_repeats(rows: pd.DataFrame, words: list[list[bytes]], length: int) -> np.ndarray:
+    """Which rows hold a window whose hash occurs again in their block.
+
+    Equal windows have equal hashes, so the other rows share no window with a row.
+    """
+    sizes = np.array([len(w) for w in words])
+    owner, ends = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
+    grams = gram_hashes(np.concatenate([hashed_words(w) for w in words]), length)
+    at = np.flatnonzero(np.arange(len(grams)) + length <= ends[owner[: len(grams)]])
+    block = rows.groupby(["anchor", "i", "j"], sort=False).ngroup().to_numpy().astype(np.uint64)
+    windows = grams[at] + block[owner[at]] * np.uint64(_B)
+    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
+    again = np.zeros(len(words), bool)
+    again[owner[at[times[which] > 1]]] = True
+    return again
+
+
 def _match(length: int):
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, shard in rows.groupby(["anchor", "i", "j"], sort=False):
+        words = [w.split(b" ") for w in rows["words"]]
+        rows["words"] = pd.Series(words, rows.index, dtype=object)
+        again = _with_repeats(rows, words, length)
+        # a context that shares no window has the smallest document of its class alone
+        single = rows[~again & rows.reference & rows.streamed]
+        out = [(r.anchor, r.context, 0, len(r.words) - length + 1, r.document) for r in single.itertuples()]
+        for _, shard in rows[again].groupby(["anchor", "i", "j"], sort=False):
             automaton = SuffixAutomaton()
             for row in shard[shard.reference].itertuples():
-                automaton.add(row.words.split(b" "), row.document)
+                automaton.add(row.words, row.document)
             automaton.finish()
             for row in shard[shard.streamed].itertuples():
                 begin, known = 0, None
-                found = [*automaton.stream(row.words.split(b" "), length), None]
+                found = [*automaton.stream(row.words, length), None]
                 for at, document in enumerate(found):
                     if document != known:
                         if known is not None:
@@ -252,24 +272,25 @@ CLEANED = pa.struct(
 
 
 def _clean(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, spans in batches:
-        rows = []
-        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
-            words = text.split() if text else []
-            kept, at = [], 0
-            for span in own or ():
-                kept += words[at : span["start"]]
-                at = span["end"]
-            kept += words[at:]
-            rows.append(
-                {
-                    "n_words": len(words),
-                    "n_removed": len(words) - len(kept),
-                    "kept_text": b" ".join(kept).decode(),
-                    "spans": own or [],
-                }
-            )
-        yield pa.array(rows, CLEANED)
+    for batch, spans in batches:
+        for texts, cut_out in slices(batch, CHUNK_BYTES, spans):
+            rows = []
+            for text, own in zip(texts.to_pylist(), cut_out.to_pylist()):
+                words = text.split() if text else []
+                kept, at = [], 0
+                for span in own or ():
+                    kept += words[at : span["start"]]
+                    at = span["end"]
+                kept += words[at:]
+                rows.append(
+                    {
+                        "n_words": len(words),
+                        "n_removed": len(words) - len(kept),
+                        "kept_text": b" ".join(kept).decode(),
+                        "spans": own or [],
+                    }
+                )
+            yield pa.array(rows, CLEANED)
 
 
 def remove_repeated_passages(
