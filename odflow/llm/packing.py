@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from odflow.llm.common import chunks, cut
+from odflow.llm.common import cut, slices
 from odflow.llm.tokens import ids_by_word
 
 CAPACITY = 2048
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 #: Pieces in one bucket, about, and the least number of buckets.
 RANKED, BUCKETS = 20_000, 32
 
@@ -38,9 +38,9 @@ PIECES = pa.list_(
 def _cut_pieces(path: str, capacity: int, end: bytes, with_ids: bool):
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts, rows = batch.to_pylist(), []
-            for first, last in chunks(texts, CHUNK_BYTES):
-                for ids in ids_by_word(path, texts[first:last]):
+            rows = []
+            for texts in slices(batch, CHUNK_BYTES):
+                for ids in ids_by_word(path, texts.to_pylist()):
                     ids, own = ids + end, []
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 
 from odflow.llm.common import LOWER, memo
 
-#: Distinct pieces of text whose tokens a Python worker remembers; emptied when full.
-REMEMBERED = 400_000
+#: Distinct words, and pieces of words, whose tokens a Python worker remembers; each is emptied when full.
+REMEMBERED, REMEMBERED_PIECES = 200_000, 250_000
+
+#: The pattern by which the tokenizer splits words, as its file holds it (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of printable ASCII and Latin letters that are composed and have one lower-case form.
+LATIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
+#: The same pattern for such words in lower case.
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-įı-ſ]+|[0-9]|[^a-z0-9ß-öø-įı-ſ]+")
 
 
 def load(path: str):
@@ -16,23 +26,86 @@ def load(path: str):
     return memo(f"tokenizer {path}", lambda: Tokenizer.from_file(path))
 
 
+def _merger(path: str):
+    """The tokenizer's merges alone, for pieces that are split and lower-cased already.
+
+    None if the tokenizer splits or normalises in another way than ``PATTERN`` and
+    lower case of composed characters.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    held = json.loads(load(path).to_str())
+    steps = (held["normalizer"] or {}).get("normalizers", [])
+    splits = (held["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"]:
+        return None
+    if [s["type"] for s in splits] != ["Split", "ByteLevel"] or splits[0]["pattern"] != {"Regex": PATTERN}:
+        return None
+    bare = Tokenizer(load(path).model)
+    by_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_byte])
+    return bare
+
+
 def word_ids(path: str) -> dict[bytes, bytes]:
     """The remembered words of this worker: their ids as 4-byte integers."""
     return memo(f"word ids {path}", dict)
 
 
-def _learn(path: str, known: dict[bytes, bytes], words: list[bytes]) -> None:
+def _dealt(ids: list[int], places: list[int], ends: np.ndarray) -> list[bytes]:
+    """Ids of one text dealt back to its parts: those with places before each end."""
+    held = np.array(ids, np.uint32).tobytes()
+    cuts = (4 * np.searchsorted(np.array(places, np.int64), np.concatenate(([0], ends)))).tolist()
+    return [held[first:last] for first, last in zip(cuts, cuts[1:])]
+
+
+def _learn_whole(path: str, known: dict[bytes, bytes], words: list[bytes]) -> None:
     """Ids of new words, encoded as one text and dealt back by the place of each token."""
     if not words:
         return
     texts = [w.decode() for w in words]
     found = load(path).encode(" ".join(texts), add_special_tokens=False)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    starts = np.array([start for start, _ in found.offsets], np.int64)
-    ids = np.array(found.ids, np.uint32).tobytes()
-    cuts = (4 * np.searchsorted(starts, np.concatenate(([0], ends)))).tolist()
-    for word, first, last in zip(words, cuts, cuts[1:]):
-        known[word] = ids[first:last]
+    known.update(zip(words, _dealt(found.ids, [start for start, _ in found.offsets], ends)))
+
+
+def _learn(path: str, known: dict[bytes, bytes], words: list[bytes]) -> None:
+    """Ids of new words. Latin words are split into pieces, which many words share, and
+    each distinct piece is merged once; other words go through the library whole."""
+    merger = memo(f"merger {path}", lambda: _merger(path))
+    if merger is None:
+        return _learn_whole(path, known, words)
+    pieces_known: dict[str, bytes] = memo(f"piece ids {path}", dict)
+    # strings only: hundreds of thousands of small lists would keep the garbage collector busy
+    single, texts, several, joined, whole = [], [], [], [], []
+    for word in words:
+        text = word.decode()
+        if not LATIN.fullmatch(text) or "<|" in text:
+            whole.append(word)
+        elif text.isalpha():
+            single.append(word)
+            texts.append(text.lower())
+        else:
+            several.append(word)
+            joined.append(" ".join(PIECES.findall(text.lower())))
+    needed = set(texts).union(" ".join(joined).split())
+    if fresh := _forgotten(pieces_known, needed, REMEMBERED_PIECES):
+        found = merger.encode(" ".join(fresh), add_special_tokens=False)
+        pieces_known.update(zip(fresh, _dealt(found.ids, found.word_ids, np.arange(1, len(fresh) + 1))))
+    known.update(zip(single, map(pieces_known.__getitem__, texts)))
+    for word, pieces in zip(several, joined):
+        known[word] = b"".join(map(pieces_known.__getitem__, pieces.split()))
+    _learn_whole(path, known, whole)
+
+
+def _forgotten(known: dict, needed: set, limit: int) -> list:
+    """What is needed and not known. If all would be too much, ``known`` keeps what is needed."""
+    fresh = needed - known.keys()
+    if len(known) + len(fresh) > limit:
+        kept = {w: known[w] for w in needed - fresh}
+        known.clear()
+        known.update(kept)
+    return list(fresh)
 
 
 def ids_by_word(path: str, texts: list[bytes | None]) -> list[bytes]:
@@ -46,10 +119,5 @@ def ids_by_word(path: str, texts: list[bytes | None]) -> list[bytes]:
     split = [
         (t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts
     ]
-    needed = set().union(*split)
-    fresh = needed - known.keys()
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = needed
-    _learn(path, known, list(fresh))
+    _learn(path, known, _forgotten(known, set().union(*split), REMEMBERED))
     return [b"".join(map(known.__getitem__, words)) for words in split]

@@ -341,3 +341,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
     few = neighbours.nearest(df.filter("vec_id in (0, 100, 3)")).collect()
     assert len(few) == 4
+
+
+def test_ids_by_word_as_the_library():
+    from odflow.llm import tokens
+    from odflow.llm.queries import tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    rng = random.Random(7)
+    alphabet = "aB's\"é'ÉtreLL1.9ß×<|> \t½²İ́ſ"
+    texts = ["".join(rng.choices(alphabet, k=60)) for _ in range(500)]
+    texts += ["it's 'Sa don''re x'LL ÀÉ'S é... İstanbul <|endoftext|>A é<|endoftext|>. \x1c a\xa0b ≮ ǅ ½ ª", "", " "]
+    got = tokens.ids_by_word(path, [t.encode() for t in texts])
+    for text, ids in zip(texts, got):
+        want = tokens.load(path).encode(text, add_special_tokens=False).ids
+        assert list(memoryview(ids).cast("I")) == want, text
+
+
+def test_remembered_pieces_are_forgotten_but_for_those_needed():
+    from odflow.llm import tokens
+
+    known = {"a": 1, "b": 2}
+    assert tokens._forgotten(known, {"b", "c"}, 2) == ["c"]
+    assert known == {"b": 2}
