@@ -10,7 +10,7 @@ import numpy as np
 from odflow.llm.common import LOWER, memo
 
 #: Distinct words, and pieces of words, whose tokens a Python worker remembers; each is emptied when full.
-REMEMBERED, REMEMBERED_PIECES = 200_000, 250_000
+REMEMBERED, REMEMBERED_PIECES = 400_000, 400_000
 
 #: The pattern by which the tokenizer splits words, as its file holds it (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
