@@ -4,8 +4,9 @@ Every vector is represented by the order in which it sees the pivots, nearest fi
 index holds, for each pivot, a file with the vectors' places of that pivot. For a query
 the files are walked one after another and add up the footrule distance, the sum of
 differences between places; the best share of the vectors is then ranked by its true
-cosine. Index and search run in blocks of vectors; queries are broadcast in blocks of
-bounded size. Every vector is indexed; only pivots come from a bounded sample.
+cosine. Copies of a vector count once in that share, and vectors with the footrule of the
+last one belong to it. Index and search run in blocks of vectors; queries are broadcast in
+blocks of bounded size. Every vector is indexed; only pivots come from a bounded sample of distinct ones.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PIVOTS = 128
-#: Share of a block's vectors, and least number of them, that are ranked by cosine.
+#: Share of a block's rows, and least number, of distinct vectors that are ranked by cosine.
 SHARE, LEAST = 0.2, 100
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 
@@ -38,6 +39,21 @@ def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+def _copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of each distinct vector, the ``k + 1`` smallest ids of each, and whose they are.
+
+    No more can be among the ``k`` best of a query, which may be one of them itself.
+    """
+    seen: dict[bytes, int] = {}
+    # adding 0 makes both zeros equal
+    group = np.array([seen.setdefault(v.tobytes(), len(seen)) for v in vectors + 0.0], np.int64)
+    _, first = np.unique(group, return_index=True)
+    pairs = np.unique(np.stack((group, ids), 1), axis=0)
+    starts = np.searchsorted(pairs[:, 0], np.arange(len(first)))
+    pairs = pairs[np.arange(len(pairs)) - starts[pairs[:, 0]] <= k]
+    return first, pairs[:, 1], pairs[:, 0]
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -scores))
     _, first = np.unique(ids[order], return_index=True)
@@ -57,18 +73,24 @@ def _search(shared, pivots: np.ndarray, k: int, share: float, least: int):
                 ids = part.column(0).to_numpy()
                 flat = part.column(1).flatten().to_numpy()
                 vectors = unit(flat.reshape(len(ids), -1))
+                n = max(least, int(share * len(ids)))
+                first, ids, group = _copies(ids, vectors, k)
+                vectors = vectors[first]
                 files = np.ascontiguousarray(places(vectors, pivots).T)
-                n = min(len(ids), max(least, int(share * len(ids))))
+                n = min(len(vectors), n)
                 for q, own in enumerate(query_ids):
-                    footrule = np.zeros(len(ids), np.int32)
+                    footrule = np.zeros(len(vectors), np.int32)
                     for file, place in zip(files, asked[q]):
                         footrule += np.abs(file - place)
-                    found = np.argpartition(footrule, n - 1)[:n]
-                    found = found[ids[found] != own]
+                    near = footrule <= np.partition(footrule, n - 1)[n - 1]
                     # summed row by row, so that equal vectors have equal scores
-                    scores = (vectors[found] * queries[q]).sum(1)
+                    scores = np.zeros(len(vectors))
+                    scores[near] = (vectors[near] * queries[q]).sum(1)
+                    found = near[group] & (ids != own)
                     best[q] = _best(
-                        np.concatenate((best[q][0], ids[found])), np.concatenate((best[q][1], scores)), k
+                        np.concatenate((best[q][0], ids[found])),
+                        np.concatenate((best[q][1], scores[group[found]])),
+                        k,
                     )
         rows = [(q, int(i), float(s)) for q, own in zip(query_ids.tolist(), best) for i, s in zip(*own)]
         names = ["query_id", "vec_id", "score"]
@@ -109,7 +131,10 @@ def nearest(
     if length is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     points = points.filter(F.size("v") == length["n"])
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
+    # distinct vectors, as copies among the pivots would outweigh the others
+    key = F.xxhash64("v")
+    keys = [r["key"] for r in points.select(key.alias("key")).distinct().orderBy("key").limit(n_pivots).collect()]
+    sample = points.filter(key.isin(keys)).select("v").distinct().orderBy(key, "v").collect()
     pivots = unit(np.array([r["v"] for r in sample]))
 
     queries = points.filter(F.col("id") % every == 0)

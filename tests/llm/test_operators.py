@@ -364,3 +364,22 @@ def test_remembered_pieces_are_forgotten_but_for_those_needed():
     known = {"a": 1, "b": 2}
     assert tokens._forgotten(known, {"b", "c"}, 2) == ["c"]
     assert known == {"b": 2}
+
+
+def test_neighbours_among_many_copies(spark):
+    # one block of full size, a third of it copies: more than the share that is ranked by cosine
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(8192, 64)).astype(np.float32)
+    vectors[rng.permutation(8192)[: 8192 // 3]] = vectors[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df.coalesce(1)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit, ids = neighbours.unit(vectors.astype(np.float64)), np.arange(8192)
+    hits = {True: [], False: []}
+    for q in range(0, 8192, 50):
+        scores = (unit * unit[q]).sum(1)
+        want = [i for i in np.lexsort((ids, -scores)).tolist() if i != q][:5]
+        hits[bool((vectors[q] == vectors[0]).all())] += [i in got[q] for i in want]
+    assert all(hits[True]) and len(hits[True]) > 100
+    assert np.mean(hits[False]) >= 0.9
