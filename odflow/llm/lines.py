@@ -21,6 +21,15 @@ MIN_SITES = 5
 MIN_WORDS = 3
 LG_K = 12
 
+#: Scripts written without spaces between words; each of their characters counts as a word.
+UNSPACED = "".join(
+    rf"\p{{Is{script}}}"
+    for script in (
+        "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tibetan Tai_Le New_Tai_Lue Tai_Tham Tai_Viet "
+        "Javanese Balinese"
+    ).split()
+)
+
 RESULT = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
 
@@ -77,16 +86,21 @@ def remove_shared_lines(
 
     Lines end at line feeds. Lines of at least ``min_words`` words that stand on
     ``min_sites`` or more distinct sites go, but for their first place (smallest id,
-    then line). A null text stays null, without lines; an empty one has one line. A
-    missing site is no site. Rows that share an id lose the same places. Lines of a row
-    without an id count, but stay. A column called like ``result`` is replaced.
+    then line). Words are runs between ASCII white space; in scripts written without
+    spaces every character counts as one. A null text stays null, without lines; an empty
+    one has one line. A missing site is no site. Rows that share an id lose the same
+    places. Lines of a row without an id count, but stay. A column called like ``result``
+    is replaced.
     """
-    words = rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{min_words - 1}}}[^\x20\x09-\x0D]"
+    space = r"\x20\x09-\x0D"
+    spaced = rf"(?:[^{space}]+[{space}]+){{{min_words - 1}}}[^{space}]"
+    word = rf"(?:[{UNSPACED}]|[^{space}{UNSPACED}]++)"
+    unspaced = rf"(?:{word}[{space}]*+){{{min_words - 1}}}{word}"
     rows = documents.select(
         F.col(id).cast("long").alias("id"),
         F.col(site).cast("string").alias("site"),
         F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"),
-    ).filter(F.col("line").rlike(words))
+    ).filter(F.col("line").rlike(spaced) | F.col("line").rlike(unspaced))
     rows = rows.select("id", "site", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
     gone = (
         rows.join(shared_lines(rows, min_sites, lg_k), "key")

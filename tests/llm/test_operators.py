@@ -383,3 +383,12 @@ def test_neighbours_among_many_copies(spark):
         hits[bool((vectors[q] == vectors[0]).all())] += [i in got[q] for i in want]
     assert all(hits[True]) and len(hits[True]) > 100
     assert np.mean(hits[False]) >= 0.9
+
+
+def test_shared_lines_without_spaces(spark):
+    shared = ["版权所有未经许可不得转载", "すべての権利を保有します", "สงวนลิขสิทธิ์ทั้งหมด"]
+    rows = [(i, "\n".join([f"行{i}", *shared, "two words", "Les.", "中文"]), f"s{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    text = {r.doc_id: r.without_shared_lines.text for r in lines.remove_shared_lines(df).collect()}
+    assert text[0] == rows[0][1]
+    assert all(text[i] == f"行{i}\ntwo words\nLes.\n中文" for i in range(1, 6))
