@@ -13,17 +13,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import cut, small
+from odflow.llm.common import cut, slices, small
 
 #: Lengths of the beginnings of words that are scored besides whole words.
 STEMS = range(3, 9)
@@ -34,11 +34,15 @@ MIN_Z, MIN_TOXIC = 3.0, 3
 MIN_ODDS = 1.0
 #: Standard deviations by which log-odds are lowered, and the cost of any other word.
 CAUTION, COST = 1.0, 0.25
-#: Size bounds of the model: scored words and stems, and rows that fit the regression.
-MAX_UNITS, MAX_FIT_ROWS = 50_000, 20_000
+#: Scored words and stems that are broadcast; more stay a table, which words are joined with.
+MAX_UNITS = 50_000
+#: Rows that fit the regression.
+MAX_FIT_ROWS = 20_000
 SIGNIFICANT = 0.1
 THRESHOLD = 0.7
 REMEMBERED = 300_000
+#: Bytes of text whose words are held at a time.
+SLICE = 2_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 PASSAGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
@@ -47,7 +51,8 @@ SCORED = pa.struct([("score", pa.float64()), ("passages", pa.list_(PASSAGE))])
 
 @dataclass
 class Model:
-    units: dict[str, float]
+    #: Scores of words and beginnings; a table (unit, s) if they are too many to broadcast.
+    units: dict[str, float] | DataFrame
     k: float
     weights: list[float]
 
@@ -67,6 +72,45 @@ class _Words(dict):
         return value
 
 
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch.column(1), SLICE, batch.column(0)):
+            texts, rows = part
+            own = [set(WORD.findall((t or "").lower())) for t in texts.to_pylist()]
+            yield pa.record_batch(
+                [
+                    pa.array([r for r, words in zip(rows.to_pylist(), own) for _ in words], pa.int64()),
+                    pa.array([w for words in own for w in words], pa.string()),
+                ],
+                ["row", "word"],
+            )
+
+
+def _stems(word: str) -> Column:
+    """The word itself and its beginnings, as units."""
+    stems = [F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in STEMS]
+    return F.array_compact(F.array(word, *stems))
+
+
+def _with_scores(rows: DataFrame, text: str, units: DataFrame) -> DataFrame:
+    """Add the map ``_scores`` of every row's scored words, by joins that shuffle."""
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    words = cut(rows.select("_row", F.col(text)).mapInArrow(_words_of, "row bigint, word string"))
+    scored = (
+        words.select("word").distinct()
+        .select("word", F.explode(_stems("word")).alias("unit"))
+        .join(units, "unit")
+        .groupBy("word")
+        .agg(F.max("s").alias("s"))
+    )
+    maps = (
+        words.join(scored, "word")
+        .groupBy(F.col("row").alias("_row"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("_scores"))
+    )
+    return rows.join(maps, "_row", "left").drop("_row")
+
+
 def segments(hits: list[tuple[int, float]], cost: float = COST) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in one pass over the scored words.
 
@@ -97,7 +141,7 @@ def _evidence(expected: float) -> float:
     return -math.log(-math.expm1(-expected)) if expected > 1e-12 else -math.log(max(expected, 1e-300))
 
 
-def _scan(words: _Words, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+def _scan(words: dict[str, float], text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
     own = WORD.findall((text or "").lower())
     return len(own), segments([(i, s) for i, s in enumerate(map(words.__getitem__, own)) if s > 0])
 
@@ -125,17 +169,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _units(labelled: DataFrame) -> dict[str, float]:
+def _units(labelled: DataFrame) -> dict[str, float] | DataFrame:
     words = labelled.mapInArrow(_counts, "word string, toxic bigint, clean bigint")
     words = cut(words.groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0")))
     n1, n0 = words.agg(F.sum("y1"), F.sum("y0")).first()
     if not n1 or not n0:
         return {}
-    stems = [
-        F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS
-    ]
     units = (
-        words.select(F.explode(F.array_compact(F.array("word", *stems))).alias("unit"), "y1", "y0")
+        words.select(F.explode(_stems("word")).alias("unit"), "y1", "y0")
         .groupBy("unit")
         .agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
         .filter(F.col("y1") >= MIN_TOXIC)
@@ -146,8 +187,10 @@ def _units(labelled: DataFrame) -> dict[str, float]:
     spread = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     delta = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
     scored = units.select("unit", (delta - CAUTION * spread).alias("s"), (delta / spread).alias("z"))
-    rows = scored.filter((F.col("z") >= MIN_Z) & (F.col("s") >= MIN_ODDS)).orderBy(F.desc("z"), "unit").limit(MAX_UNITS)
-    return {r["unit"]: r["s"] for r in rows.collect()}
+    scored = cut(scored.filter((F.col("z") >= MIN_Z) & (F.col("s") >= MIN_ODDS)).select("unit", "s"))
+    if scored.count() > MAX_UNITS:
+        return scored
+    return {r["unit"]: r["s"] for r in scored.collect()}
 
 
 def _regression(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -178,10 +221,19 @@ def fit(documents: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
     rows = rows.join(small(cut(single)), "id", "left_semi")
     units = _units(rows.select("text", "y"))
 
+    hashed = rows.select(F.xxhash64("id").alias("h"), "y", "text")
+    joined = isinstance(units, DataFrame)
+    if joined:
+        hashed = _with_scores(hashed, "text", units)
+    known_words = None if joined else units
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words(units)
+        words = None if joined else _Words(known_words)
         for batch in batches:
-            found = [_scan(words, t) for t in batch["text"]]
+            if joined:
+                found = [_scan(defaultdict(float, m or ()), t) for t, m in zip(batch["text"], batch["_scores"])]
+            else:
+                found = [_scan(words, t) for t in batch["text"]]
             yield pd.DataFrame(
                 {
                     "h": batch["h"],
@@ -191,7 +243,6 @@ def fit(documents: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
                 }
             )
 
-    hashed = rows.select(F.xxhash64("id").alias("h"), "y", "text")
     scanned = hashed.mapInPandas(scan, "h bigint, y int, n bigint, parts array<double>")
     sample = scanned.orderBy("h").limit(MAX_FIT_ROWS).toPandas()
     y = sample["y"].to_numpy(float) if len(sample) else np.zeros(0)
@@ -211,24 +262,31 @@ def toxicity(documents: DataFrame, model: Model, *, text: str = "text", result:
     and expected number by chance. Null and empty texts have none and get the score of
     a text without evidence. A column called like ``result`` is replaced.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    joined = isinstance(model.units, DataFrame)
+    if joined:
+        documents = _with_scores(documents, text, model.units)
+    weights, k = model.weights, model.k
+    shared = documents.sparkSession.sparkContext.broadcast({} if joined else model.units)
+
+    def row(n: int, found: list[tuple[int, int, float]]) -> dict:
+        logit = sum(a * b for a, b in zip(weights, _signals(n, found, k)))
+        passages = [{"start": a, "end": b, "score": s, "expected": k * n * math.exp(-s)} for a, b, s in found]
+        strong = [p for p in passages if p["expected"] <= SIGNIFICANT]
+        return {"score": 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), "passages": strong}
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = shared.value
-        words = _Words(own.units)
+        words = _Words(shared.value)
         for batch in batches:
-            rows = []
-            for n, found in (_scan(words, t) for t in batch.to_pylist()):
-                logit = sum(a * b for a, b in zip(own.weights, _signals(n, found, own.k)))
-                passages = [
-                    {"start": a, "end": b, "score": s, "expected": own.k * n * math.exp(-s)}
-                    for a, b, s in found
-                ]
-                strong = [p for p in passages if p["expected"] <= SIGNIFICANT]
-                rows.append({"score": 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), "passages": strong})
-            yield pa.array(rows, SCORED)
+            yield pa.array([row(*_scan(words, t)) for t in batch.to_pylist()], SCORED)
+
+    def score_joined(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, maps in batches:
+            own = (defaultdict(float, m or ()) for m in maps.to_pylist())
+            yield pa.array([row(*_scan(w, t)) for w, t in zip(own, texts.to_pylist())], SCORED)
 
     kind = "struct<score: double, passages: array<struct<start: int, end: int, score: double, expected: double>>>"
+    if joined:
+        return documents.withColumn(result, F.arrow_udf(score_joined, kind)(text, "_scores")).drop("_scores")
     return documents.withColumn(result, F.arrow_udf(score, kind)(text))
 
 

@@ -392,3 +392,20 @@ def test_shared_lines_without_spaces(spark):
     text = {r.doc_id: r.without_shared_lines.text for r in lines.remove_shared_lines(df).collect()}
     assert text[0] == rows[0][1]
     assert all(text[i] == f"行{i}\ntwo words\nLes.\n中文" for i in range(1, 6))
+
+
+def test_toxicity_of_a_vocabulary_beyond_the_broadcast(spark, monkeypatch):
+    texts, labels, _ = labelled(spark)
+    model = toxicity.fit(texts, labels.filter("doc_id % 2 = 0"))
+    rows = texts.unionByName(spark.createDataFrame([(900, None), (901, "")], texts.schema))
+    want = by_id(toxicity.toxicity(rows, model), "toxicity")
+    monkeypatch.setattr(toxicity, "MAX_UNITS", 2)
+    joined = toxicity.fit(texts, labels.filter("doc_id % 2 = 0"))
+    assert len(model.units) > 2 and not isinstance(joined.units, dict)
+    found = toxicity.toxicity(rows, joined)
+    assert found.columns == [*rows.columns, "toxicity"]
+    got = by_id(found, "toxicity")
+    assert set(got) == set(want)
+    for i, (r,) in got.items():
+        assert r.score == pytest.approx(want[i][0].score, abs=1e-9)
+        assert [(p.start, p.end) for p in r.passages] == [(p.start, p.end) for p in want[i][0].passages]
