@@ -30,8 +30,6 @@ STEMS = range(3, 9)
 PRIOR_WORDS = 1000.0
 LEAST_PRIOR = 0.5
 MIN_Z, MIN_TOXIC = 3.0, 3
-#: Least log-odds of a scored word: common words differ significantly, but by little.
-MIN_ODDS = 1.0
 #: Standard deviations by which log-odds are lowered, and the cost of any other word.
 CAUTION, COST = 1.0, 0.25
 #: Scored words and stems that are broadcast; more stay a table, which words are joined with.
@@ -116,24 +114,27 @@ def segments(hits: list[tuple[int, float]], cost: float = COST) -> list[tuple[in
 
     ``hits`` are places and positive scores; every word between them costs ``cost``. A
     list of candidates is kept with the totals before and behind each; a new one
-    swallows earlier candidates when their union scores more than either.
+    swallows earlier candidates when their union scores more than either. Each knows the
+    last candidate before it with a smaller total before, so that none is passed twice.
     """
-    out: list[tuple[int, int, float, float]] = []  # start, end, total before, total behind
+    # start, end, total before, total behind, last candidate with a smaller total before
+    out: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, 0
     for place, score in hits:
         total -= cost * (place - last)
         last = place + 1
         start, before, total = place, total, total + score
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= before:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= total:
                 break
-            start, before = out[j][0], out[j][2]
+            start, _, before, _, k = out[j]
             del out[j:]
-        out.append((start, place + 1, before, total))
-    return [(a, b, behind - before) for a, b, before, behind in out]
+            j = k
+        out.append((start, place + 1, before, total, j))
+    return [(a, b, behind - before) for a, b, before, behind, _ in out]
 
 
 def _evidence(expected: float) -> float:
@@ -187,7 +188,7 @@ def _units(labelled: DataFrame) -> dict[str, float] | DataFrame:
     spread = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     delta = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
     scored = units.select("unit", (delta - CAUTION * spread).alias("s"), (delta / spread).alias("z"))
-    scored = cut(scored.filter((F.col("z") >= MIN_Z) & (F.col("s") >= MIN_ODDS)).select("unit", "s"))
+    scored = cut(scored.filter((F.col("z") >= MIN_Z) & (F.col("s") > 0)).select("unit", "s"))
     if scored.count() > MAX_UNITS:
         return scored
     return {r["unit"]: r["s"] for r in scored.collect()}

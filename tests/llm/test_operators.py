@@ -1,6 +1,7 @@
 """Operators against plain loops, with nulls, empty and long texts, repeated rows, no rows."""
 
 import random
+import time
 
 import brute
 import numpy as np
@@ -409,3 +410,17 @@ def test_toxicity_of_a_vocabulary_beyond_the_broadcast(spark, monkeypatch):
     for i, (r,) in got.items():
         assert r.score == pytest.approx(want[i][0].score, abs=1e-9)
         assert [(p.start, p.end) for p in r.passages] == [(p.start, p.end) for p in want[i][0].passages]
+
+
+def test_segments_pass_no_candidate_twice():
+    # with falling totals every candidate used to be passed by each later one
+    began = time.perf_counter()
+    assert len(toxicity.segments([(20 * i, 1.0) for i in range(40_000)])) == 40_000
+    assert time.perf_counter() - began < 5
+
+
+def test_mild_words_count(spark):
+    rng = random.Random(12)
+    rows = [(i, int(i % 2), "".join(rng.choices("abcdefgh", k=9)) + (" mild" if rng.random() < (0.6 if i % 2 else 0.3) else "")) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    assert 0 < toxicity._units(df.select("text", F.col("toxic").alias("y")))["mild"] < 1
