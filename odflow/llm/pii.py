@@ -1,6 +1,7 @@
 """Personal data: fixed rules, and identifiers learned from their contexts.
 
-Spans of the rules are seeds. Every token with a digit is an instance; the words before
+Spans of the rules are seeds. Every token with a digit or an at sign, and so every token
+of a seed, is an instance; other tokens are not. The words before
 and behind it, alone and with its shape, are patterns. In the graph of patterns and
 instances a pattern's confidence for a kind is the mean score of its distinct instances,
 an instance's score the chance that one of its patterns is right; seeds stay at 1. After
@@ -31,22 +32,31 @@ RULES = {
 }
 #: What a text must hold for a rule to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TOKEN = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
+#: Only emails need no digit.
+TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 SPACE = r"[\s]+"
 
 SPAN = "struct<start: int, ord: int, kind: string, end: int>"
 
 
-def _places(text: Column, rule: str) -> Column:
+def _places(text: Column, rule: str, around: bool = False) -> Column:
     """Matches with their place in code points, and the text before and behind each.
 
     The text is split at the matches; the lengths of gaps and matches add up to places.
+    With ``around`` the texts before and behind reach over two matches and one.
     """
     gaps, found = F.split(text, rule, -1), F.regexp_extract_all(text, F.lit(rule), F.lit(0))
     n = F.size(found)
-    parts = F.arrays_zip(
-        F.slice(gaps, 1, n).alias("gap"), found.alias("match"), F.slice(gaps, 2, n).alias("behind")
-    )
+    columns = [F.slice(gaps, 1, n).alias("gap"), found.alias("match"), F.slice(gaps, 2, n).alias("behind")]
+    if around:
+        none = F.lit("")
+        columns += [
+            F.slice(F.concat(F.array(none, none), found), 1, n).alias("second"),
+            F.slice(F.concat(F.array(none), gaps), 1, n).alias("between"),
+            F.slice(F.concat(F.array(none), found), 1, n).alias("first"),
+            F.slice(F.concat(found, F.array(none)), 2, n).alias("next"),
+        ]
+    parts = F.arrays_zip(*columns)
     empty = F.expr(
         "cast(array() as array<struct<start: int, end: int, match: string, gap: string, behind: string>>)"
     )
@@ -58,8 +68,10 @@ def _places(text: Column, rule: str) -> Column:
             start.alias("start"),
             end.alias("end"),
             part["match"].alias("match"),
-            part["gap"].alias("gap"),
-            part["behind"].alias("behind"),
+            (
+                F.concat(part["second"], part["between"], part["first"], part["gap"]) if around else part["gap"]
+            ).alias("gap"),
+            (F.concat(part["behind"], part["next"]) if around else part["behind"]).alias("behind"),
         )
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
 
@@ -123,7 +135,7 @@ def as_text(spans: Column) -> Column:
 
 
 def _instances(found: DataFrame) -> DataFrame:
-    """One row for each token with a digit: its place, the kind of a seed over it, its patterns."""
+    """One row for each token with a digit or an at sign: its place, the kind of a seed over it, its patterns."""
     rows = found.filter("size(tokens) > 0").select("row", "base", F.explode("tokens").alias("t"))
     over = F.filter("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
     word = lambda text, rule: F.lower(F.regexp_extract(text, rule, 1))
@@ -205,7 +217,7 @@ def personal_data(
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     tokens = F.transform(
-        _places(F.col("text"), TOKEN),
+        _places(F.col("text"), TOKEN, around=True),
         lambda m: F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
@@ -222,7 +234,7 @@ def personal_data(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             base_spans(F.col("text")).alias("base"),
-            F.when(F.col("text").rlike("[0-9]"), tokens).otherwise(none).alias("tokens"),
+            F.when(F.col("text").rlike("[0-9@]"), tokens).otherwise(none).alias("tokens"),
         )
     )
     instances = cut(_instances(found))

@@ -424,3 +424,16 @@ def test_mild_words_count(spark):
     rows = [(i, int(i % 2), "".join(rng.choices("abcdefgh", k=9)) + (" mild" if rng.random() < (0.6 if i % 2 else 0.3) else "")) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
     assert 0 < toxicity._units(df.select("text", F.col("toxic").alias("y")))["mild"] < 1
+
+
+def test_contexts_of_seeds_without_digits_and_behind_digits(spark):
+    names = [a + b for a in "bcdfghk" for b in "aeiou"]
+    emails = [(i, f"{n}m reach via: {n}x@example.com {n}z") for i, n in enumerate(names)]
+    valid = [n for n in (f"41111111111{i:05d}" for i in range(4000)) if brute._luhn(n)]
+    cards = [(100 + i, f"{n}q acct5: {c} {n}v") for i, (n, c) in enumerate(zip(names, valid))]
+    unseen = [(300, "reach via: bob(at)9example now"), (301, "reach via: bob@home now"), (302, "by acct5: 12-34-ab so")]
+    df = spark.createDataFrame(emails + cards + unseen, "doc_id long, text string")
+    got = spans_of(pii.personal_data(df))
+    assert got[300] == ("", "email:11:26")
+    assert got[301] == ("", "email:11:19")
+    assert got[302] == ("", "card:10:18")
