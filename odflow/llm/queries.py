@@ -17,6 +17,7 @@ from odflow.llm import (
     pii,
     quality,
     repeated_passages,
+    shards,
     token_counts,
     toxicity,
 )
@@ -129,6 +130,12 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.shard_documents(table(spark, sf_dir, "documents"), 8)
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", grown)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_documents(
         table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
@@ -146,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
+    "op12_sharding": op12_sharding,
     "op13_alignment": op13_alignment,
 }
