@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from odflow.llm import (
     alignment,
+    conversations,
     decontaminate,
     lines,
     near_duplicates,
@@ -130,6 +131,11 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_plans(turns, present=F.col("present"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.shard_documents(table(spark, sf_dir, "documents"), 8)
     grown = F.lit(None).cast("int").alias("grown_shard")
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_sharding": op12_sharding,
     "op13_alignment": op13_alignment,
 }
