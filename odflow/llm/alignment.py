@@ -6,10 +6,11 @@ of a token is the sum of the rows of Bᵀ that its bytes select) hold, for every
 tokens that overlap, the bytes they share. Byte offsets at which tokens of both end cut a
 text into groups; products of the two group-token matrices link the tokens of a group.
 
-Both tokenizers work on a space and the text. It is cut before spaces behind a character
-that nothing takes for white space: no pre-token of A and no piece of B reaches over such a
-place (checked for B's vocabulary), so tokens, groups and links of a text are those of its
-parts, and each distinct part is aligned once, in block-diagonal products of many parts.
+Both tokenizers work on a space and the text. It is cut before spaces and line feeds behind
+a character that nothing takes for white space: no pre-token of A and no piece of B reaches
+over such a place (checked for B's vocabulary), so tokens, groups and links of a text are
+those of its parts, and each distinct part is aligned once, in block-diagonal products of
+many parts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -29,15 +29,20 @@ from pyspark.sql import functions as F
 from odflow.llm.common import memo, slices, stored
 
 #: Distinct parts of texts whose alignment a Python worker remembers; emptied when full.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Bytes of text that one slice, one call of a tokenizer and one product take.
 SLICE, CALL, PRODUCT = 2_000_000, 50_000, 1_000_000
 #: Id pairs that may be broadcast, 17 bytes each.
 BROADCAST_PAIRS = 1_000_000
 
-#: Characters that some tokenizer may take for white space, and the one that stands for it in pieces.
-BLANK = r"\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁯▁　﻿"
-PARTS = re.compile(rf" (?:[^ ]+|(?<=[{BLANK}]) )*")
+#: Characters that some tokenizer may take for white space, and the one that stands for it in
+#: pieces: first and last of each range.
+BLANK_RANGES = (
+    (0x0, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F),
+    (0x205F, 0x206F), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF),
+)
+BLANK = "".join(f"\\U{first:08x}-\\U{last:08x}" for first, last in BLANK_RANGES)
+PARTS = re.compile(rf"[ \n](?:[^ \n]+|(?<=[{BLANK}])[ \n])*")
 HOLDS_BLANK = re.compile(rf"[{BLANK}]")
 
 
@@ -124,6 +129,19 @@ class Tokens(NamedTuple):
     lengths: np.ndarray
 
 
+_NONE = Tokens(np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+class Encoded(NamedTuple):
+    """Parts with their tokens one after another, and how many tokens each part has."""
+
+    parts: list[str]
+    a: Tokens
+    b: Tokens
+    n_a: np.ndarray
+    n_b: np.ndarray
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of every token."""
 
@@ -148,11 +166,12 @@ class Tokenizers:
         ]
         self.a_lengths, self.b_lengths = (np.array([*map(len, x)]) for x in (self.a_bytes, self.b_bytes))
         # parts are independent if no piece reaches over their border and nothing is normalised
-        probe = " a  b c\td\n e"
-        self.apart = not any("▁" in p.lstrip("▁") for p in pieces) and self._b(probe) is not None
+        inner = [p.lstrip("▁") for p in pieces]
+        plain = not any("▁" in p or "\n" in p for p in inner)
+        self.apart = plain and self._b(" a  b c\td\n e") is not None
 
     def _a(self, text: str) -> Tokens | None:
-        ids = self.a.encode(text, add_special_tokens=False).ids
+        ids = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
         return self._checked(ids, self.a_bytes, self.a_lengths, text)
 
     def _b(self, text: str) -> Tokens | None:
@@ -169,44 +188,45 @@ class Tokenizers:
         """A space and the text, cut into independent parts."""
         return PARTS.findall(" " + text) if self.apart else [" " + text]
 
-    def encoded(self, parts: list[str]) -> list[tuple[Tokens, Tokens] | None]:
-        """Tokens of each part; None where those of A or B do not give its bytes.
+    def encoded(self, parts: list[str]) -> Iterator[Encoded]:
+        """Tokens of the parts, in blocks; parts whose bytes A's or B's tokens do not give are left out.
 
         Parts without inner or trailing white space are encoded many at a time.
         """
-        out: list[tuple[Tokens, Tokens] | None] = [None] * len(parts)
         group, held = [], 0
-        for i, part in enumerate(parts):
+        for part in parts:
             if not self.apart or len(part) < 2 or HOLDS_BLANK.search(part, 1):
-                self._one(parts, i, out)
+                yield from self._block([part])
                 continue
-            group.append(i)
+            group.append(part)
             held += len(part)
             if held > CALL:
-                self._many(parts, group, out)
+                yield from self._block(group)
                 group, held = [], 0
-        self._many(parts, group, out)
-        return out
-
-    def _one(self, parts: list[str], i: int, out: list) -> None:
-        a, b = self._a(parts[i]), self._b(parts[i])
-        out[i] = None if a is None or b is None else (a, b)
-
-    def _many(self, parts: list[str], group: list[int], out: list) -> None:
-        text = "".join(parts[i] for i in group)
-        a, b = (self._a(text), self._b(text)) if group else (None, None)
-        if a is None or b is None:
-            for i in group:
-                self._one(parts, i, out)
-            return
-        ends = np.cumsum([len(parts[i].encode()) for i in group])
-        cuts = [np.searchsorted(np.cumsum(x.lengths), ends, "right").tolist() for x in (a, b)]
-        before = [0, 0]
-        for i, *to in zip(group, *cuts):
-            out[i] = tuple(
-                Tokens(x.ids[first:last], x.lengths[first:last]) for x, first, last in zip((a, b), before, to)
-            )
-            before = to
+        if group:
+            yield from self._block(group)
+
+    def whole(self, text: str) -> tuple[Tokens, Tokens]:
+        """Tokens of a space and the text by A and B; none if the text has none."""
+        a, b = (self._a(" " + text), self._b(" " + text)) if text else (None, None)
+        return (_NONE, _NONE) if a is None or b is None else (a, b)
+
+    def _block(self, group: list[str]) -> Iterator[Encoded]:
+        # a word in front, whose tokens are dropped, as a part may begin with a line feed
+        first = " ." if self.apart else ""
+        text = first + "".join(group)
+        a = self._a(text)
+        b = self._b(text) if a is not None else None
+        if b is not None:
+            ends = len(first) + np.cumsum([len(p.encode()) for p in group])
+            sides = []
+            for side in (a, b):
+                cuts = np.searchsorted(np.cumsum(side.lengths), np.concatenate(([len(first)], ends)), "right")
+                sides.append((Tokens(*(x[cuts[0] :] for x in side)), np.diff(cuts)))
+            yield Encoded(group, sides[0][0], sides[1][0], sides[0][1], sides[1][1])
+        elif len(group) > 1:
+            for part in group:
+                yield from self._block([part])
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -216,13 +236,19 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Aligned(NamedTuple):
-    """What is kept of one part: sizes, its groups as text, and where its id pairs lie."""
+class _Growing:
+    """An array that grows at its end."""
 
-    sizes: tuple[int, int, int, int, int]
-    text: str
-    first: int
-    pairs: int
+    def __init__(self, *shape: int) -> None:
+        self.held, self.used = np.empty((1024, *shape), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        need = self.used + len(rows)
+        if need > len(self.held):
+            more = np.empty((max(need, 2 * len(self.held)) - self.used, *self.held.shape[1:]), np.int64)
+            self.held = np.concatenate((self.held[: self.used], more))
+        self.held[self.used : need] = rows
+        self.used = need
 
 
 class Alignments:
@@ -231,26 +257,30 @@ class Alignments:
     def __init__(self, a_path: str, b_path: str, limit: int = REMEMBERED) -> None:
         self.tokenizers, self.limit = Tokenizers(a_path, b_path), limit
         self.base = len(self.tokenizers.b_bytes)
-        self.a_texts, self.b_texts = ([*map(str, range(len(x)))] for x in (self.tokenizers.a_bytes, self.tokenizers.b_bytes))
-        self.known: dict[str, Aligned | None] = {}
-        self.keys, self.counts, self.used = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        # ids as text with what may follow one: a comma, a bar, a semicolon, nothing
+        self.n_ids = len(self.tokenizers.a_bytes) + self.base
+        ids = [*map(str, range(len(self.tokenizers.a_bytes))), *map(str, range(self.base))]
+        self.id_texts = [i + mark for mark in (",", "|", ";", "") for i in ids]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}  # the number of an aligned part, -1 for one without tokens
+        self.texts: list[str] = []
+        self.sizes, self.runs = _Growing(len(SIZES)), _Growing(2)
+        self.pairs = _Growing(2)
 
     def learn(self, needed: Iterable[str]) -> None:
         fresh = [p for p in needed if p not in self.known]
         if len(self.known) + len(fresh) > self.limit:
-            self.known.clear()
-            self.used = 0
+            self._empty()
             fresh = list(needed)
-        encoded = self.tokenizers.encoded(fresh)
-        self.known.update((p, None) for p, x in zip(fresh, encoded) if x is None)
-        self._align([(p, *x) for p, x in zip(fresh, encoded) if x is not None])
+        self.known.update(dict.fromkeys(fresh, -1))
+        for block in self.tokenizers.encoded(fresh):
+            self._align(block)
 
-    def _align(self, parts: list[tuple[str, Tokens, Tokens]]) -> None:
+    def _align(self, block: Encoded) -> None:
         """One block-diagonal product for all parts: a part's last byte ends a group."""
-        if not parts:
-            return
-        n_a, n_b = (np.array([len(x[k].ids) for x in parts]) for k in (1, 2))
-        a, b = (Tokens(*map(np.concatenate, zip(*(x[k] for x in parts)))) for k in (1, 2))
+        parts, a, b, n_a, n_b = block
         a_at, b_at, _ = overlap_links(a.lengths, b.lengths)
         of_a = np.repeat(np.arange(len(parts)), n_a)
         a_groups, b_groups = groups_of(a.lengths, b.lengths)
@@ -259,51 +289,41 @@ class Alignments:
         n_links, n_groups = (np.bincount(x, minlength=len(parts)) for x in (of_a[a_at], of_group))
         n_shared = np.bincount(of_group, in_a * in_b, len(parts)).astype(np.int64)
         # id pairs of every part with their numbers of links
-        order = np.lexsort((key := a.ids[a_at] * self.base + b.ids[b_at], part := of_a[a_at]))
+        key, part = a.ids[a_at] * self.base + b.ids[b_at], of_a[a_at]
+        order = np.lexsort((key, part))
         key, part = key[order], part[order]
-        new = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(part) != 0)))
-        first = np.flatnonzero(new)
-        pairs = np.bincount(part[first], minlength=len(parts))
-        self._keep(key[first], np.diff(np.append(first, len(key))))
-        starts = (self.used - len(first) + np.cumsum(pairs) - pairs).tolist()
-        a_ids, b_ids = [self.a_texts[i] for i in a.ids.tolist()], [self.b_texts[i] for i in b.ids.tolist()]
-        a_to, b_to = a_groups.indptr.tolist(), b_groups.indptr.tolist()
-        texts = [
-            f"{','.join(a_ids[a_to[g]:a_to[g + 1]])}|{','.join(b_ids[b_to[g]:b_to[g + 1]])}"
-            for g in range(len(in_a))
-        ]
-        g = 0
-        sizes = zip(*(x.tolist() for x in (n_a, n_b, n_groups, n_links, n_shared)))
-        for (name, *_), own, start, held in zip(parts, sizes, starts, pairs.tolist()):
-            self.known[name] = Aligned(own, ";".join(texts[g : g + own[2]]), start, held)
-            g += own[2]
-
-    def _keep(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        need = self.used + len(keys)
-        if need > len(self.keys):
-            self.keys, self.counts = (
-                np.concatenate((x[: self.used], np.empty(need, np.int64))) for x in (self.keys, self.counts)
-            )
-        self.keys[self.used : need], self.counts[self.used : need] = keys, counts
-        self.used = need
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0) | (np.diff(part) != 0))))
+        held = np.bincount(part[first], minlength=len(parts))
+        starts = self.pairs.used + np.cumsum(held) - held
+        self.pairs.add(np.stack((key[first], np.diff(np.append(first, len(key)))), 1))
+        self.sizes.add(np.stack((n_a, n_b, n_groups, n_links, n_shared), 1))
+        self.runs.add(np.stack((starts, held), 1))
+        self.known.update(zip(parts, range(len(self.texts), len(self.texts) + len(parts))))
+        # tokens in the order of groups, A before B, each with the mark that follows it
+        code = np.empty(len(a.ids) + len(b.ids), np.int64)
+        a_place = np.arange(len(a.ids)) + np.repeat(b_groups.indptr[:-1], in_a)
+        b_place = np.arange(len(b.ids)) + np.repeat(a_groups.indptr[1:], in_b)
+        code[a_place], code[b_place] = a.ids, b.ids + (self.n_ids - self.base)
+        code[a_place[a_groups.indptr[1:] - 1]] += self.n_ids
+        code[b_place[b_groups.indptr[1:] - 1]] += 2 * self.n_ids
+        ends = np.cumsum(n_a + n_b)
+        code[ends - 1] += self.n_ids
+        marked = [*map(self.id_texts.__getitem__, code.tolist())]
+        self.texts += ["".join(marked[x:y]) for x, y in zip([0, *ends.tolist()], ends.tolist())]
 
     def document(self, parts: list[str]) -> tuple | None:
         """Sizes, hash of the groups, and id pairs with their numbers of links, of one text."""
-        held = [self.known[p] for p in parts]
-        if not held or None in held:
+        held = [*map(self.known.__getitem__, parts)]
+        numbers = np.array(held, np.int64)
+        if not held or numbers.min() < 0:
             return None
-        sizes = [sum(x) for x in zip(*(h.sizes for h in held))]
-        # an aligned part is known by the place of its pairs
-        times = Counter(h.first for h in held)
-        length = {h.first: h.pairs for h in held}
-        starts = np.fromiter(times, np.int64, len(times))
-        lengths = np.fromiter(map(length.__getitem__, times), np.int64, len(times))
-        at = gathered(starts, lengths)
-        weights = self.counts[at] * np.repeat(np.fromiter(times.values(), np.int64, len(times)), lengths)
-        keys, where = np.unique(self.keys[at], return_inverse=True)
-        counts = np.bincount(where, weights, len(keys)).astype(np.int64)
-        digest = hashlib.sha256(";".join(h.text for h in held).encode()).hexdigest()
-        return sizes, digest, keys, counts
+        own, times = np.unique(numbers, return_counts=True)
+        starts, lengths = self.runs.held[own].T
+        key, links = self.pairs.held[gathered(starts, lengths)].T
+        keys, where = np.unique(key, return_inverse=True)
+        counts = np.bincount(where, links * np.repeat(times, lengths), len(keys)).astype(np.int64)
+        digest = hashlib.sha256(";".join(map(self.texts.__getitem__, held)).encode()).hexdigest()
+        return (self.sizes.held[own] * times[:, None]).sum(0), digest, keys, counts
 
 
 SIZES = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
@@ -328,7 +348,7 @@ def _digests(a_path: str, b_path: str, limit: int):
                 parts = [aligned.tokenizers.parts(t) if t else [] for t in texts.to_pylist()]
                 aligned.learn(dict.fromkeys(p for own in parts for p in own))
                 found = [aligned.document(own) or nothing for own in parts]
-                sizes = [pa.array([f[0][k] for f in found], pa.int64()) for k in range(len(SIZES))]
+                sizes = [pa.array(x) for x in np.array([f[0] for f in found], np.int64).reshape(-1, len(SIZES)).T]
                 yield pa.RecordBatch.from_arrays(
                     [ids, *sizes, pa.array([f[1] for f in found], pa.string()), *(_lists([f[k] for f in found]) for k in (2, 3))],
                     [batch.schema.names[0], *SIZES, "groups_sha256", "pairs", "pair_links"],
@@ -447,11 +467,7 @@ def _link_rows(a_path: str, b_path: str):
         for batch in batches:
             out = []
             for text in batch.to_pylist():
-                encoded = tokenizers.encoded(tokenizers.parts(text)) if text else [None]
-                if None in encoded:
-                    out.append({"a_ids": [], "b_ids": [], "overlaps": [], "groups": []})
-                    continue
-                a, b = (Tokens(*map(np.concatenate, zip(*side))) for side in zip(*encoded))
+                a, b = tokenizers.whole(text or "")
                 found = zip(*(x.tolist() for x in overlap_links(a.lengths, b.lengths)))
                 a_groups, b_groups = groups_of(a.lengths, b.lengths)
                 ends = zip(a_groups.indptr[1:].tolist(), b_groups.indptr[1:].tolist())
