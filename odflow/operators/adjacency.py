@@ -6,11 +6,11 @@ also carry a ``measure`` column, which then is part of every zone's key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from odflow.functions import encoding as E
-
+from odflow.operators.zones import join_ends
 
 
 def _focus(flows: DataFrame) -> list[str]:
@@ -26,12 +26,16 @@ def _zone_names(zones: DataFrame, end: str) -> DataFrame:
 
 
 def directed_flows(
-    od: DataFrame, zones: DataFrame, weight: str = "aggregated_result"
+    od: DataFrame,
+    zones: DataFrame,
+    weight: str = "aggregated_result",
+    dropped: Observation | None = None,
 ) -> DataFrame:
     """Every link twice: as ``out`` flow of its origin and ``in`` flow of its target.
 
     ``zones`` has one row per zone; links with an end it does not know are left
-    out. The input is read once for both directions.
+    out, and ``dropped`` counts them, see ``join_ends``. The input is read once for
+    both directions.
     """
     sides = [("out", "pu", "do"), ("in", "do", "pu")]
     kept = [c for c in ("measure",) if c in od.columns]
@@ -49,8 +53,7 @@ def directed_flows(
         )
     )
     return (
-        od.join(_zone_names(zones, "pu"), "pu_id")
-        .join(_zone_names(zones, "do"), "do_id")
+        join_ends(od, _zone_names(zones, "pu"), _zone_names(zones, "do"), dropped)
         .select(*kept, F.explode(both).alias("flow"), F.col(weight).alias("weight"))
         .select(*kept, "flow.*", "weight")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from odflow import schema as S
@@ -49,11 +49,13 @@ def size_legend(flow: DataFrame, maps: Sequence[str] = (S.TOTAL_MAP,)) -> DataFr
     return zones.on_maps(run_extremes(flow), maps).select("map_type", F.inline(entries))
 
 
-def place_links(flow: DataFrame, geometry: DataFrame) -> DataFrame:
+def place_links(
+    flow: DataFrame, geometry: DataFrame, dropped: Observation | None = None
+) -> DataFrame:
     """Flows with the extremes of the run and the centroids of both ends.
 
     Links with an unknown end are left out, after the extremes of the run were
-    taken over all links. Dropping missing ids up front, which the joins do anyway,
+    taken over all links; ``dropped`` counts them, see ``zones.join_ends``. Dropping missing ids up front, which the joins do anyway,
     keeps the flow the same plan in both, so that its aggregation runs once.
     """
 
@@ -64,8 +66,9 @@ def place_links(flow: DataFrame, geometry: DataFrame) -> DataFrame:
             F.col("center_y").alias(f"{end}_y"),
         )
 
-    flow = flow.filter(F.col("pu_id").isNotNull() & F.col("do_id").isNotNull())
-    return with_run_extremes(flow).join(centre("pu"), "pu_id").join(centre("do"), "do_id")
+    if dropped is None:
+        flow = flow.filter(F.col("pu_id").isNotNull() & F.col("do_id").isNotNull())
+    return zones.join_ends(with_run_extremes(flow), centre("pu"), centre("do"), dropped)
 
 
 def map_links(placed: DataFrame, projection: DataFrame, maps: Sequence[str]) -> DataFrame:
@@ -101,3 +104,16 @@ def frame_positions(links: DataFrame, frames: int = S.FRAMES_PER_DATE) -> DataFr
         for axis in "xy"
     }
     return moving.withColumns(axes).drop("pu_x", "pu_y", "do_x", "do_y")
+
+
+def frame_totals(frames: DataFrame, *keys: str) -> DataFrame:
+    """Exact sums over the points of every map and frame, and of further ``keys``.
+
+    Rows of frames are added up in the task that spreads them out; a row per task, map
+    and frame is shuffled.
+    """
+    return frames.groupBy("map_type", *keys, "frame").agg(
+        F.count("*").alias("n_points"),
+        *(F.sum(F.col(c).cast("long")).alias(f"sum_{c}") for c in ("x", "y", "weight")),
+        F.count_if("is_self").alias("n_self"),
+    )

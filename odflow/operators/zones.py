@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from odflow import schema as S
@@ -79,6 +79,23 @@ def zone_geometry(parts: DataFrame) -> DataFrame:
     )
 
 
+def vertex_geometry(vertices: DataFrame) -> DataFrame:
+    """The same from a vertex table (zone_idx, zone, borough, part, seq, x, y).
+
+    Vertices are added up where they lie and one row per task and zone is shuffled, so
+    a ring may have any number of vertices and is never put together.
+    """
+    vertex = F.col("x").isNotNull() & F.col("y").isNotNull()
+    axis = {a: F.when(vertex, F.col(a)) for a in "xy"}
+    n_vertices = F.count_if(vertex)
+    return vertices.groupBy("zone_idx", "zone", "borough").agg(
+        n_vertices.alias("n_vertices"),
+        *((F.sum(axis[a]) / F.nullif(n_vertices, F.lit(0))).alias(f"center_{a}") for a in "xy"),
+        *(F.min(axis[a]).alias(f"lower_{a}") for a in "xy"),
+        *(F.max(axis[a]).alias(f"upper_{a}") for a in "xy"),
+    )
+
+
 def on_maps(df: DataFrame, maps: Sequence[str]) -> DataFrame:
     """Repeat rows for every map asked for."""
     names = F.array(*map(F.lit, dict.fromkeys(maps)))
@@ -215,3 +232,54 @@ def project_parts(
         vertices.alias("coords"),
         outlined.alias("in_outline"),
     )
+
+
+def project_vertices(
+    vertices: DataFrame,
+    projection: DataFrame,
+    maps: Sequence[str],
+    *,
+    single_borough: bool = False,
+    filter_on: Condition | None = None,
+) -> DataFrame:
+    """Base map as rows per vertex: ``project_parts`` of a vertex table, without any shuffle."""
+    shapes = on_canvas(vertices, projection, maps)
+    if single_borough:
+        shapes = shapes.filter(_on_own_map())
+    outlined = matches(vertices, filter_on) if filter_on else F.lit(True)
+    return shapes.select(
+        "map_type",
+        "zone_idx",
+        "part",
+        "seq",
+        "zone",
+        "borough",
+        canvas.canvas_x(F.col("x")).alias("x"),
+        canvas.canvas_y(F.col("y")).alias("y"),
+        outlined.alias("in_outline"),
+    )
+
+
+def join_ends(
+    links: DataFrame, pu: DataFrame, do: DataFrame, dropped: Observation | None = None
+) -> DataFrame:
+    """Links with what ``pu`` and ``do`` know of their ends; links with an unknown end are left out.
+
+    ``dropped`` counts them as the run goes, without another pass over the links:
+    ``n_links`` seen, ``n_null`` with a missing id, ``n_unknown`` with an id that is not
+    known, ``n_kept``. It is filled once the result was written or collected.
+    """
+    if dropped is None:
+        return links.join(pu, "pu_id").join(do, "do_id")
+    marked = links.join(pu.withColumn("_pu_known", F.lit(True)), "pu_id", "left")
+    marked = marked.join(do.withColumn("_do_known", F.lit(True)), "do_id", "left")
+    known = F.col("_pu_known").isNotNull() & F.col("_do_known").isNotNull()
+    missing = F.col("pu_id").isNull() | F.col("do_id").isNull()
+    counted = marked.observe(
+        dropped,
+        F.count("*").alias("n_links"),
+        F.count_if(missing).alias("n_null"),
+        F.count_if(~missing & ~known).alias("n_unknown"),
+        F.count_if(known).alias("n_kept"),
+    )
+    return counted.filter(known).drop("_pu_known", "_do_known")

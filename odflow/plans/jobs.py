@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from odflow import schema as S
@@ -96,12 +96,13 @@ def animation_links(
     margins: Sequence[int] = S.NO_MARGINS,
     zoom_on: Condition | None = None,
     calendar: DataFrame | None = None,
+    dropped: Observation | None = None,
 ) -> DataFrame:
     """Links of a flow animation: one row per map, date or week, and link.
 
     The flow is aggregated once for all maps and dates. Point sizes are scaled to
     the largest flow of the whole run, on every map. ``trips`` may be the daily
-    rollup, as ``od_flow`` says.
+    rollup, as ``od_flow`` says. ``dropped`` counts the links with an unknown end.
     """
     if bucket not in ("day", "week"):
         raise ValueError(f"an animation runs per 'day' or 'week', got {bucket!r}")
@@ -120,7 +121,7 @@ def animation_links(
     geometry = zones.zone_geometry(parts)
     bounds = zones.map_bounds(geometry, maps, zoom_on)
     projection = zones.projections(bounds, image_size, margins)
-    placed = with_captions(points.place_links(flow, geometry), bucket, calendar)
+    placed = with_captions(points.place_links(flow, geometry, dropped), bucket, calendar)
     return points.map_links(placed, projection, maps)
 
 
@@ -133,6 +134,13 @@ def flow_animation(
     )
 
 
+def animation_totals(
+    trips: DataFrame, parts: DataFrame, start: Day, end: Day, **options: Any
+) -> DataFrame:
+    """Sums over all points of every map and frame of a whole run."""
+    return points.frame_totals(flow_animation(trips, parts, start, end, **options))
+
+
 def _map_names(maps: Sequence[str] | None) -> Column:
     if maps is None:
         return F.array(F.lit(S.TOTAL_MAP), F.col("borough"))

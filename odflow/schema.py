@@ -114,6 +114,26 @@ DAILY_SCHEMA = T.StructType(
     ]
 )
 
+# Partial aggregates of the trips of a link and day.
+STATE_SCHEMA = T.StructType(
+    [
+        T.StructField("pickup_date", T.DateType()),
+        T.StructField("pickup_weekday", T.IntegerType()),
+        T.StructField(PU, T.IntegerType()),
+        T.StructField(DO, T.IntegerType()),
+        T.StructField("n_rows", T.LongType()),
+        T.StructField("n_trips", T.LongType()),
+        T.StructField("total", T.LongType()),
+        T.StructField("least", T.IntegerType()),
+        T.StructField("most", T.IntegerType()),
+        T.StructField("values", T.BinaryType()),
+        T.StructField("quantiles", T.BinaryType()),
+    ]
+)
+
+# Outer partition column of stored loads.
+LOAD = "load_id"
+
 LOOKUP_SCHEMA = T.StructType(
     [
         T.StructField("LocationID", T.IntegerType()),

@@ -9,17 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odflow import schema as S
+from odflow.operators import rollup
 from odflow.operators.cleaning import with_trip_dates
 
+_BROKEN = "broken_line"
+
 
 def _trip_file_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in S.TRIP_FILE_SCHEMA])
+    """The values of every line as text, and the line itself where it has too few or too many."""
+    names = [*S.TRIP_FILE_SCHEMA.names, _BROKEN]
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in names])
     reader = spark.read.schema(texts).option("header", True).option("mode", "PERMISSIVE")
+    # with every value parsed, a broken line is known whatever columns a query needs
+    reader = reader.option("columnNameOfCorruptRecord", _BROKEN).option("columnPruning", False)
     return reader.option("ignoreLeadingWhiteSpace", True).option(
         "ignoreTrailingWhiteSpace", True
     ).csv(path)
 
 
+def _is_broken() -> Column:
+    """Whether a line has too few or too many values; Spark wants a value read besides."""
+    first = F.coalesce(F.length(S.TRIP_FILE_SCHEMA.names[0]), F.lit(0))
+    return F.col(_BROKEN).isNotNull() & (first >= 0)
+
+
+def _whole_lines(texts: DataFrame) -> DataFrame:
+    return texts.filter(~_is_broken())
+
+
 def _as_read(field: T.StructField) -> Column:
     """A value as a database reads it: ``1.0`` is an integer, seconds may have a fraction."""
     text = F.col(field.name)
@@ -36,9 +53,10 @@ def read_trip_files(
     Columns are taken by position. A blank or unreadable number becomes 0, as a
     lenient database load makes it, so that the clean-up rules see it;
     ``blank_as_zero=False`` keeps it null. An unreadable timestamp is null.
-    ``unreadable_values`` counts them.
+    ``unreadable_values`` counts them. A line with too few or too many values, as
+    one with a broken quote has, is no trip; ``rejected_lines`` has it.
     """
-    texts = _trip_file_texts(spark, path)
+    texts = _whole_lines(_trip_file_texts(spark, path))
     trips = texts.select(*(_as_read(f).alias(f.name) for f in S.TRIP_FILE_SCHEMA))
     if blank_as_zero:
         numbers = [f.name for f in S.TRIP_FILE_SCHEMA if isinstance(f.dataType, T.NumericType)]
@@ -48,7 +66,7 @@ def read_trip_files(
 
 def unreadable_values(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(column, n_values)``: values of trip files that are there but cannot be read."""
-    texts = _trip_file_texts(spark, path)
+    texts = _whole_lines(_trip_file_texts(spark, path))
     counts = texts.agg(
         *(
             F.count_if((F.length(f.name) > 0) & _as_read(f).isNull()).alias(f.name)
@@ -58,13 +76,58 @@ def unreadable_values(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return counts.unpivot([], S.TRIP_FILE_SCHEMA.names, "column", "n_values")
 
 
+def rejected_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, reason, n_values, line)`` of the lines of trip files that are no trips.
+
+    ``reason`` is ``quote`` for an odd number of quotes, else ``short`` or ``long``.
+    Lines kept by ``read_trip_files`` and rejected ones together are all lines but the
+    header and empty ones.
+    """
+    line = F.col(_BROKEN)
+    n_values = F.size(F.split(line, ",", -1))
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    reason = F.when(quotes % 2 == 1, "quote").when(n_values < len(S.TRIP_FILE_SCHEMA), "short")
+    return (
+        _trip_file_texts(spark, path)
+        .select("*", F.col("_metadata.file_name").alias("file"))
+        .filter(_is_broken())
+        .select("file", reason.otherwise("long").alias("reason"), n_values.alias("n_values"), line.alias("line"))
+    )
+
+
+def replaced_values(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, column, text, value, line)``: values of kept lines that could not be read as they stand.
+
+    ``text`` is what the file has, ``value`` what the trip gets: 0 for a number, null
+    for a timestamp. ``line`` holds the values of the line, joined by commas. Blank
+    values are not listed.
+    """
+    names = S.TRIP_FILE_SCHEMA.names
+    numbers = [f.name for f in S.TRIP_FILE_SCHEMA if isinstance(f.dataType, T.NumericType)]
+    unread = [
+        F.when(
+            (F.length(f.name) > 0) & _as_read(f).isNull(),
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.col(f.name).alias("text"),
+                F.lit("0" if f.name in numbers else None).cast("string").alias("value"),
+            ),
+        )
+        for f in S.TRIP_FILE_SCHEMA
+    ]
+    texts = _trip_file_texts(spark, path).select("*", F.col("_metadata.file_name").alias("file"))
+    line = F.concat_ws(",", *(F.coalesce(F.col(n), F.lit("")) for n in names))
+    found = _whole_lines(texts).select("file", line.alias("line"), F.explode(F.array_compact(F.array(*unread))).alias("v"))
+    return found.select("file", "v.*", "line")
+
+
 def _read_layout(
     spark: SparkSession, path: str, schema: T.StructType, layout: str
 ) -> DataFrame:
     column = S.LAYOUTS[layout]
     if column not in schema.names:
         schema = T.StructType([*schema.fields, T.StructField(column, T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def read_trips(spark: SparkSession, path: str, layout: str = "day") -> DataFrame:
@@ -77,6 +140,11 @@ def read_daily(spark: SparkSession, path: str, layout: str = "day") -> DataFrame
     return _read_layout(spark, path, S.DAILY_SCHEMA, layout)
 
 
+def read_states(spark: SparkSession, path: str, layout: str = "day") -> DataFrame:
+    """Mergeable rollup stored by ``write_states``, all loads added up; date filters prune it."""
+    return rollup.merged(_read_layout(spark, path, S.STATE_SCHEMA, layout))
+
+
 def read_lookup(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Zone lookup: LocationID, borough_name, zone."""
     reader = spark.read.schema(S.LOOKUP_SCHEMA)

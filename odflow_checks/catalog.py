@@ -14,7 +14,7 @@ from odflow import schema as S
 from odflow.functions import canvas
 from odflow.functions import encoding as E
 from odflow.functions.calendar import week_caption, weekday_name
-from odflow.operators import adjacency, cleaning, comparison, flows, points, zones
+from odflow.operators import adjacency, cleaning, comparison, flows, points, rollup, zones
 from odflow.plans import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,51 @@ def od_each_week_of_rollup(spark, sf_dir):
     return flows.od_flow(daily, START, END, bucket="week", agg=flows.TRIPS_OF_ROLLUP)
 
 
+# Flows over the mergeable rollup -------------------------------------------------
+
+
+def _state_flow(agg: str, period: tuple[str, str] = (START, END), **options) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        states = rollup.daily_state(_clean(spark, sf_dir), START, END)
+        return flows.od_flow(states, *period, agg=rollup.over_state(agg), **options)
+
+    return run
+
+
+# An aggregate of several parts, as text.
+MIXED = "sum(passenger_count) / count(*) + max(passenger_count) - min(passenger_count)"
+
+QUERIES.update(
+    {
+        "rollup_period_avg": _state_flow("avg"),
+        "rollup_day_avg": _state_flow("avg", (DAY, DAY)),
+        "rollup_each_week_mixed": _state_flow(MIXED, bucket="week"),
+        "rollup_period_distinct": _state_flow("approx_count_distinct(passenger_count)"),
+        "rollup_each_day_count": _state_flow("count", bucket="day"),
+    }
+)
+
+
+@query
+def rollup_of_two_loads(spark, sf_dir):
+    """Days that come in two loads, which are added up."""
+    clean = _clean(spark, sf_dir)
+    loads = (clean.filter(F.col("VendorID") % 2 == k) for k in (0, 1))
+    states = rollup.merged_states(*(rollup.daily_state(load, START, END) for load in loads))
+    return states.withColumnsRenamed({S.PU: "pu_id", S.DO: "do_id"}).select(
+        "pickup_date",
+        "pickup_weekday",
+        "pu_id",
+        "do_id",
+        "n_rows",
+        "n_trips",
+        "total",
+        "least",
+        "most",
+        F.hll_sketch_estimate("values").alias("n_values"),
+    )
+
+
 # Calendar --------------------------------------------------------------------
 
 
@@ -308,6 +353,41 @@ def legend_levels(spark, sf_dir):
     return _round(_flat_colour(adjacency.legends(extremes)), "level")
 
 
+# Links with unknown ends ----------------------------------------------------------
+
+
+UNKNOWN_ZONES = (3, 9, 17)
+
+
+@query
+def known_links(spark, sf_dir):
+    """Flows on a zone table that lacks three zones."""
+    diff = comparison.weekday_weekend_diff(_daily(spark, sf_dir), START, END, agg=flows.TRIPS_OF_ROLLUP)
+    known = _attributes(spark, sf_dir).filter(~F.col("zone_idx").isin(*UNKNOWN_ZONES))
+    return adjacency.directed_flows(diff, known, "diff")
+
+
+def _with_null_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips of three passengers lose their pickup zone, those of four their dropoff zone."""
+    return _clean(spark, sf_dir).withColumns(
+        {
+            zone: F.when(~F.coalesce(F.col("passenger_count") == n, F.lit(False)), F.col(zone))
+            for zone, n in ((S.PU, 3), (S.DO, 4))
+        }
+    )
+
+
+@query
+def null_zone_links(spark, sf_dir):
+    return flows.od_flow(_with_null_ids(spark, sf_dir), START, END)
+
+
+@query
+def null_zone_flows(spark, sf_dir):
+    flow = flows.od_flow(_with_null_ids(spark, sf_dir), START, END)
+    return adjacency.directed_flows(flow, _attributes(spark, sf_dir))
+
+
 # Zones and projection --------------------------------------------------------------
 
 
@@ -327,6 +407,25 @@ def zone_centroids(spark, sf_dir):
     )
 
 
+@query
+def vertex_zone_geometry(spark, sf_dir):
+    """Bounds and centroids straight from vertex rows."""
+    measured = [f"{side}_{axis}" for side in ("lower", "upper", "center") for axis in "xy"]
+    return _round(zones.vertex_geometry(inputs.zone_vertices(spark, sf_dir)), *measured)
+
+
+@query
+def vertex_base_map(spark, sf_dir):
+    """All vertices on the canvas, row by row."""
+    vertices = inputs.zone_vertices(spark, sf_dir)
+    maps = ("total", "ASIA")
+    projection = zones.projections(zones.map_bounds(zones.vertex_geometry(vertices), maps))
+    shapes = zones.project_vertices(
+        vertices, projection, maps, filter_on=(["ASIA", "EUROPE"], "borough")
+    )
+    return _round(shapes, "x", "y").drop("zone", "borough")
+
+
 @query
 def map_bounds(spark, sf_dir):
     bounds = zones.map_bounds(_geometry(spark, sf_dir), MAPS)
@@ -490,14 +589,30 @@ def _animation_preset(name: str) -> Query:
             calendar=_calendar(spark),
             **jobs.animation_presets(BOROUGHS)[name],
         )
-        return _round(
-            links.drop("colour", "min_weight", "max_weight"), "pu_x", "pu_y", "do_x", "do_y"
+        return _round(_flat_colour(links), "pu_x", "pu_y", "do_x", "do_y")
+
+    return run
+
+
+def _frames_preset(name: str) -> Query:
+    """Every frame of a whole run, on six maps, added up per map and frame."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return jobs.animation_totals(
+            _clean(spark, sf_dir),
+            inputs.zone_parts(spark, sf_dir),
+            START,
+            END,
+            calendar=_calendar(spark),
+            **jobs.animation_presets(BOROUGHS)[name],
         )
 
     return run
 
 
-QUERIES.update({f"preset_{n}": _animation_preset(n) for n in jobs.animation_presets(())})
+for _preset in jobs.animation_presets(()):
+    QUERIES[f"preset_{_preset}"] = _animation_preset(_preset)
+    QUERIES[f"preset_{_preset}_frames"] = _frames_preset(_preset)
 
 
 # Choropleth maps ------------------------------------------------------------------------
@@ -522,19 +637,25 @@ def _map_preset(name: str) -> Query:
 QUERIES.update({f"preset_{n}": _map_preset(n) for n in jobs.MAP_PRESETS})
 
 
-@query
-def choropleth_products(spark, sf_dir):
-    products = jobs.choropleth_products(
-        _daily(spark, sf_dir),
-        _attributes(spark, sf_dir),
-        START,
-        END,
-        agg="avg",
-        maps=("total", "ASIA"),
-        label="all",
-        focus_zones=(["ASIA", "EUROPE"], "borough"),
-    )
-    return _map_output(products)
+def _products(agg: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        products = jobs.choropleth_products(
+            _daily(spark, sf_dir),
+            _attributes(spark, sf_dir),
+            START,
+            END,
+            agg=agg,
+            maps=("total", "ASIA"),
+            label="all",
+            focus_zones=(["ASIA", "EUROPE"], "borough"),
+        )
+        return _map_output(products)
+
+    return run
+
+
+QUERIES["choropleth_products"] = _products("avg")
+QUERIES["choropleth_products_ratio"] = _products(RATIO)
 
 
 @query

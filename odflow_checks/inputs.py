@@ -88,6 +88,14 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def zone_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vertices of ``zone_parts`` as rows."""
+    rows = zone_parts(spark, sf_dir).select(
+        "zone_idx", "zone", "borough", "part", F.posexplode("coords").alias("seq", "p")
+    )
+    return rows.select("zone_idx", "zone", "borough", "part", "seq", "p.x", "p.y")
+
+
 def zone_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding vector as one polygon part of a zone.
 

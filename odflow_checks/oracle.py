@@ -281,6 +281,29 @@ SQL["od_ordered_borough"] = _with(
     "lookup",
 )
 
+# Flows over the mergeable rollup: straight from the trips
+_MIXED = (
+    "sum(passenger_count) / count(*) + max(passenger_count) - min(passenger_count)"
+)
+SQL["rollup_period_avg"] = SQL["od_period_avg"]
+SQL["rollup_day_avg"] = SQL["od_day_avg"]
+SQL["rollup_each_day_count"] = SQL["od_each_day"]
+SQL["rollup_each_week_mixed"] = _with(
+    _per_week("weeks").replace("count(passenger_count)", _MIXED), "clean", "weeks"
+)
+SQL["rollup_period_distinct"] = _with(
+    _grouped(_IN_SPAN, "count(DISTINCT passenger_count)"), "clean"
+)
+SQL["rollup_of_two_loads"] = _with(
+    f"""
+    SELECT pickup_date, pickup_weekday, pu_id, do_id, count(*) AS n_rows,
+           count(passenger_count) AS n_trips, cast(sum(passenger_count) AS bigint) AS total,
+           min(passenger_count) AS least, max(passenger_count) AS most,
+           count(DISTINCT passenger_count) AS n_values
+    FROM clean WHERE {_IN_SPAN} GROUP BY ALL""",
+    "clean",
+)
+
 # Calendar
 SQL["date_spine"] = _with(
     """
@@ -490,6 +513,23 @@ SQL["choropleth_colours"] = _with(
 SQL["legend_levels"] = _with(_legend("extremes"), "extremes")
 
 
+# Links with unknown ends
+SQL["known_links"] = _with(
+    f"""
+    SELECT * FROM ({_directed(_union_difference(_SUM_DAYS), 'diff')})
+    WHERE zone - 1 NOT IN (3, 9, 17) AND linked_zone - 1 NOT IN (3, 9, 17)""",
+    "daily",
+    "lookup",
+)
+_NULL_IDS = f"""
+    SELECT CASE WHEN passenger_count = 3 THEN NULL ELSE pu_id END AS pu_id,
+           CASE WHEN passenger_count = 4 THEN NULL ELSE do_id END AS do_id,
+           count(passenger_count) AS aggregated_result
+    FROM clean WHERE {_IN_SPAN} GROUP BY 1, 2"""
+SQL["null_zone_links"] = _with(_NULL_IDS, "clean")
+SQL["null_zone_flows"] = _with(_directed(_NULL_IDS, "aggregated_result"), "clean", "lookup")
+
+
 # Zones and projection
 def _r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
@@ -509,6 +549,14 @@ SQL["zone_centroids"] = _with(
     FROM polygons GROUP BY zone_idx""",
     "polygons",
 )
+SQL["vertex_zone_geometry"] = _with(
+    """
+    SELECT zone_idx, zone, borough, count(*) AS n_vertices,
+           round(min(x), 6) AS lower_x, round(min(y), 6) AS lower_y, round(max(x), 6) AS upper_x,
+           round(max(y), 6) AS upper_y, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y
+    FROM polygons GROUP BY zone_idx, zone, borough""",
+    "polygons",
+)
 SQL["map_bounds"] = _with(
     f"SELECT map_type, {_r6('min_x', 'min_y', 'max_x', 'max_y')} FROM bounds", "bounds"
 )
@@ -538,6 +586,7 @@ SQL["base_map_vertices"] = _with(
     FROM canvas WHERE map_type IN ('total', 'ASIA')""",
     "canvas",
 )
+SQL["vertex_base_map"] = SQL["base_map_vertices"]
 SQL["single_borough_map"] = _with(
     f"""
     SELECT map_type, zone_idx, part, seq, {_r6('x', 'y')}
@@ -617,7 +666,7 @@ def _links(flow: str, maps: str, keys: str) -> str:
     """Flow on maps with weight and both ends."""
     scale = "CASE WHEN map_type = 'total' THEN 20 ELSE 30 END"
     return f"""
-    SELECT o.map_type, {keys} pu_id, do_id, aggregated_result,
+    SELECT o.map_type, {keys} pu_id, do_id, aggregated_result, min_weight, max_weight,
            {_size('aggregated_result', scale).replace('map_type', 'o.map_type')} AS weight,
            o.center_x AS pu_x, o.center_y AS pu_y, t.center_x AS do_x, t.center_y AS do_y
     FROM ({flow}) CROSS JOIN {_RUN.format(f'({flow})')}
@@ -658,8 +707,8 @@ SQL["flow_animation"] = _with(
 
 def _preset(flow: str, caption: str) -> str:
     return f"""
-    SELECT map_type, bucket_date, pu_id, do_id, aggregated_result, weight,
-           pu_id = do_id AS is_self, {_r6('pu_x', 'pu_y', 'do_x', 'do_y')}, {caption}
+    SELECT map_type, bucket_date, pu_id, do_id, aggregated_result, weight, min_weight,
+           max_weight, pu_id = do_id AS is_self, {_link_colour()}, {_r6('pu_x', 'pu_y', 'do_x', 'do_y')}, {caption}
     FROM ({_links(flow, MAPS, 'bucket_date,')})"""
 
 
@@ -673,9 +722,22 @@ _DAY_CAPTION = (
     + " END AS special_date"
 )
 
+
+def _frame_totals(flow: str) -> str:
+    frames = _frames(_links(flow, MAPS, "bucket_date,"), ", pu_id = do_id AS is_self")
+    return f"""
+    SELECT map_type, frame, count(*) AS n_points, cast(sum(x) AS bigint) AS sum_x,
+           cast(sum(y) AS bigint) AS sum_y, cast(sum(weight) AS bigint) AS sum_weight,
+           count(*) FILTER (is_self) AS n_self
+    FROM ({frames}) GROUP BY map_type, frame"""
+
+
 SQL["preset_year_daily"] = _with(
     _preset(_grouped(_IN_SPAN, key=_BY_DAY), _DAY_CAPTION), "clean", "projected"
 )
+SQL["preset_year_daily_frames"] = _with(
+    _frame_totals(_grouped(_IN_SPAN, key=_BY_DAY)), "clean", "projected"
+)
 for _name, _days in (("weekdays", (0, 1, 2, 3, 4)), ("weekends", (5, 6))):
     SQL[f"preset_year_{_name}"] = _with(
         _preset(_per_week("weeks", f"pickup_weekday IN {_days}"), _WEEK_CAPTION),
@@ -683,6 +745,12 @@ for _name, _days in (("weekdays", (0, 1, 2, 3, 4)), ("weekends", (5, 6))):
         "weeks",
         "projected",
     )
+    SQL[f"preset_year_{_name}_frames"] = _with(
+        _frame_totals(_per_week("weeks", f"pickup_weekday IN {_days}")),
+        "clean",
+        "weeks",
+        "projected",
+    )
 
 
 # Choropleth maps
@@ -718,20 +786,25 @@ SQL["preset_diff_map"] = _with(
     "lookup",
 )
 
-_PRODUCTS = {
-    "period": (_period(_AVG_DAYS), "aggregated_result", "all"),
-    "diff": (_union_difference(_AVG_DAYS), "diff", "all_diff_WD_WE"),
-}
-SQL["choropleth_products"] = _with(
-    " UNION ALL BY NAME ".join(
+
+
+def _products(agg: str) -> str:
+    products = {
+        "period": (_period(agg), "aggregated_result", "all"),
+        "diff": (_union_difference(agg), "diff", "all_diff_WD_WE"),
+    }
+    return " UNION ALL BY NAME ".join(
         f"""
         SELECT *, '{name}' AS measure
         FROM ({_choropleth(od, value, "['total', 'ASIA']", suffix,
                            "borough IN ('ASIA', 'EUROPE')")})"""
-        for name, (od, value, suffix) in _PRODUCTS.items()
-    ),
-    "daily",
-    "lookup",
+        for name, (od, value, suffix) in products.items()
+    )
+
+
+SQL["choropleth_products"] = _with(_products(_AVG_DAYS), "daily", "lookup")
+SQL["choropleth_products_ratio"] = _with(
+    _products("sum(passenger_count_per_day) / count(*)"), "daily", "lookup"
 )
 
 _cte(

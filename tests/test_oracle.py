@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from odflow_checks.catalog import QUERIES
 from odflow_checks.compare import connect, difference
+from odflow_checks.oracle import SQL as ORACLE
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-ORACLE = entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,12 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_point.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
+
+
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLE) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry_has_rows(spark):
@@ -28,5 +34,5 @@ def test_entry_has_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, name):
-    df = entry_point.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert difference(df, con, ORACLE[name]) is None
