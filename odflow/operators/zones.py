@@ -112,17 +112,44 @@ def map_bounds(
     """Extremes of the zones each map is centred on.
 
     That is all zones for the total map and the zones of the borough for a borough
-    map, unless ``zoom_on`` selects the zones for all of them.
+    map, unless ``zoom_on`` selects the zones for all of them. A map that is neither
+    the total map nor named after a borough of a zone raises an error as the run goes.
     """
     zones = on_maps(geometry, maps)
-    if zoom_on:
-        zones = filter_zones(zones, zoom_on)
-    else:
-        zones = zones.filter(_on_own_map())
-    return zones.groupBy("map_type").agg(
-        *(F.min(f"lower_{a}").alias(f"min_{a}") for a in "xy"),
-        *(F.max(f"upper_{a}").alias(f"max_{a}") for a in "xy"),
+    chosen = matches(zones, zoom_on) if zoom_on else F.coalesce(_on_own_map(), F.lit(False))
+    found = zones.groupBy("map_type").agg(
+        *(F.min(F.when(chosen, F.col(f"lower_{a}"))).alias(f"min_{a}") for a in "xy"),
+        *(F.max(F.when(chosen, F.col(f"upper_{a}"))).alias(f"max_{a}") for a in "xy"),
+        F.count_if(_on_own_map()).alias("n_own"),
+        F.count_if(chosen).alias("n_chosen"),
     )
+    checked = _checked_map(F.col("n_own") > 0)
+    bounds = [f"{side}_{a}" for side in ("min", "max") for a in "xy"]
+    return found.filter("n_chosen > 0 OR n_own = 0").select(checked.alias("map_type"), *bounds)
+
+
+def _checked_map(known: Column) -> Column:
+    """The map's name, or an error where no zone belongs to it."""
+    message = F.format_string("no zone belongs to the map '%s'", F.col("map_type"))
+    return F.when(known, F.col("map_type")).otherwise(F.raise_error(message))
+
+
+def known_maps(zone_table: DataFrame, maps: Sequence[str]) -> Column:
+    """The names of maps as one array, checked against the zones by the rule of ``map_bounds``.
+
+    It is a scalar subquery over the zone table, or a plain value if only the total map is
+    asked for.
+    """
+    names = list(dict.fromkeys(maps))
+    if names == [S.TOTAL_MAP]:
+        return F.array(F.lit(S.TOTAL_MAP))
+    own = [(F.count_if(F.col("borough") == name) > 0).alias(f"known_{i}") for i, name in enumerate(names)]
+    entries = [
+        F.struct(F.lit(name).alias("map_type"), (F.lit(True) if name == S.TOTAL_MAP else F.col(f"known_{i}")).alias("known"))
+        for i, name in enumerate(names)
+    ]
+    rows = zone_table.agg(*own).select(F.inline(F.array(*entries)))
+    return rows.agg(F.collect_list(_checked_map(F.col("known")))).scalar()
 
 
 def projections(

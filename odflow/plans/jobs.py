@@ -141,10 +141,10 @@ def animation_totals(
     return points.frame_totals(flow_animation(trips, parts, start, end, **options))
 
 
-def _map_names(maps: Sequence[str] | None) -> Column:
+def _map_names(maps: Sequence[str] | None, zone_table: DataFrame) -> Column:
     if maps is None:
         return F.array(F.lit(S.TOTAL_MAP), F.col("borough"))
-    return F.array(*map(F.lit, dict.fromkeys(maps)))
+    return zones.known_maps(zone_table, maps)
 
 
 def map_name(is_diff: Column, label: str) -> Column:
@@ -190,10 +190,15 @@ def choropleth_flows(
 
 
 def _coloured_maps(
-    directed: DataFrame, maps: Sequence[str] | None, is_diff: Column, label: str
+    directed: DataFrame,
+    zone_table: DataFrame,
+    maps: Sequence[str] | None,
+    is_diff: Column,
+    label: str,
 ) -> DataFrame:
     coloured = adjacency.coloured_flows(directed)
-    return coloured.withColumn("map_type", F.explode(_map_names(maps))).withColumn(
+    names = F.explode(_map_names(maps, zone_table))
+    return coloured.withColumn("map_type", names).withColumn(
         "map_name", map_name(is_diff, label)
     )
 
@@ -212,11 +217,12 @@ def choropleth(
     """Coloured zones of the in and out map of every zone.
 
     ``compare`` maps weekdays against weekends instead of the period. ``maps=None``
-    gives every zone the total map and the map of its own borough. Further options
+    gives every zone the total map and the map of its own borough. A name that is
+    neither the total map nor a borough raises an error as the run goes. Further options
     are those of ``choropleth_flows``.
     """
     directed = choropleth_flows(daily, zone_table, start, end, compare=compare, **options)
-    return _coloured_maps(directed, maps, F.lit(compare), label)
+    return _coloured_maps(directed, zone_table, maps, F.lit(compare), label)
 
 
 def choropleth_legends(
@@ -244,7 +250,7 @@ def choropleth_products(
     """
     od = comparison.period_and_diff(daily, start, end, **options)
     directed = _zone_flows(od, zone_table, "weight", focus_zones)
-    return _coloured_maps(directed, maps, F.col("measure") == "diff", label)
+    return _coloured_maps(directed, zone_table, maps, F.col("measure") == "diff", label)
 
 
 def animation_presets(boroughs: Sequence[str]) -> dict[str, dict[str, Any]]:

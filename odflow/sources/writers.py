@@ -26,9 +26,9 @@ from odflow.operators.points import frame_positions
 _LOAD_NAME = f"{string.ascii_letters}{string.digits}-_"
 
 
-def _write(df: DataFrame, path: str, *partition_columns: str) -> None:
+def _write(df: DataFrame, path: str, *partition_columns: str, **options: str) -> None:
     """Replace the partitions that ``df`` has rows for; others at the path stay."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **options)
     writer.partitionBy(*partition_columns).parquet(path)
 
 
@@ -38,13 +38,13 @@ def _with_layout(df: DataFrame, layout: str) -> DataFrame:
     return df
 
 
-def _write_load(df: DataFrame, path: str, load: str | None, column: str) -> None:
+def _write_load(df: DataFrame, path: str, load: str | None, column: str, **options: str) -> None:
     """The whole of a load, or without a name the partitions that ``df`` has rows for."""
     if load is None:
-        return _write(df, path, column)
+        return _write(df, path, column, **options)
     if not load or not set(load) <= set(_LOAD_NAME):
         raise ValueError(f"a load's name is letters, digits, '-' and '_', got {load!r}")
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = df.write.mode("overwrite").options(partitionOverwriteMode="static", **options)
     writer.partitionBy(column).parquet(f"{path.rstrip('/')}/{S.LOAD}={load}")
 
 
@@ -54,6 +54,7 @@ def write_trips(
     *,
     layout: str = "day",
     in_date_order: bool = False,
+    by_zone: bool = False,
     load: str | None = None,
 ) -> None:
     """Trips laid out by pickup date, which takes the place of date indexes.
@@ -61,12 +62,22 @@ def write_trips(
     The layout ``day`` makes one directory per date and suits days of gigabytes,
     ``month`` suits less. Files that are already ``in_date_order`` are written
     without a shuffle, as every task then meets few dates.
+
+    ``by_zone`` adds a second access path: trips are dealt and sorted by date and pickup
+    zone, so that files and row groups hold few pickup zones, and carry bloom filters of
+    dropoff zone and dropoff date. A filter on any of them skips most row groups.
     """
     column = S.LAYOUTS[layout]
     trips = _with_layout(trips.select(*S.TRIP_SCHEMA.names), layout)
-    if not in_date_order:
+    options = {}
+    if by_zone:
+        order = [column, S.PU, S.DO, "dropoff_date"]
+        trips = trips.repartitionByRange(*order).sortWithinPartitions(*order)
+        for name in (S.DO, "dropoff_date"):
+            options[f"parquet.bloom.filter.enabled#{name}"] = "true"
+    elif not in_date_order:
         trips = trips.hint("rebalance", column)
-    _write_load(trips, path, load, column)
+    _write_load(trips, path, load, column, **options)
 
 
 def write_daily(daily: DataFrame, path: str, *, layout: str = "day") -> None:

@@ -121,3 +121,52 @@ def test_a_run_without_unknown_zones_drops_nothing(spark, trip_frame, square_zon
     seen = Observation("nothing")
     assert points.place_links(flow, zones.zone_geometry(square_zones), seen).count() == 1
     assert seen.get == {"n_links": 1, "n_null": 0, "n_unknown": 0, "n_kept": 1}
+
+
+def scanned_rows(df):
+    """Rows that the scan of an executed plan gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def test_a_zone_filter_reads_a_fraction_of_the_row_groups(spark, trip_frame, tmp_path):
+    one = trip_frame([("2018-01-01", 1, 1)])
+    trips = one.drop("PULocationID", "DOLocationID").crossJoin(
+        spark.range(60_000).select(
+            (F.xxhash64("id") % 131 + 131).cast("int").alias("PULocationID"),
+            (F.xxhash64("id", F.lit(1)) % 65 * 4 + 300).cast("int").alias("DOLocationID"),
+        )
+    )
+    plain, sorted_ = str(tmp_path / "plain"), str(tmp_path / "by_zone")
+    spark.conf.set("parquet.block.size", str(32 * 1024))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        writers.write_trips(trips, plain)
+        writers.write_trips(trips, sorted_, by_zone=True)
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for condition, share in (("PULocationID = 77", 0.2), ("PULocationID = 77 AND DOLocationID = 301", 0.05)):
+        found = [readers.read_trips(spark, p).filter(condition).select("fare_amount") for p in (plain, sorted_)]
+        assert found[0].count() == found[1].count()
+        assert scanned_rows(found[1]) <= share * 60_000
+    assert scanned_rows(readers.read_trips(spark, plain).filter("PULocationID = 77").select("fare_amount")) > 0.5 * 60_000
+
+
+def test_unknown_maps_raise_an_error(spark, trip_frame, daily_frame, square_zones):
+    trips = trip_frame([("2018-01-01", 1, 2)])
+    daily = daily_frame([("2018-01-01", 1, 2, 5)])
+    table = zones.zone_attributes(square_zones)
+    period = ("2018-01-01", "2018-01-02")
+    for maps in (("total", "Atlantis"), ("Atlantis",)):
+        with pytest.raises(Exception, match="no zone belongs to the map 'Atlantis'"):
+            jobs.animation_links(trips, square_zones, *period, maps=maps).collect()
+        with pytest.raises(Exception, match="no zone belongs to the map 'Atlantis'"):
+            jobs.base_map(square_zones, maps, zoom_on=("North", "borough")).collect()
+        with pytest.raises(Exception, match="no zone belongs to the map 'Atlantis'"):
+            jobs.choropleth(daily, table, *period, maps=maps).collect()
+        with pytest.raises(Exception, match="no zone belongs to the map 'Atlantis'"):
+            jobs.choropleth_products(daily, table, *period, maps=maps).collect()
+    assert jobs.animation_links(trips, square_zones, *period, maps=("total", "North")).count() == 2
+    assert jobs.choropleth(daily, table, *period, maps=("North", "total")).count() == 4
