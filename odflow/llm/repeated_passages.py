@@ -9,14 +9,15 @@ starts in a document with a smaller id.
    with one anchor make a context, and equal contexts of all documents make a class
    with its smallest document.
    A class that has its anchor alone holds all occurrences of its windows, and their
-   smallest document is known. Only anchors with several classes go on.
+   smallest document is known. Only anchors with several classes go on. In any class all
+   documents but the smallest lose the whole context.
 2. These classes are dealt by anchor to reference shards of bounded size. A task builds the
    generalised suffix automaton of its shard, whose states know the smallest document in
    which their words occur, and streams the contexts through it for matching statistics.
    The reference side of an anchor with very many classes is cut into parts, and every
    part is sent to every part of the streamed side.
 3. Spans whose match is long enough and whose state knows a smaller document are cut
-   from the documents of the class.
+   from the smallest document of the class.
 """
 
 from __future__ import annotations
@@ -319,13 +320,6 @@ def remove_repeated_passages(
 
     per_anchor = classes.groupBy("anchor").agg(F.count("*").alias("n_classes"))
     classes = classes.join(per_anchor, "anchor")
-    alone = classes.filter("n_classes = 1").select(
-        "anchor",
-        "context",
-        F.lit(0).cast("long").alias("begin"),
-        F.col("n").cast("long").alias("end"),
-        F.col("id").alias("least"),
-    )
     several = cut(classes.filter("n_classes > 1"))
 
     # the words of each class, from its smallest document
@@ -347,7 +341,10 @@ def remove_repeated_passages(
             F.ceil(F.max("n_classes") / PART_CLASSES).cast("int").alias("parts"),
         )
     )
-    shards = max(1, several.count() // SHARD_CLASSES)
+    # rows in the shards: one for each class, or two for each part of its anchor
+    parts = F.ceil(F.col("n_classes") / PART_CLASSES)
+    copies = F.when(parts > 1, 2 * parts).otherwise(1)
+    shards = max(1, (several.agg(F.sum(copies).cast("long")).first()[0] or 0) // SHARD_CLASSES)
     ready = passages.withColumn("part", F.pmod(F.xxhash64("context"), "parts").cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     columns = ["anchor", "context", "document", "words"]
@@ -370,14 +367,26 @@ def remove_repeated_passages(
             _match(length), "anchor bigint, context bigint, begin bigint, end bigint, least bigint"
         )
     )
+    # Every window of a class starts in its smallest document, so that the other documents
+    # lose the whole context, and only the smallest needs the spans of earlier documents.
+    earlier = matched.groupBy("anchor", "context").agg(
+        F.collect_set(F.struct("begin", "end", "least")).alias("found")
+    )
+    first = (
+        classes.select("anchor", "context", F.col("id").alias("first"))
+        .join(earlier, ["anchor", "context"], "left")
+        .select("anchor", "context", "first", F.filter("found", lambda x: x["least"] < F.col("first")).alias("found"))
+    )
+    context = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").cast("long").alias("end")))
+    own = F.transform("found", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end")))
     removed = (
-        live.join(alone.unionByName(matched), ["anchor", "context"])
-        .filter("least < id")
+        live.join(first, ["anchor", "context"])
+        .select("id", "start", F.explode(F.when(F.col("id") > F.col("first"), context).otherwise(own)).alias("x"))
         .select(
             "id",
             F.struct(
-                (F.col("start") + F.col("begin")).alias("start"),
-                (F.col("start") + F.col("end") + length - 1).alias("end"),
+                (F.col("start") + F.col("x.begin")).alias("start"),
+                (F.col("start") + F.col("x.end") + length - 1).alias("end"),
             ).alias("span"),
         )
         .distinct()
