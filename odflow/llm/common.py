@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that may be broadcast; 8 bytes each, some 30 MB as a hash table.
@@ -27,7 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        folder = memo("local folder", lambda: tempfile.mkdtemp(prefix="odflow-shared-"))
+        folder = vars(sys).setdefault("_odflow_llm_folder", None) or tempfile.mkdtemp(prefix="odflow-shared-")
+        sys._odflow_llm_folder = folder
     return folder.rstrip("/")
 
 
@@ -56,12 +57,18 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS, items: str = "1") -> DataFr
     return F.broadcast(df) if held <= limit else df
 
 
+#: Objects that a Python worker keeps, those used last; one operator needs four at most.
+KEPT = 4
+
+
 def memo(name: str, make: Callable[[], object]) -> object:
-    """An object kept for the later tasks of the same Python worker."""
+    """An object kept for the later tasks of the same Python worker, until others take its place."""
     kept = vars(sys).setdefault("_odflow_llm_memo", {})
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    held = kept.pop(name) if name in kept else make()
+    kept[name] = held
+    while len(kept) > KEPT:
+        del kept[next(iter(kept))]
+    return held
 
 
 class WordHashes(dict):
@@ -129,6 +136,22 @@ def slices(texts: pa.Array, size: int, *others: pa.Array) -> Iterator[pa.Array |
         yield parts if others else parts[0]
 
 
+def joined_components(reached: DataFrame, late: DataFrame) -> DataFrame:
+    """``reached`` (id, component) after further links (a, b): only components are linked anew."""
+    ends = late
+    for side in ("a", "b"):
+        own = reached.select(F.col("id").alias(side), F.col("component").alias(f"component_{side}"))
+        ends = ends.join(own, side, "left").withColumn(side, F.coalesce(f"component_{side}", side)).drop(f"component_{side}")
+    merged = connected_components(ends.select("a", "b"))
+    merged = merged.select(F.col("id").alias("old"), F.col("component").alias("new"))
+    known = reached.join(merged, F.col("component") == F.col("old"), "left").select(
+        "id", F.coalesce("new", "component").alias("component")
+    )
+    # documents that only the further links reach are components of their own so far
+    single = merged.join(reached, F.col("old") == F.col("id"), "left_anti")
+    return known.unionByName(single.select(F.col("old").alias("id"), F.col("new").alias("component")))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``links`` (a, b): the smallest id it reaches.
 
@@ -152,20 +175,20 @@ def connected_components(links: DataFrame) -> DataFrame:
             .distinct()
         )
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(
-            edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        )
+    def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges cut, with their number and the sum of their hashes, counted on the way."""
+        seen = Observation()
+        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        edges = cut(edges.observe(seen, F.count("*").alias("n"), total.alias("total")))
+        return edges, (seen.get["n"], seen.get["total"])
 
-    edges = cut(
+    edges, before = written(
         links.filter("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    before = state(edges)
     while before[0]:
-        edges = cut(hook(hook(edges, True), False))
-        after = state(edges)
+        edges, after = written(hook(hook(edges, True), False))
         if after == before:
             break
         before = after

@@ -33,6 +33,8 @@ from odflow.llm.common import (
     cut,
     gram_hashes,
     hashed_words,
+    joined_components,
+    slices,
     small,
 )
 
@@ -45,6 +47,7 @@ ROWS_PER_BAND = 5
 #: Hashes of a signature compared at a time.
 BATCH = 20
 CHUNK_BYTES = 1_000_000
+SLICE = 4_000_000
 #: Members of a bucket in one block, and rows in one task, of the block comparison.
 BLOCK, SHARD_ROWS = 1024, 20_000
 
@@ -99,7 +102,7 @@ def _features(width: int, n_hashes: int):
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows: list[dict | None] = []
-            for sets in shingle_sets(batch.to_pylist(), width):
+            for sets in (s for part in slices(batch, SLICE) for s in shingle_sets(part.to_pylist(), width)):
                 full = [s for s in sets if len(s)]
                 sigs = iter(signatures(full, n_hashes) if full else ())
                 rows += [
@@ -118,7 +121,7 @@ def _features(width: int, n_hashes: int):
 def _sets(width: int):
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = shingle_sets(batch.to_pylist(), width)
+            found = (s for part in slices(batch, SLICE) for s in shingle_sets(part.to_pylist(), width))
             yield pa.array([s.tobytes() for part in found for s in part], pa.binary())
 
     return F.arrow_udf(sets, "binary")
@@ -380,7 +383,7 @@ def near_duplicates(
     )
     late = cut(late)
     if late.limit(1).count():
-        reached = connected_components(links.unionByName(late))
+        reached = cut(joined_components(reached, late))
 
     class_of = features.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first"))
     component = F.coalesce("component", "first", "id")

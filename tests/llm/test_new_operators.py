@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from odflow.llm import alignment, conversations, queries, shards
+from odflow.llm import alignment, common, conversations, queries, shards
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -345,3 +345,22 @@ def test_products():
         of = [np.repeat(np.arange(len(g.indptr) - 1), np.diff(g.indptr)) for g in (ga, gb)]
         i, j = alignment.group_links(ga, gb)
         assert {*zip(i.tolist(), j.tolist())} == {(x, y) for x in range(len(a)) for y in range(len(b)) if of[0][x] == of[1][y]}
+
+
+def test_components_after_further_links(spark):
+    rng = random.Random(11)
+    for n in (0, 1, 60):
+        first = [(rng.randrange(100), rng.randrange(100)) for _ in range(n)]
+        late = [(rng.randrange(160), rng.randrange(160)) for _ in range(n // 2)]
+        frames = [spark.createDataFrame(x, "a long, b long") for x in (first, late)]
+        reached = common.connected_components(frames[0])
+        got = {r.id: r.component for r in common.joined_components(reached, frames[1]).collect()}
+        want = {r.id: r.component for r in common.connected_components(frames[0].unionByName(frames[1])).collect()}
+        assert {i: c for i, c in got.items() if i != c} == {i: c for i, c in want.items() if i != c}
+
+
+def test_a_worker_keeps_what_was_used_last():
+    made = []
+    for name in ("m1", "m2", "m3", "m4", "m1", "m5", "m1", "m2"):
+        common.memo(name, lambda name=name: made.append(name))
+    assert made == ["m1", "m2", "m3", "m4", "m5", "m2"]
