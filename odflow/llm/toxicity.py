@@ -278,7 +278,7 @@ def toxicity(documents: DataFrame, model: Model, *, text: str = "text", result:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = _Words(shared.value)
         for batch in batches:
-            yield pa.array([row(*_scan(words, t)) for t in batch.to_pylist()], SCORED)
+            yield pa.array([row(*_scan(words, t)) for part in slices(batch, SLICE) for t in part.to_pylist()], SCORED)
 
     def score_joined(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, maps in batches:
