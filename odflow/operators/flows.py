@@ -70,18 +70,6 @@ def on_weekdays(df: DataFrame, days: Iterable[int]) -> DataFrame:
     )
 
 
-def within_borough(df: DataFrame, lookup: DataFrame, borough: str) -> DataFrame:
-    """Rows with both ends in one borough.
-
-    The lookup is filtered first and carries no broadcast hint: Spark broadcasts
-    it as long as its size is below the session's threshold.
-    """
-    zones = lookup.filter(F.col("borough_name") == borough)
-    for end in (S.PU, S.DO):
-        df = df.join(zones.select(F.col("LocationID").alias(end)), end, "left_semi")
-    return df
-
-
 def links_within_borough(
     flow: DataFrame, lookup: DataFrame | None, borough: str | None
 ) -> DataFrame:
