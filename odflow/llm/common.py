@@ -32,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def unused(name: str, documents: DataFrame) -> str:
+    """The name, made longer until the documents have no such column (names are told apart without case)."""
+    taken = {c.lower() for c in documents.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder as Parquet, which packs them, and read again."""
     path = f"{shared_folder(df.sparkSession)}/odflow-{uuid.uuid4()}"

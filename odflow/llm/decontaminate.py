@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import chunks
+from odflow.llm.common import chunks, unused
 
 WIDTH = 13
 #: Words of benchmark items in one broadcast block, some 100 MB in a Python worker.
@@ -203,7 +203,8 @@ def contaminated(result: str = "benchmark_hits", one_in: int = 20):
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    marked = find_benchmark_words(documents, benchmark, result="_benchmark_hits", **options)
-    return marked.filter(~contaminated("_benchmark_hits")).select(
+    hits = unused("_benchmark_hits", documents)
+    marked = find_benchmark_words(documents, benchmark, result=hits, **options)
+    return marked.filter(~contaminated(hits)).select(
         *(F.col(f"`{c}`") for c in documents.columns)
     )

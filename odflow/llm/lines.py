@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import cut
+from odflow.llm.common import cut, slices, unused
 
 MIN_SITES = 5
 MIN_WORDS = 3
 LG_K = 12
+#: Bytes of text whose lines are held at a time.
+SLICE = 4_000_000
 
 #: Scripts written without spaces between words; each of their characters counts as a word.
 UNSPACED = "".join(
@@ -59,16 +61,19 @@ def shared_lines(rows: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
 
 
 def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, places in batches:
-        out = []
-        for text, gone in zip(texts.to_pylist(), places.to_pylist()):
-            if text is None:
-                out.append({"text": None, "n_lines": 0, "n_removed": 0})
-                continue
-            lines, gone = text.split("\n"), set(gone or ())
-            kept = [line for i, line in enumerate(lines) if i not in gone]
-            out.append({"text": "\n".join(kept), "n_lines": len(lines), "n_removed": len(lines) - len(kept)})
-        yield pa.array(out, RESULT)
+    for batch in batches:
+        done = []
+        for texts, places in slices(batch[0], SLICE, batch[1]):
+            out = []
+            for text, gone in zip(texts.to_pylist(), places.to_pylist()):
+                if text is None:
+                    out.append({"text": None, "n_lines": 0, "n_removed": 0})
+                    continue
+                lines, gone = text.split("\n"), set(gone or ())
+                kept = [line for i, line in enumerate(lines) if i not in gone]
+                out.append({"text": "\n".join(kept), "n_lines": len(lines), "n_removed": len(lines) - len(kept)})
+            done.append(pa.array(out, RESULT))
+        yield pa.concat_arrays(done)
 
 
 def remove_shared_lines(
@@ -102,21 +107,23 @@ def remove_shared_lines(
         F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"),
     ).filter(F.col("line").rlike(spaced) | F.col("line").rlike(unspaced))
     rows = rows.select("id", "site", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
+    line_id, places = (unused(name, documents) for name in ("_line_id", "_line_places"))
     gone = (
         rows.join(shared_lines(rows, min_sites, lg_k), "key")
         .filter((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
-        .groupBy(F.col("id").alias("_line_id"))
-        .agg(F.collect_set("pos").alias("_line_places"))
+        .groupBy(F.col("id").alias(line_id))
+        .agg(F.collect_set("pos").alias(places))
     )
     without = F.arrow_udf(_without, "struct<text: string, n_lines: bigint, n_removed: bigint>")
     columns = [F.col(f"`{c}`") for c in documents.columns if c != result]
-    return documents.join(gone, F.col(id) == F.col("_line_id"), "left").select(
-        *columns, without(F.col(text), "_line_places").alias(result)
+    return documents.join(gone, F.col(id) == F.col(line_id), "left").select(
+        *columns, without(F.col(text), places).alias(result)
     )
 
 
 def with_lines_removed(documents: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents with the text that stays, and ``n_chars`` of it where there is that column."""
-    cleaned = remove_shared_lines(documents, text=text, result="_cleaned", **options)
-    new = {text: F.col("_cleaned.text"), "n_chars": F.length("_cleaned.text").cast("long")}
+    result = unused("_cleaned", documents)
+    cleaned = remove_shared_lines(documents, text=text, result=result, **options)
+    new = {text: F.col(f"{result}.text"), "n_chars": F.length(f"{result}.text").cast("long")}
     return cleaned.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns))

@@ -36,6 +36,7 @@ from odflow.llm.common import (
     joined_components,
     slices,
     small,
+    unused,
 )
 
 WORDS = 5
@@ -403,6 +404,7 @@ def near_duplicates(
 def one_of_each_group(documents: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
     """One document of each group of near-duplicates, with its own columns."""
     kept = near_duplicates(documents, id=id, **options).filter("kept")
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept_id = unused("_kept_id", documents)
+    ids = kept.select(F.col("doc_id").alias(kept_id)).distinct()
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    return documents.join(ids, F.col(id).eqNullSafe(F.col("_kept_id")), "left_semi").select(*columns)
+    return documents.join(ids, F.col(id).eqNullSafe(F.col(kept_id)), "left_semi").select(*columns)

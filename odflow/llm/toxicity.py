@@ -13,17 +13,18 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import cut, slices, small
+from odflow.llm.common import cut, memo, slices, small, unused
 
 #: Lengths of the beginnings of words that are scored besides whole words.
 STEMS = range(3, 9)
@@ -90,10 +91,11 @@ def _stems(word: str) -> Column:
     return F.array_compact(F.array(word, *stems))
 
 
-def _with_scores(rows: DataFrame, text: str, units: DataFrame) -> DataFrame:
-    """Add the map ``_scores`` of every row's scored words, by joins that shuffle."""
-    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
-    words = cut(rows.select("_row", F.col(text)).mapInArrow(_words_of, "row bigint, word string"))
+def _with_scores(rows: DataFrame, text: str, units: DataFrame, scores: str) -> DataFrame:
+    """Add the map ``scores`` of every row's scored words, by joins that shuffle."""
+    row = unused("_row", rows)
+    rows = cut(rows.withColumn(row, F.monotonically_increasing_id()))
+    words = cut(rows.select(row, F.col(text)).mapInArrow(_words_of, "row bigint, word string"))
     scored = (
         words.select("word").distinct()
         .select("word", F.explode(_stems("word")).alias("unit"))
@@ -103,10 +105,10 @@ def _with_scores(rows: DataFrame, text: str, units: DataFrame) -> DataFrame:
     )
     maps = (
         words.join(scored, "word")
-        .groupBy(F.col("row").alias("_row"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("_scores"))
+        .groupBy(F.col("row").alias(row))
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias(scores))
     )
-    return rows.join(maps, "_row", "left").drop("_row")
+    return rows.join(maps, row, "left").drop(row)
 
 
 def segments(hits: list[tuple[int, float]], cost: float = COST) -> list[tuple[int, int, float]]:
@@ -157,8 +159,9 @@ def _signals(n: int, found: list[tuple[int, int, float]], k: float) -> list[floa
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counted = Counter(), Counter()
-        for text, label in zip(*(c.to_pylist() for c in batch.columns)):
-            counted[label].update(set(WORD.findall((text or "").lower())))
+        for texts, labels in slices(batch.column(0), SLICE, batch.column(1)):
+            for text, label in zip(texts.to_pylist(), labels.to_pylist()):
+                counted[label].update(set(WORD.findall((text or "").lower())))
         words = list(counted[0].keys() | counted[1].keys())
         yield pa.record_batch(
             [
@@ -222,29 +225,30 @@ def fit(documents: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
     rows = rows.join(small(cut(single)), "id", "left_semi")
     units = _units(rows.select("text", "y"))
 
-    hashed = rows.select(F.xxhash64("id").alias("h"), "y", "text")
+    hashed = rows.select("text", F.xxhash64("id").alias("h"), "y")
     joined = isinstance(units, DataFrame)
     if joined:
-        hashed = _with_scores(hashed, "text", units)
+        hashed = _with_scores(hashed, "text", units, "scores")
     known_words = None if joined else units
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = None if joined else _Words(known_words)
-        for batch in batches:
-            if joined:
-                found = [_scan(defaultdict(float, m or ()), t) for t, m in zip(batch["text"], batch["_scores"])]
-            else:
-                found = [_scan(words, t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "h": batch["h"],
-                    "y": batch["y"],
-                    "n": [n for n, _ in found],
-                    "parts": [[float(s) for _, _, s in parts] for _, parts in found],
-                }
-            )
+    key = str(uuid.uuid4())
 
-    scanned = hashed.mapInPandas(scan, "h bigint, y int, n bigint, parts array<double>")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None if joined else memo(key, lambda: _Words(known_words))
+        for batch in batches:
+            for texts, *others in slices(batch.column(0), SLICE, *batch.columns[1:]):
+                own = (defaultdict(float, m or ()) for m in others[2].to_pylist()) if joined else repeat(words)
+                found = [_scan(w, t) for w, t in zip(own, texts.to_pylist())]
+                yield pa.record_batch(
+                    [
+                        *others[:2],
+                        pa.array([n for n, _ in found], pa.int64()),
+                        pa.array([[float(s) for _, _, s in parts] for _, parts in found], pa.list_(pa.float64())),
+                    ],
+                    ["h", "y", "n", "parts"],
+                )
+
+    scanned = hashed.mapInArrow(scan, "h bigint, y int, n bigint, parts array<double>")
     sample = scanned.orderBy("h").limit(MAX_FIT_ROWS).toPandas()
     y = sample["y"].to_numpy(float) if len(sample) else np.zeros(0)
     if not len(y) or not 0 < y.sum() < len(y):
@@ -264,8 +268,9 @@ def toxicity(documents: DataFrame, model: Model, *, text: str = "text", result:
     a text without evidence. A column called like ``result`` is replaced.
     """
     joined = isinstance(model.units, DataFrame)
+    scores = unused("_scores", documents)
     if joined:
-        documents = _with_scores(documents, text, model.units)
+        documents = _with_scores(documents, text, model.units, scores)
     weights, k = model.weights, model.k
     shared = documents.sparkSession.sparkContext.broadcast({} if joined else model.units)
 
@@ -275,25 +280,31 @@ def toxicity(documents: DataFrame, model: Model, *, text: str = "text", result:
         strong = [p for p in passages if p["expected"] <= SIGNIFICANT]
         return {"score": 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), "passages": strong}
 
+    key = str(uuid.uuid4())
+
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = _Words(shared.value)
+        words = memo(key, lambda: _Words(shared.value))
         for batch in batches:
             yield pa.array([row(*_scan(words, t)) for part in slices(batch, SLICE) for t in part.to_pylist()], SCORED)
 
     def score_joined(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, maps in batches:
-            own = (defaultdict(float, m or ()) for m in maps.to_pylist())
-            yield pa.array([row(*_scan(w, t)) for w, t in zip(own, texts.to_pylist())], SCORED)
+        for batch in batches:
+            found = []
+            for texts, maps in slices(batch[0], SLICE, batch[1]):
+                own = (defaultdict(float, m or ()) for m in maps.to_pylist())
+                found += [row(*_scan(w, t)) for w, t in zip(own, texts.to_pylist())]
+            yield pa.array(found, SCORED)
 
     kind = "struct<score: double, passages: array<struct<start: int, end: int, score: double, expected: double>>>"
     if joined:
-        return documents.withColumn(result, F.arrow_udf(score_joined, kind)(text, "_scores")).drop("_scores")
+        return documents.withColumn(result, F.arrow_udf(score_joined, kind)(text, scores)).drop(scores)
     return documents.withColumn(result, F.arrow_udf(score, kind)(text))
 
 
 def without_toxic(documents: DataFrame, model: Model, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    scored = toxicity(documents, model, result="_toxicity", **options)
-    return scored.filter(F.col("_toxicity.score") < threshold).select(
+    result = unused("_toxicity", documents)
+    scored = toxicity(documents, model, result=result, **options)
+    return scored.filter(F.col(f"{result}.score") < threshold).select(
         *(F.col(f"`{c}`") for c in documents.columns)
     )
