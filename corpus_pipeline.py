@@ -6,13 +6,13 @@ stage returns to the shared folder and reads it again for the next one.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from odflow.llm import decontaminate, lines, near_duplicates, packing, toxicity
+from odflow.llm.common import shared_folder
 from odflow.llm.queries import held_out, table, tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -58,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="odflow-pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
