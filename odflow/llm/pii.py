@@ -11,6 +11,8 @@ support are identifiers of that kind too. All of it are DataFrame operations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,46 +38,85 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 SPACE = r"[\s]+"
 
+#: Matches whose places are added up at a time.
+BLOCK = 256
+
 SPAN = "struct<start: int, ord: int, kind: string, end: int>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums(numbers: Column) -> Column:
+    """Running sums of few numbers, behind a leading 0; copies them at every step."""
+    return F.aggregate(
+        numbers, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n))
+    )
+
+
+def running_sums(numbers: Column, block: int = BLOCK) -> Column:
+    """Sum of every number (int) and those before it.
+
+    Blocks are summed on their own and moved by the sums of the blocks before, so that
+    the copies of a step are as short as a block or the list of blocks.
+    """
+
+    def blocks(own: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor(F.size(own) / block).cast("int"))
+        return F.transform(firsts, lambda k: _sums(F.slice(own, k * block + 1, F.lit(block))))
+
+    def moved(sums: Column) -> Column:
+        starts = _sums(F.transform(sums, lambda own: F.element_at(own, -1)))
+        parts = F.arrays_zip(sums.alias("own"), F.slice(starts, F.lit(1), F.size(sums)).alias("at"))
+        return F.flatten(
+            F.transform(parts, lambda p: F.transform(F.slice(p["own"], 2, block), lambda n: n + p["at"]))
+        )
+
+    return _bound(numbers, lambda own: _bound(blocks(own), moved))
+
+
 def _places(text: Column, rule: str, around: bool = False) -> Column:
     """Matches with their place in code points, and the text before and behind each.
 
     The text is split at the matches; the lengths of gaps and matches add up to places.
     With ``around`` the texts before and behind reach over two matches and one.
     """
-    gaps, found = F.split(text, rule, -1), F.regexp_extract_all(text, F.lit(rule), F.lit(0))
-    n = F.size(found)
-    columns = [F.slice(gaps, 1, n).alias("gap"), found.alias("match"), F.slice(gaps, 2, n).alias("behind")]
-    if around:
-        none = F.lit("")
-        columns += [
-            F.slice(F.concat(F.array(none, none), found), 1, n).alias("second"),
-            F.slice(F.concat(F.array(none), gaps), 1, n).alias("between"),
-            F.slice(F.concat(F.array(none), found), 1, n).alias("first"),
-            F.slice(F.concat(found, F.array(none)), 2, n).alias("next"),
+
+    def zipped(gaps: Column, found: Column) -> Column:
+        n = F.size(found)
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), n), found, lambda gap, own: F.length(gap) + F.length(own))
+        columns = [
+            F.slice(gaps, F.lit(1), n).alias("gap"),
+            found.alias("match"),
+            F.slice(gaps, F.lit(2), n).alias("behind"),
+            running_sums(lengths).alias("end"),
         ]
-    parts = F.arrays_zip(*columns)
-    empty = F.expr(
-        "cast(array() as array<struct<start: int, end: int, match: string, gap: string, behind: string>>)"
-    )
+        if around:
+            none = F.array(F.lit(""))
+            columns += [
+                F.slice(F.concat(none, none, found), F.lit(1), n).alias("second"),
+                F.slice(F.concat(none, gaps), F.lit(1), n).alias("between"),
+                F.slice(F.concat(none, found), F.lit(1), n).alias("first"),
+                F.slice(F.concat(found, none), F.lit(2), n).alias("next"),
+            ]
+        return F.arrays_zip(*columns)
 
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["match"])
-        own = F.struct(
-            start.alias("start"),
-            end.alias("end"),
+    def place(part: Column) -> Column:
+        gap = F.concat(part["second"], part["between"], part["first"], part["gap"]) if around else part["gap"]
+        behind = F.concat(part["behind"], part["next"]) if around else part["behind"]
+        return F.struct(
+            (part["end"] - F.length(part["match"])).alias("start"),
+            part["end"].alias("end"),
             part["match"].alias("match"),
-            (
-                F.concat(part["second"], part["between"], part["first"], part["gap"]) if around else part["gap"]
-            ).alias("gap"),
-            (F.concat(part["behind"], part["next"]) if around else part["behind"]).alias("behind"),
+            gap.alias("gap"),
+            behind.alias("behind"),
         )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
+    gaps, found = F.split(text, rule, -1), F.regexp_extract_all(text, F.lit(rule), F.lit(0))
+    parts = _bound(gaps, lambda g: _bound(found, lambda m: zipped(g, m)))
+    return F.transform(parts, place)
 
 
 def _luhn(digits: Column) -> Column:

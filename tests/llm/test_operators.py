@@ -437,3 +437,17 @@ def test_contexts_of_seeds_without_digits_and_behind_digits(spark):
     assert got[300] == ("", "email:11:26")
     assert got[301] == ("", "email:11:19")
     assert got[302] == ("", "card:10:18")
+
+
+def test_running_sums(spark):
+    values = [[i % 7 for i in range(n)] for n in (0, 1, 2, 255, 256, 257, 512, 1300)]
+    df = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    for v, whole, short in df.select("v", pii.running_sums(F.col("v")), pii.running_sums(F.col("v"), 3)).collect():
+        assert whole == short == [sum(v[: i + 1]) for i in range(len(v))]
+
+
+def test_places_in_a_text_of_very_many_tokens(spark):
+    text = " ".join(f"n{i}" for i in range(60_000)) + " a@b.de 1.2.3.4"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    at = text.index("a@b.de")
+    assert spans_of(pii.personal_data(df))[1][0] == f"email:{at}:{at + 6},ip:{at + 7}:{at + 14}"
