@@ -51,6 +51,8 @@ CHUNK_BYTES = 1_000_000
 SLICE = 4_000_000
 #: Members of a bucket in one block, and rows in one task, of the block comparison.
 BLOCK, SHARD_ROWS = 1024, 20_000
+#: Shingles in one task where blocks are verified, 8 bytes each.
+SHARD_SHINGLES = 1_000_000
 
 
 def bands_for(similarity: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -122,8 +124,11 @@ def _features(width: int, n_hashes: int):
 def _sets(width: int):
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = (s for part in slices(batch, SLICE) for s in shingle_sets(part.to_pylist(), width))
-            yield pa.array([s.tobytes() for part in found for s in part], pa.binary())
+            found = (
+                pa.array([s.tobytes() for some in shingle_sets(part.to_pylist(), width) for s in some], pa.binary())
+                for part in slices(batch, SLICE)
+            )
+            yield pa.concat_arrays(list(found))
 
     return F.arrow_udf(sets, "binary")
 
@@ -166,10 +171,11 @@ def _linked(similarity: tuple[int, int]):
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             out = []
-            for a, b in zip(left.to_pylist(), right.to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                shared = len(a) + len(b) - len(np.union1d(a, b))
-                out.append(whole * shared >= part * (len(a) + len(b) - shared))
+            for some, others in slices(left, SLICE, right):
+                for a, b in zip(some.to_pylist(), others.to_pylist()):
+                    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                    shared = len(a) + len(b) - len(np.union1d(a, b))
+                    out.append(whole * shared >= part * (len(a) + len(b) - shared))
             yield pa.array(out, pa.bool_())
 
     return F.arrow_udf(linked, "boolean")
@@ -206,11 +212,11 @@ def _compare_blocks(schedule: list[tuple[int, int]], similarity: tuple[int, int]
                 other = other[~bands[:, : own.band].any(1)]
                 if len(other):
                     partners = ids[other].tolist()
-                    members.setdefault(own.id, (own.component, []))[1].extend(partners)
+                    members.setdefault(own.id, (own.component, own.n, []))[2].extend(partners)
                     for k in other.tolist():
-                        members.setdefault(int(ids[k]), (comps[k], []))
-            found += [(key, i, j, m, c, partners) for m, (c, partners) in members.items()]
-        return pd.DataFrame(found, columns=["key", "i", "j", "id", "component", "partners"])
+                        members.setdefault(int(ids[k]), (comps[k], sizes[k], []))
+            found += [(key, i, j, m, c, n, partners) for m, (c, n, partners) in members.items()]
+        return pd.DataFrame(found, columns=["key", "i", "j", "id", "component", "n", "partners"])
 
     return compare
 
@@ -368,12 +374,14 @@ def near_duplicates(
     blocks = left.unionByName(right)
     shards = max(1, blocks.count() // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards))
-    block = "key bigint, i int, j int, id bigint, component bigint"
+    block = "key bigint, i int, j int, id bigint, component bigint, n bigint"
     racing = cut(
         blocks.withColumn("shard", shard)
         .groupBy("shard")
         .applyInPandas(_compare_blocks(schedule, similarity), f"{block}, partners array<bigint>")
     )
+    # sets are much larger than signatures: shards by their size
+    shards = max(1, (racing.agg(F.sum("n")).first()[0] or 0) // SHARD_SHINGLES)
     racing_sets = sets_of(racing.select("id")).dropDuplicates(["id"])
     late = (
         racing.join(racing_sets, "id")
