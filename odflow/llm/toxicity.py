@@ -39,9 +39,9 @@ MAX_UNITS = 50_000
 MAX_FIT_ROWS = 20_000
 SIGNIFICANT = 0.1
 THRESHOLD = 0.7
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Bytes of text whose words are held at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
 PASSAGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
@@ -71,6 +71,15 @@ class _Words(dict):
         return value
 
 
+def _remembered(model: str, units: dict[str, float]) -> _Words:
+    """The words of a model, kept for the later tasks of a worker; it keeps those of one model."""
+    held = memo("toxic words", dict)
+    if model not in held:
+        held.clear()
+        held[model] = _Words(units)
+    return held[model]
+
+
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch.column(1), SLICE, batch.column(0)):
@@ -234,7 +243,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
     key = str(uuid.uuid4())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None if joined else memo(key, lambda: _Words(known_words))
+        words = None if joined else _remembered(key, known_words)
         for batch in batches:
             for texts, *others in slices(batch.column(0), SLICE, *batch.columns[1:]):
                 own = (defaultdict(float, m or ()) for m in others[2].to_pylist()) if joined else repeat(words)
@@ -283,7 +292,7 @@ def toxicity(documents: DataFrame, model: Model, *, text: str = "text", result:
     key = str(uuid.uuid4())
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = memo(key, lambda: _Words(shared.value))
+        words = _remembered(key, shared.value)
         for batch in batches:
             yield pa.array([row(*_scan(words, t)) for part in slices(batch, SLICE) for t in part.to_pylist()], SCORED)
 
