@@ -5,30 +5,56 @@ encodes as exactly one token is proved to be a whole token. A text is split by t
 tokenizer's own pattern; pre-tokens among the proved strings count 1 without merging, and
 only the rest goes through the library, once for each distinct pre-token.
 
-The pattern is run by another engine than the library's. Texts with characters for which
-the two might differ (controls, and anything beyond Latin) or with a special token's
-string go through the library whole.
+The pattern is run by another engine than the library's, and the two might differ on
+controls and characters beyond Latin. A text that holds some is cut where a printable
+ASCII character meets ASCII white space. No pre-token crosses such a place, as those that
+hold the character hold no white space behind it, and the pattern looks only ahead, so
+each part is split as it would be in the text. Parts with such characters go through the
+library, once for each distinct one; the parts between them are split here. A text with
+a special token's string goes through the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import memo
+from odflow.llm.common import memo, slices
 from odflow.llm.tokens import REMEMBERED, load
 
+#: Bytes of texts whose pre-tokens are held at a time.
+SLICE = 1_000_000
+
 #: The pre-tokenizer's pattern of byte-level files, which they name but do not hold.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of tab, line ends, printable ASCII and Latin letters only.
 PLAIN = r"[\t\n\r\x20-\x7e -ɏ]*"
 
 
+#: Places that no pre-token crosses, whatever stands around them.
+BORDER = re.compile(r"(?<=[!-~])(?=[\t\n\r ])")
+#: Longer pre-tokens, in characters, are counted but not remembered.
+LONG = 100
+_split, _plain = regex.compile(PATTERN).findall, regex.compile(PLAIN).fullmatch
+
+
+def pretokens(text: str) -> list[str]:
+    """Pre-tokens of a text; a part between borders that holds other than plain characters is left whole."""
+    if _plain(text):
+        return _split(text)
+    out: list[str] = []
+    for plain, parts in groupby(BORDER.split(text), lambda part: _plain(part) is not None):
+        out.extend(_split("".join(parts)) if plain else parts)
+    return out
+
+
 def whole_tokens(path: str) -> set[str]:
     """The vocabulary strings that are one pre-token and encode, alone, as one token."""
     with open(path, encoding="utf-8") as file:
@@ -79,26 +105,15 @@ def _counter(path: str, shared):
         counts = memo(f"token counts {path}", lambda: _Counts(path, shared.value))
         with open(path, encoding="utf-8") as file:
             special = [t["content"] for t in json.load(file)["added_tokens"]]
-        split, plain = regex.compile(PATTERN).findall, regex.compile(PLAIN).fullmatch
         for batch in batches:
-            out, group, held = [], [], 0
-
-            def flush() -> None:
-                counts.learn({p for own in group if isinstance(own, list) for p in own})
-                out.extend(own if isinstance(own, int) else sum(map(counts.__getitem__, own)) for own in group)
-                group.clear()
-
-            for text in batch.to_pylist():
-                text = text or ""
-                if plain(text) and not any(s in text for s in special):
-                    group.append(split(text))
-                else:
-                    group.append(len(counts.tokenizer.encode(text, add_special_tokens=False)))
-                held += len(text)
-                if held > 1_000_000:
-                    flush()
-                    held = 0
-            flush()
+            out: list[int] = []
+            for part in slices(batch, SLICE):
+                group = [
+                    [text] if any(s in text for s in special) else pretokens(text)
+                    for text in (t or "" for t in part.to_pylist())
+                ]
+                counts.learn({p for own in group for p in own if len(p) <= LONG})
+                out.extend(sum(map(counts.__getitem__, own)) for own in group)
             yield pa.array(out, pa.int64())
 
     return F.arrow_udf(count, "bigint")

@@ -180,6 +180,25 @@ def test_token_ids_and_counts_of_odd_texts(spark):
     assert by_id(counted, "n_bytes", "n_tokens", "over_limit") == brute.token_counts(list(enumerate(texts)), byte)
 
 
+def test_pretokens_between_borders(spark):
+    """Parts of texts with foreign characters: they make up the text, and foreign ones alone are left whole."""
+    text = "It's plain —here “quoted”\n  and   plain\t again, 中文 字 end  "
+    parts = token_counts.pretokens(text)
+    assert "".join(parts) == text
+    assert {"It", "'s", " plain", " again", ","} <= set(parts)
+    assert [p for p in parts if not p.isascii()] == [" —here", " “quoted”\n  and", " 中文 字 end"]
+    rng = random.Random(8)
+    words = ["it's", "don't", "plain", "x1y22", "a.b", "—", "“q”", "naïve", "中文", "ﬁn", "½", "é", "<|endoftext|>", "z" * 300]
+    gaps = [" ", "  ", "\n", "\t \n", " \r\n", "　", "\xa0 ", "\x85", "\x1c", "   "]
+    rows = [(i, "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 40)))) for i in range(2000)]
+    rows += [(i + len(rows), t) for i, (_, t) in enumerate(rows[:50])] + [(9999, "“a” plain words " * 50_000), (10000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = token_counts.with_token_counts(df, BYTE_BPE)
+    want = brute.token_counts(rows, Tokenizer.from_file(BYTE_BPE))
+    assert by_id(counted, "n_bytes", "n_tokens", "over_limit") == want
+    assert token_counts.with_token_counts(df.limit(0), BYTE_BPE).count() == 0
+
+
 def test_token_counts(documents, corpus):
     counted = token_counts.with_token_counts(documents, BYTE_BPE)
     assert by_id(counted, "n_bytes", "n_tokens", "over_limit") == brute.token_counts(corpus, Tokenizer.from_file(BYTE_BPE))
