@@ -1,28 +1,31 @@
 """Benchmark decontamination: a broadcast set of the test items' word windows.
 
-The windows of the items, ids of their words in a vocabulary of the items, are
-broadcast in blocks. Each task turns the words of its documents into the same ids, so
-that any word foreign to all items ends a candidate at once, looks up the hash of
-every remaining window, and verifies hits word by word. There is no shuffle. A task
-holds the windows of one block at a time, whatever the size of the benchmark.
+The items are broadcast in blocks, of which a worker makes sorted arrays: the hash of
+every distinct window and its place in the items' words, as ids in a vocabulary of the
+items. Each task turns the words of its documents into the same ids, so that any word
+foreign to all items ends a candidate at once, looks up the hash of every remaining
+window, and verifies hits word by word. There is no shuffle. A worker keeps the arrays
+of few blocks from one batch to the next, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import chunks, unused
+from odflow.llm.common import chunks, memo, slices, unused
 
 WIDTH = 13
-#: Words of benchmark items in one broadcast block, some 100 MB in a Python worker.
-BLOCK_WORDS = 200_000
+#: Words of benchmark items in one broadcast block, some 40 bytes each in a Python worker beside the distinct words.
+BLOCK_WORDS = 1_000_000
 CHUNK_BYTES = 4_000_000
 
 #: Every byte outside words becomes a space, A-Z become a-z; bytes above 127 are parts of words.
@@ -45,44 +48,86 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(NORMAL).split() if text else []
 
 
+class Windows(NamedTuple):
+    """Distinct windows of one length, by hash; ``items[first[g] : first[g + 1]]`` hold the g-th."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+
+
 class WindowIndex:
-    """The windows of some items, by length."""
+    """The windows of some items: places in their words, sorted by hash, for each length."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int) -> None:
+        self.names = [item for item, _ in items]
         self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            length = min(width, len(own))
-            table = self.windows.setdefault(length, {}) if length else {}
-            for i in range(len(own) - length + 1 if length else 0):
-                table.setdefault(tuple(own[i : i + length]), set()).add(item)
-        self.hashes = {
-            n: np.unique(self._hashed(np.array(list(table), np.uint64)))
-            for n, table in self.windows.items()
+        own = []
+        for _, text in items:
+            words = words_of(text)
+            own.append(np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int32))
+        sizes = np.array([len(o) for o in own], np.int64)
+        self.words = np.concatenate([np.empty(0, np.int32), *own])
+        begin, lengths = np.cumsum(sizes) - sizes, np.minimum(sizes, width)
+        self.tables = {
+            int(n): self._windows(begin[lengths == n], sizes[lengths == n], np.flatnonzero(lengths == n), int(n))
+            for n in np.unique(lengths[lengths > 0])
         }
 
-    @staticmethod
-    def _hashed(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows), np.uint64)
-        for column in rows.T:
-            out = out * _BASE + column
-        return out
+    def _windows(self, begin: np.ndarray, sizes: np.ndarray, items: np.ndarray, length: int) -> Windows:
+        counts = sizes - length + 1
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at, items = np.repeat(begin, counts) + within, np.repeat(items, counts)
+        hashed = _hashed(self.words, at, length)
+        order = np.argsort(hashed, kind="stable")
+        at, items, hashed = at[order], items[order], hashed[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (hashed[1:] != hashed[:-1]) | ~_equal(self.words, at[1:], self.words, at[:-1], length)
+        first = np.flatnonzero(fresh)
+        return Windows(hashed[first], at[first], np.append(first, len(at)), items)
+
+    def named(self, length: int, groups: np.ndarray) -> set[str]:
+        """The items that hold some of the windows."""
+        table = self.tables[length]
+        return {
+            self.names[i]
+            for g in np.unique(groups).tolist()
+            for i in table.items[table.first[g] : table.first[g + 1]].tolist()
+        }
 
-    def occurrences(self, ids: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
-        """Start, length and items of every window in the ids; 0 is a foreign word."""
+    def occurrences(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Starts, in order, and the windows found there, of one length; 0 is a foreign word."""
         foreign = np.concatenate(([0], np.cumsum(ids == 0)))
-        for length, table in self.windows.items():
+        for length, table in self.tables.items():
             if len(ids) < length:
                 continue
             starts = np.flatnonzero(foreign[length:] == foreign[:-length])
-            for part in np.array_split(starts, len(starts) // 200_000 + 1):
-                rows = ids[part[:, None] + np.arange(length)].astype(np.uint64)
-                known, hashed = self.hashes[length], self._hashed(rows)
-                at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-                for i in np.flatnonzero(known[at] == hashed):
-                    if items := table.get(tuple(rows[i].tolist())):
-                        yield int(part[i]), length, items
+            for at in np.array_split(starts, len(starts) // 200_000 + 1):
+                hashed = _hashed(ids, at, length)
+                group = np.searchsorted(table.hashes, hashed)
+                known = table.hashes[np.minimum(group, len(table.hashes) - 1)] == hashed
+                at, group = at[known], group[known]
+                end = np.searchsorted(table.hashes, hashed[known], "right")
+                while len(at):  # one round, but for distinct windows with one hash
+                    same = _equal(self.words, table.at[group], ids, at, length)
+                    yield at[same], length, group[same]
+                    more = group + 1 < end
+                    at, group, end = at[more], group[more] + 1, end[more]
+
+
+def _hashed(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for k in range(length):
+        out = out * _BASE + words[at + k].astype(np.uint64)
+    return out
+
+
+def _equal(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+    same = np.ones(len(i), bool)
+    for k in range(length):
+        same &= left[i + k] == right[j + k]
+    return same
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,11 +149,16 @@ def _scan(index: WindowIndex, texts: list[bytes | None]) -> Iterator[tuple[int,
         for at, own in zip(starts, words):
             ids[at : at + len(own)] = [index.ids.get(w, 0) for w in own]
         found: dict[int, tuple[list, set]] = {}
-        for at, length, items in index.occurrences(ids):
-            k = int(np.searchsorted(starts, at, "right")) - 1
-            spans, named = found.setdefault(k, ([], set()))
-            spans.append((at - int(starts[k]), at - int(starts[k]) + length))
-            named |= items
+        for at, length, groups in index.occurrences(ids):
+            docs = np.searchsorted(starts, at, "right") - 1
+            cuts = np.flatnonzero(np.diff(docs)) + 1
+            for own_at, own_groups in zip(np.split(at, cuts), np.split(groups, cuts)):
+                if not len(own_at):
+                    continue
+                k = int(np.searchsorted(starts, own_at[0], "right")) - 1
+                spans, named = found.setdefault(k, ([], set()))
+                spans.extend((a, a + length) for a in (own_at - starts[k]).tolist())
+                named |= index.named(length, own_groups)
         for k, own in enumerate(words):
             yield len(own), *found.get(k, ([], set()))
 
@@ -134,14 +184,23 @@ def _found(index: WindowIndex, texts: list[bytes | None], rows: list[tuple]) ->
 
 
 def _scanner(blocks: list, width: int):
+    name = f"benchmark {uuid.uuid4()}"
+
+    def index(k: int) -> WindowIndex:
+        """The index of a block, built once in a worker, which keeps the last few."""
+        return memo(f"{name} {k}", lambda: WindowIndex(pickle.loads(zlib.decompress(blocks[k].value)), width))
+
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        read = lambda shared: WindowIndex(pickle.loads(zlib.decompress(shared.value)), width)
-        only = read(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
-            texts = batch.to_pylist()
-            rows: list[tuple] = [(0, [], set())] * len(texts)
-            for shared in blocks:  # one index in memory at a time
-                _found(only or read(shared), texts, rows)
+            rows: list[tuple] = [(0, [], set())] * len(batch)
+            for k in range(len(blocks)):
+                at = 0
+                for part in slices(batch, CHUNK_BYTES):
+                    texts = part.to_pylist()
+                    own = rows[at : at + len(texts)]
+                    _found(index(k), texts, own)
+                    rows[at : at + len(texts)] = own
+                    at += len(texts)
             yield pa.array(
                 [
                     {

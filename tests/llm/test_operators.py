@@ -55,6 +55,35 @@ def test_benchmark_windows(spark, documents, corpus, empty):
     assert decontaminate.without_contaminated(documents, benchmark.limit(0)).count() == len(corpus)
 
 
+def test_benchmark_windows_of_few_words(spark, monkeypatch):
+    """Windows that many items hold, repeated items, distinct windows with one hash, in one block and in many."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["a", "B", "c-d", "é", "e"]) for _ in range(n))
+    items = [(f"i{k % 35}", text(rng.randint(0, 24))) for k in range(40)]
+    items += items[:5] + [(None, items[7][1]), ("null", None)]
+    docs = [(d, text(rng.randint(0, 300)) + " " + rng.choice(items)[1] if d % 9 else None) for d in range(60)]
+    docs += [(d + 100, t) for d, t in docs[:20]]
+    documents = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    want = brute.decontaminate(docs, [(i or "", t) for i, t in items])
+    columns = ["benchmark_hits.n_words", decontaminate.n_hit(), F.size("benchmark_hits.items")]
+    columns += [F.sha2(F.array_join("benchmark_hits.items", ","), 256), decontaminate.contaminated()]
+    for block_words in (1_000_000, 20):
+        found = decontaminate.find_benchmark_words(documents, benchmark, width=4, block_words=block_words)
+        assert found.count() == len(docs)
+        plain = brute.decontaminate(docs, [(i or "", t) for i, t in items], 4)
+        assert by_id(found, *columns) == plain != want
+    index = decontaminate.WindowIndex([(i or "", (t or "").encode()) for i, t in items], 13)
+    monkeypatch.setattr(decontaminate, "_BASE", np.uint64(1))  # hashes of the same words in any order are equal
+    same = decontaminate.WindowIndex([(i or "", (t or "").encode()) for i, t in items], 13)
+    texts = [(t or "").encode() for _, t in docs]
+    many = list(decontaminate._scan(same, texts))
+    monkeypatch.undo()
+    assert [(n, sorted(set(s)), i) for n, s, i in many] == [
+        (n, sorted(set(s)), i) for n, s, i in decontaminate._scan(index, texts)
+    ]
+
+
 @pytest.mark.parametrize("words, similarity", [(3, (85, 100)), (5, (80, 100))])
 def test_near_duplicates(documents, corpus, words, similarity):
     found = near_duplicates.near_duplicates(documents, words=words, similarity=similarity)
