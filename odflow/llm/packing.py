@@ -40,7 +40,7 @@ def _cut_pieces(path: str, capacity: int, end: bytes, with_ids: bool):
         for batch in batches:
             rows = []
             for texts in slices(batch, CHUNK_BYTES):
-                for ids in ids_by_word(path, texts.to_pylist()):
+                for ids in ids_by_word(path, texts):
                     ids, own = ids + end, []
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

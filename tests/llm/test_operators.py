@@ -6,6 +6,7 @@ import time
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -415,6 +416,27 @@ def test_remembered_pieces_are_forgotten_but_for_those_needed():
     assert known == {"b": 2}
 
 
+def test_new_words_of_arrays_without_places_of_tokens(monkeypatch):
+    from odflow.llm import tokens
+    from odflow.llm.queries import tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    texts = ["  One one's, élan2 ", None, "", "ONE <|endoftext|>TWO", "one\u3000中文 one", "'s2"]
+    merger, lengths = tokens._merger(path)
+
+    class Fast:
+        def encode_batch_fast(self, *args, **options):
+            return merger.encode_batch_fast(*args, **options)
+
+    monkeypatch.setattr(tokens, "memo", lambda name, make: (Fast(), lengths) if "merger" in name else make())
+    got = tokens.ids_by_word(path, pa.array([t and t.encode() for t in texts], pa.binary()))
+    for text, ids in zip(texts, got, strict=True):
+        want = tokens.load(path).encode(text or "", add_special_tokens=False).ids
+        assert list(memoryview(ids).cast("I")) == want, text
+    # pieces that a text does not hold as the tokens say are dealt back by the library's places
+    assert tokens._merged(merger, lengths * 0 + 1, [b"one", b"elan"]) == tokens._merged(merger, lengths, [b"one", b"elan"])
+
+
 def test_neighbours_among_many_copies(spark):
     # one block of full size, a third of it copies: more than the share that is ranked by cosine
     rng = np.random.default_rng(11)
