@@ -50,7 +50,7 @@ BATCH = 20
 CHUNK_BYTES = 1_000_000
 SLICE = 4_000_000
 #: Members of a bucket in one block, and rows in one task, of the block comparison.
-BLOCK, SHARD_ROWS = 1024, 20_000
+BLOCK, SHARD_ROWS = 1024, 5_000
 #: Shingles in one task where blocks are verified, 8 bytes each.
 SHARD_SHINGLES = 1_000_000
 

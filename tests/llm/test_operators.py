@@ -521,3 +521,20 @@ def test_places_in_a_text_of_very_many_tokens(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     at = text.index("a@b.de")
     assert spans_of(pii.personal_data(df))[1][0] == f"email:{at}:{at + 6},ip:{at + 7}:{at + 14}"
+
+
+def test_stages_of_the_pipeline_take_texts_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    def sizes(ids: pa.Array) -> pa.Array:
+        return pa.array([len(ids)] * len(ids), pa.int64())
+
+    counted = F.arrow_udf(sizes, "long")
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda docs, _: docs.select(counted("id").alias("n")))
+    held = {key: spark.conf.get(key) for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        found = corpus_pipeline.pack(spark, spark.range(0, 5000, 1, 1), "").agg(F.max("n")).first()[0]
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert found <= 2000
