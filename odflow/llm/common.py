@@ -160,12 +160,38 @@ def joined_components(reached: DataFrame, late: DataFrame) -> DataFrame:
     return known.unionByName(single.select(F.col("old").alias("id"), F.col("new").alias("component")))
 
 
+#: Links in one partition where they are contracted before components are sought, about.
+CONTRACTED = 100_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars: each id with the smallest that it reaches there."""
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(ends) for ends in zip(*parts))
+    ids, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    # labels are places, so that smaller ids have smaller ones; every label is that of its own label
+    label = np.arange(len(ids))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low < high
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    yield pa.record_batch([pa.array(ids[label[moved]]), pa.array(ids[moved])], ["a", "b"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``links`` (a, b): the smallest id it reaches.
 
     Alternates two steps until no link changes. Each joins a node's neighbours with
     the smallest of them, so a node with very many neighbours is never gathered in
-    one place; a path of length n takes O(log n) rounds.
+    one place; a path of length n takes O(log n) rounds. Before, every partition turns the
+    links that it holds into stars, which leaves fewer links and rounds.
     """
 
     def hook(edges: DataFrame, to_larger: bool) -> DataFrame:
@@ -190,12 +216,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = cut(edges.observe(seen, F.count("*").alias("n"), total.alias("total")))
         return edges, (seen.get["n"], seen.get["total"])
 
-    edges, before = written(
-        links.filter("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    edges, (n, _) = written(
+        links.filter("a <> b").select(
+            F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")
+        )
     )
-    while before[0]:
+    parts = n // CONTRACTED + 1
+    stars = edges.coalesce(parts).mapInArrow(_contracted, "a bigint, b bigint")
+    edges, before = written(stars.distinct() if parts > 1 else stars)
+    # stars of a single partition reach all there is to reach
+    while parts > 1 and before[0]:
         edges, after = written(hook(hook(edges, True), False))
         if after == before:
             break

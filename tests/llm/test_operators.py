@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from odflow.llm import (
+    common,
     decontaminate,
     lines,
     near_duplicates,
@@ -523,6 +524,36 @@ def test_places_in_a_text_of_very_many_tokens(spark):
     assert spans_of(pii.personal_data(df))[1][0] == f"email:{at}:{at + 6},ip:{at + 7}:{at + 14}"
 
 
+def _reached(links):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
+
+
+def test_links_of_a_partition_are_contracted_first(spark, monkeypatch):
+    rng = random.Random(3)
+    path = [(i, i + 1) for i in range(1000, 1300)]
+    links = path + [p for p in ((rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(200)) if p[0] != p[1]]
+    df = spark.createDataFrame(links + [(5, 5), (None, 3)], "a long, b long").repartition(4)
+    written, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda edges: written.append(edges) or cut(edges))
+    got = common.connected_components(df)
+    # no rounds of joins where one partition holds all links
+    assert len(written) == 2
+    assert {r.id: r.component for r in got.collect()} == _reached(links)
+    monkeypatch.setattr(common, "CONTRACTED", 100)
+    assert {r.id: r.component for r in common.connected_components(df).collect()} == _reached(links)
+    assert len(written) > 4
+
+
 def test_stages_of_the_pipeline_take_texts_in_small_batches(spark, monkeypatch):
     import corpus_pipeline
 
