@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files of one write, at least, and shuffle partitions that go into one.
+FILES, PARTITIONS_PER_FILE = 12, 16
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows in few partitions, without a shuffle: a task takes several, one after another.
+
+    There are two for every core, or more as the shuffle partitions that are set. Without Hadoop's native
+    library a local file system runs two ``chmod`` for every file, for each of which the executor's JVM is
+    forked. To be set below functions in Python, not above them: a task keeps a buffer for each of their
+    partitions until it ends.
+    """
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(FILES, 2 * spark.sparkContext.defaultParallelism, shuffled // PARTITIONS_PER_FILE))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, without their lineage."""
     spark = df.sparkSession
@@ -65,13 +84,30 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS, items: str = "1") -> DataFr
     return F.broadcast(df) if held <= limit else df
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Objects that a Python worker keeps, those used last; one operator needs four at most.
 KEPT = 4
 
 
 def memo(name: str, make: Callable[[], object]) -> object:
-    """An object kept for the later tasks of the same Python worker, until others take its place."""
+    """An object kept for the later tasks of a stage in the same Python worker, until others take its place.
+
+    Objects of an earlier stage are dropped first.
+    """
     kept = vars(sys).setdefault("_odflow_llm_memo", {})
+    task = TaskContext.get()
+    stage = task and task.stageId()
+    if kept and vars(sys).get("_odflow_llm_stage") != stage:
+        kept.clear()
+        give_back()
+    sys._odflow_llm_stage = stage
     held = kept.pop(name) if name in kept else make()
     kept[name] = held
     while len(kept) > KEPT:
@@ -130,7 +166,8 @@ def slices(texts: pa.Array, size: int, *others: pa.Array) -> Iterator[pa.Array |
     """Parts of an array of texts, and of arrays beside it, of about ``size`` bytes.
 
     Tasks that turn one part after another into Python objects stay small, however
-    long the texts of a batch. An empty array is one part.
+    long the texts of a batch; behind the last part, freed memory is given back. An empty
+    array is one part.
     """
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
     cuts, held = [0], 0
@@ -142,6 +179,7 @@ def slices(texts: pa.Array, size: int, *others: pa.Array) -> Iterator[pa.Array |
     for first, last in zip(cuts, [*cuts[1:], len(lengths)]):
         parts = tuple(a.slice(first, last - first) for a in (texts, *others))
         yield parts if others else parts[0]
+    give_back()
 
 
 def joined_components(reached: DataFrame, late: DataFrame) -> DataFrame:
@@ -213,7 +251,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         """The edges cut, with their number and the sum of their hashes, counted on the way."""
         seen = Observation()
         total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        edges = cut(edges.observe(seen, F.count("*").alias("n"), total.alias("total")))
+        edges = cut(few(edges).observe(seen, F.count("*").alias("n"), total.alias("total")))
         return edges, (seen.get["n"], seen.get["total"])
 
     edges, (n, _) = written(

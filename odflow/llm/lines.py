@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import cut, slices, unused
+from odflow.llm.common import cut, few, slices, unused
 
 MIN_SITES = 5
 MIN_WORDS = 3
@@ -38,14 +38,14 @@ RESULT = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed"
 def shared_lines(rows: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
     """``(key, first)`` of lines on at least ``min_sites`` sites; rows (id, pos, key, site)."""
     place = F.when(F.col("id").isNotNull(), F.struct("id", "pos"))
-    spread = cut(
+    spread = cut(few(
         rows.groupBy("key").agg(
             F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
             F.count("*").alias("n"),
             F.min(place).alias("first"),
         )
         .filter(F.col("n") >= min_sites)
-    )
+    ))
     margin = max(2.0, 4 * 1.04 / math.sqrt(2**lg_k) * min_sites)
     near = spread.filter(F.abs(F.col("sites") - min_sites) <= margin)
     exact = (
@@ -116,7 +116,7 @@ def remove_shared_lines(
     )
     without = F.arrow_udf(_without, "struct<text: string, n_lines: bigint, n_removed: bigint>")
     columns = [F.col(f"`{c}`") for c in documents.columns if c != result]
-    return documents.join(gone, F.col(id) == F.col(line_id), "left").select(
+    return few(documents.join(gone, F.col(id) == F.col(line_id), "left")).select(
         *columns, without(F.col(text), places).alias(result)
     )
 

@@ -31,6 +31,7 @@ from odflow.llm.common import (
     chunks,
     connected_components,
     cut,
+    few,
     gram_hashes,
     hashed_words,
     joined_components,
@@ -283,12 +284,12 @@ def near_duplicates(
     features = cut(
         source.select("id", _features(words, n_hashes)("text").alias("f")).select("id", "f.*")
     )
-    classes = cut(
+    classes = cut(few(
         features.filter("fp is not null and id is not null")
         .groupBy("fp")
         .agg(F.min(F.struct("id", "n", "sig")).alias("m"))
         .select("m.*")
-    )
+    ))
 
     width = 4 * ROWS_PER_BAND
     keys = [
@@ -298,7 +299,7 @@ def near_duplicates(
     crowded = (
         buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     )
-    members = cut(buckets.join(crowded, "key"))
+    members = cut(few(buckets.join(crowded, "key")))
 
     sized = classes.select("id", F.col("n").alias("n_shingles"), "sig")
     near_in_size = F.expr(
@@ -318,11 +319,11 @@ def near_duplicates(
     stars = (
         members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     )
-    stars = both_sides(stars, sized, ["n_shingles", "sig"]).filter(near_in_size)
+    stars = few(both_sides(stars, sized, ["n_shingles", "sig"]).filter(near_in_size))
     pairs = cut(stars.filter(_survives(schedule)("sig_a", "sig_b")).select("a", "b"))
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     tested = both_sides(pairs, sets, ["set"]).filter(_linked(similarity)("set_a", "set_b"))
-    links = cut(tested.select("a", "b").distinct())
+    links = cut(few(tested.select("a", "b").distinct()))
     reached = connected_components(links)
 
     # buckets of two are settled by their one pair
@@ -344,7 +345,7 @@ def near_duplicates(
     )
     rows = placed.join(mixed, "key")
     strays = rows.filter("component <> main").groupBy("key").agg(F.count("*").alias("r"))
-    rows = cut(
+    rows = cut(few(
         rows.join(strays, "key").join(sized, "id").select(
             "band",
             "key",
@@ -356,7 +357,7 @@ def near_duplicates(
             F.ceil(F.col("r") / BLOCK).cast("int").alias("parts_l"),
             F.ceil(F.col("n") / BLOCK).cast("int").alias("parts_r"),
         )
-    )
+    ))
     own = F.xxhash64("id")
     columns = ["band", "key", "id", "component", F.col("n_shingles").alias("n"), "sig", "stray"]
     left = rows.filter("stray").select(
@@ -375,11 +376,11 @@ def near_duplicates(
     shards = max(1, blocks.count() // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards))
     block = "key bigint, i int, j int, id bigint, component bigint, n bigint"
-    racing = cut(
+    racing = cut(few(
         blocks.withColumn("shard", shard)
         .groupBy("shard")
         .applyInPandas(_compare_blocks(schedule, similarity), f"{block}, partners array<bigint>")
-    )
+    ))
     # sets are much larger than signatures: shards by their size
     shards = max(1, (racing.agg(F.sum("n")).first()[0] or 0) // SHARD_SHINGLES)
     racing_sets = sets_of(racing.select("id")).dropDuplicates(["id"])
@@ -390,9 +391,9 @@ def near_duplicates(
         .applyInPandas(_verify_blocks(similarity), "a bigint, b bigint")
         .distinct()
     )
-    late = cut(late)
+    late = cut(few(late))
     if late.limit(1).count():
-        reached = cut(joined_components(reached, late))
+        reached = cut(few(joined_components(reached, late)))
 
     class_of = features.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first"))
     component = F.coalesce("component", "first", "id")
@@ -415,4 +416,4 @@ def one_of_each_group(documents: DataFrame, *, id: str = "doc_id", **options) ->
     kept_id = unused("_kept_id", documents)
     ids = kept.select(F.col("doc_id").alias(kept_id)).distinct()
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    return documents.join(ids, F.col(id).eqNullSafe(F.col(kept_id)), "left_semi").select(*columns)
+    return few(documents.join(ids, F.col(id).eqNullSafe(F.col(kept_id)), "left_semi")).select(*columns)

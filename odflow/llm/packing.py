@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from odflow.llm.common import cut, slices
+from odflow.llm.common import cut, few, slices
 from odflow.llm.tokens import ids_by_word
 
 CAPACITY = 2048
@@ -218,7 +218,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = _places(plan(counts, capacity))
     columns = [F.col(f"`{c}`") for c in pieces.columns]
-    return ranked_by_length(pieces).select(*columns, places("length", "rank").alias("p")).select(*columns, "p.*")
+    return few(ranked_by_length(pieces)).select(*columns, places("length", "rank").alias("p")).select(*columns, "p.*")
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import cut, memo, slices, small, unused
+from odflow.llm.common import cut, few, memo, slices, small, unused
 
 #: Lengths of the beginnings of words that are scored besides whole words.
 STEMS = range(3, 9)
@@ -184,7 +184,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _units(labelled: DataFrame) -> dict[str, float] | DataFrame:
     words = labelled.mapInArrow(_counts, "word string, toxic bigint, clean bigint")
-    words = cut(words.groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0")))
+    words = cut(few(words.groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))))
     n1, n0 = words.agg(F.sum("y1"), F.sum("y0")).first()
     if not n1 or not n0:
         return {}
@@ -200,7 +200,7 @@ def _units(labelled: DataFrame) -> dict[str, float] | DataFrame:
     spread = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     delta = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
     scored = units.select("unit", (delta - CAUTION * spread).alias("s"), (delta / spread).alias("z"))
-    scored = cut(scored.filter((F.col("z") >= MIN_Z) & (F.col("s") > 0)).select("unit", "s"))
+    scored = cut(few(scored.filter((F.col("z") >= MIN_Z) & (F.col("s") > 0)).select("unit", "s")))
     if scored.count() > MAX_UNITS:
         return scored
     return {r["unit"]: r["s"] for r in scored.collect()}
@@ -231,7 +231,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
     known = known.groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text")).join(small(known), "id")
     single = rows.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("id").alias("id")).select("id")
-    rows = rows.join(small(cut(single)), "id", "left_semi")
+    rows = rows.join(small(cut(few(single))), "id", "left_semi")
     units = _units(rows.select("text", "y"))
 
     hashed = rows.select("text", F.xxhash64("id").alias("h"), "y")

@@ -569,3 +569,46 @@ def test_stages_of_the_pipeline_take_texts_in_small_batches(spark, monkeypatch):
         for key, value in held.items():
             spark.conf.set(key, value)
     assert found <= 2000
+
+
+def test_stages_write_few_files(spark, documents, monkeypatch):
+    files = []
+
+    def cut(df):
+        done = common.cut(df)
+        files.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(near_duplicates, "cut", cut)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    most = max(common.FILES, 2 * spark.sparkContext.defaultParallelism)
+    assert most < 64
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        kept = near_duplicates.one_of_each_group(documents, words=2)
+        files.append(kept.rdd.getNumPartitions())
+        files.append(lines.with_lines_removed(documents).rdd.getNumPartitions())
+        spark.conf.set("spark.sql.shuffle.partitions", "1600")
+        # more files for more partitions
+        assert common.few(spark.range(0, 1000, 1, 500)).rdd.getNumPartitions() == max(100, most)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(files) > 8 and max(files) <= most
+
+
+def test_a_worker_drops_the_objects_of_earlier_stages(monkeypatch):
+    class Task:
+        stage = 1
+
+        def stageId(self):
+            return self.stage
+
+    task, made = Task(), []
+    monkeypatch.setattr(common.TaskContext, "get", lambda: task)
+    for stage, name in ((1, "s1"), (1, "s2"), (1, "s1"), (2, "s2"), (2, "s1"), (2, "s2")):
+        task.stage = stage
+        common.memo(name, lambda name=name: made.append(name))
+    assert made == ["s1", "s2", "s2", "s1"]
